@@ -22,7 +22,7 @@ from millrace.core.session import read_table
 from ._rows import add_columns, texts
 
 #: Texts of each language that the classifier is fitted on, and their greatest length.
-FIT_TEXTS, FIT_CHARS = 300, 100_000
+FIT_TEXTS, FIT_CHARS = 150, 100_000
 EM_ROUNDS = 3
 UNDETERMINED = "und"
 #: Distinct words that a worker remembers; beyond, it starts afresh.
