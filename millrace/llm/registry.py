@@ -6,7 +6,8 @@ from .bpe import op8_bpe
 from .chat import op6_chat
 from .decontam import op9_decontam
 from .langid import op10_langid
+from .minhash import op1_near_dedup
 from .secrets import op7_secrets
 
-QUERIES = {"op6_chat": op6_chat, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op9_decontam": op9_decontam, "op10_langid": op10_langid}
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op6_chat": op6_chat, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op9_decontam": op9_decontam, "op10_langid": op10_langid}
 ORACLE_SQL: dict[str, str] = {}
