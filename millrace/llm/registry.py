@@ -7,9 +7,10 @@ from .chat import op6_chat
 from .decontam import op9_decontam
 from .langid import op10_langid
 from . import lines
+from .ann import op3_ann
 from .lines import op4_line_dedup
 from .minhash import op1_near_dedup
 from .secrets import op7_secrets
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op1_near_dedup": op1_near_dedup, "op6_chat": op6_chat, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op9_decontam": op9_decontam, "op10_langid": op10_langid}
+QUERIES = {"op3_ann": op3_ann, "op4_line_dedup": op4_line_dedup, "op1_near_dedup": op1_near_dedup, "op6_chat": op6_chat, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op9_decontam": op9_decontam, "op10_langid": op10_langid}
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": lines.oracle()}
