@@ -62,9 +62,28 @@ class Model:
 
     def __post_init__(self):
         self.longest = max(map(len, self.pieces), default=1)
+        self._trie()
         self.memory: dict[str, int] = {}
         self.scores = np.zeros((CACHE_WORDS, len(self.languages)))
 
+    def _trie(self) -> None:
+        """The pieces as a table: node and character to node. Node 0 is dead, node 1 the root, character 0 any other."""
+        chars = sorted({c for p in self.pieces for c in p if len(p) > 1} | {_START})
+        self.chars = np.zeros(0x110000, dtype=np.int16)
+        self.chars[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        nodes = {"": 1} | {p: k + 2 for k, p in enumerate(sorted({p[:j] for p in self.pieces if len(p) > 1 for j in range(1, len(p) + 1)} | set(chars)))}
+        self.step = np.zeros((len(nodes) + 1, len(chars) + 1), dtype=np.int32)
+        self.node_prob = np.zeros((len(nodes) + 1, len(self.languages)))
+        for p, k in nodes.items():
+            if p:
+                self.step[nodes[p[:-1]], self.chars[ord(p[-1])]] = k
+                if p in self.pieces:
+                    self.node_prob[k] = self.prob[self.pieces[p]]
+                elif len(p) == 1:
+                    self.node_prob[k] = self.unknown
+        # letters that stand in no longer piece: pieces of their own, or unknown
+        self.single = {ord(p): self.prob[k] for p, k in self.pieces.items() if len(p) == 1 and p not in chars}
+
     def lattice(self, word: str) -> list[tuple[int, int, int]]:
         """All (start, end, piece) of a word; piece -1 is an unknown letter."""
         w, get, out = _START + word, self.pieces.get, []
@@ -79,29 +98,37 @@ class Model:
         return out
 
     def word_scores(self, fresh: list[str]) -> np.ndarray:
-        """Log-probability of each word in each language.
+        """Log-probability of each word in each language: the forward algorithm on many words at once.
 
-        The words' lattices are walked side by side, one start position at a
-        time. Each position's forward value is scaled to avoid underflow.
+        From every start position the trie is walked as far as any word goes,
+        and each piece on the way adds to the forward value at its end. Now and
+        then the values are scaled, so that long words don't underflow.
         """
-        edges = [(k, *e) for k, w in enumerate(fresh) for e in self.lattice(w)]
-        who, start, end, piece = (np.array(x, dtype=np.int64) for x in zip(*edges))
-        p = np.where((piece >= 0)[:, None], self.prob[np.maximum(piece, 0)], self.unknown)
+        n, langs = len(fresh), len(self.languages)
         size = np.array([len(w) + 1 for w in fresh])
-        base = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-        logp, at, to = np.log(p), base[who] + start, base[who] + end
-        alpha = np.full((int((size + 1).sum()), len(self.languages)), -np.inf)
-        alpha[base] = 0
-        order = np.argsort(end, kind="stable")
-        cuts = np.flatnonzero(np.diff(end[order])) + 1
-        for ix in np.split(order, cuts):  # all edges that end at the same position
-            x, t = alpha[at[ix]] + logp[ix], to[ix]
-            by = np.argsort(t, kind="stable")
-            x, t = x[by], t[by]
-            first = np.concatenate([[0], np.flatnonzero(np.diff(t)) + 1])
-            top = np.maximum.reduceat(x, first)
-            alpha[t[first]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff([*first, len(t)]), axis=0)), first))
-        return alpha[base + size]
+        width = int(size.max())
+        code = np.zeros((n, width), dtype=np.uint32)
+        code[np.arange(width) < size[:, None]] = np.frombuffer("".join(_START + w for w in fresh).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        char, logs = self.chars[code], np.zeros((n, langs))
+        alpha = np.zeros((width + self.longest + 1, n, langs))
+        alpha[0] = 1
+        for i in range(width):
+            if i % 8 == 7:
+                top = alpha[i : i + self.longest + 1].max(axis=0)
+                top[(size < i) | (top == 0).any(axis=1)] = 1
+                alpha[i : i + self.longest + 1] /= top
+                logs += np.log(top)
+            node = np.ones(n, dtype=np.int32)
+            for j in range(i, min(width, i + self.longest)):
+                node = self.step[node, char[:, j]]
+                live = np.flatnonzero(node)
+                if not len(live):
+                    break
+                alpha[j + 1, live] += alpha[i, live] * self.node_prob[node[live]]
+            other = np.flatnonzero((char[:, i] == 0) & (i < size))
+            for k in other.tolist():
+                alpha[i + 1, k] += alpha[i, k] * self.single.get(int(code[k, i]), self.unknown)
+        return np.log(alpha[size, np.arange(n)]) + logs
 
     def text_scores(self, batch: list[str]) -> list[np.ndarray | None]:
         """Log-probability of each text in each language; None without a letter."""
@@ -112,8 +139,9 @@ class Model:
             fresh = [*{w for ws in split for w in ws}]
         if len(fresh) > len(self.scores):
             self.scores = np.zeros((len(fresh), len(self.languages)))
-        for i in range(0, len(fresh), 5000):
-            part = fresh[i : i + 5000]
+        fresh.sort(key=len)
+        for i in range(0, len(fresh), 2000):
+            part = fresh[i : i + 2000]
             n = len(self.memory)
             self.scores[n : n + len(part)] = self.word_scores(part)
             self.memory.update(zip(part, range(n, n + len(part))))
@@ -144,8 +172,8 @@ def train(counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = E
     fitted = [w for w in sorted(per_word) if len(w) <= 50]  # so that plain products don't underflow
     if not fitted:
         return model
-    edges = [(k, *e) for k, w in enumerate(fitted) for e in model.lattice(w)]
-    who, start, end, piece = (np.array(x, dtype=np.int64) for x in zip(*edges))
+    flat = np.concatenate([np.array([(k, *e) for e in model.lattice(w)], dtype=np.int32) for k, w in enumerate(fitted)])
+    who, start, end, piece = flat.T.astype(np.int64)
     piece[piece < 0] = v  # the last row: unknown letters
     size = np.array([len(w) + 1 for w in fitted])
     base = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
@@ -167,8 +195,7 @@ def train(counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = E
         p = total / total.sum(axis=0)
         # an unknown letter is one of many: its mass is spread over an alphabet's worth of letters
         p[v] /= 100
-    model.prob, model.unknown = p[:v], p[v]
-    return model
+    return Model(languages, index, p[:v], p[v])
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 4, part: int = 2) -> F.Column:
