@@ -31,6 +31,7 @@ from millrace.core.scratch import materialize
 from millrace.core.session import prepare, read_table
 
 from ._rows import texts
+from ._words import BASE, Q, blocks, hash_words, mix
 
 #: Values that a sketch retains.
 K = 40
@@ -42,42 +43,7 @@ LIST = 16
 BLOCK = 512
 WIDTH, NUM, DEN = 5, 80, 100
 
-_SEP = np.zeros(256, dtype=bool)
-_SEP[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_BASE, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    one = np.ones(1, dtype=np.uint64)
-    up = np.cumprod(np.concatenate([one, np.full(n, _BASE, dtype=np.uint64)]))
-    down = np.cumprod(np.concatenate([one, np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)]))
-    return up, down
-
-
-def word_hashes(block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a block of texts, and where each text's words end."""
-    raw = np.frombuffer(b" ".join([*block, b""]).translate(_LOWER), dtype=np.uint8)
-    ends = np.cumsum([len(t) + 1 for t in block])
-    if not len(raw):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(block), dtype=np.int64)
-    sep = _SEP[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], sep, [True]]).astype(np.int8)))
-    first, last = edge[0::2], edge[1::2]
-    up, down = _powers(1 << max(16, int(len(raw)).bit_length()))
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])])
-    words = _mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64) * np.uint64(_Q))
-    return words, np.searchsorted(first, ends)
-
-
-def shingle_sets(block: list[str], width: int = WIDTH) -> list[np.ndarray]:
+def shingle_sets(texts_: list[str], width: int = WIDTH) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text.
 
     Words are what separators (space, 0x09 to 0x0D) leave, with A-Z in lower
@@ -85,33 +51,26 @@ def shingle_sets(block: list[str], width: int = WIDTH) -> list[np.ndarray]:
     shingle; one without words has none.
     """
     out: list[np.ndarray] = []
-    raw = [t.encode("utf-8", "surrogatepass") for t in block]
-    i = 0
-    while i < len(raw):  # about a MB at a time, whole texts always
-        j, size = i, 0
-        while j < len(raw) and (j == i or size + len(raw[j]) < 1_000_000):
-            size += len(raw[j])
-            j += 1
-        words, ends = word_hashes(raw[i:j])
-        n = max(0, len(words) - width + 1)
+    for block in blocks(texts_):
+        got = hash_words(block)
+        words, n = got.hashes, max(0, len(got.hashes) - width + 1)
         run = np.zeros(n, dtype=np.uint64)
         for k in range(width):
-            run = run * np.uint64(_Q) + words[k : k + n]
-        run = _mix(run)
+            run = run * np.uint64(Q) + words[k : k + n]
+        run = mix(run)
         a = 0
-        for b in ends.tolist():
+        for b in got.ends.tolist():
             if b - a >= width:
                 out.append(np.unique(run[a : b - width + 1]))
             elif b > a:
                 h = np.uint64(b - a)
                 with np.errstate(over="ignore"):
                     for w in words[a:b]:
-                        h = h * np.uint64(_BASE) + w
-                out.append(_mix(np.array([h], dtype=np.uint64)))
+                        h = h * np.uint64(BASE) + w
+                out.append(mix(np.array([h], dtype=np.uint64)))
             else:
                 out.append(np.zeros(0, dtype=np.uint64))
             a = b
-        i = j
     return out
 
 

@@ -9,8 +9,9 @@ from .langid import op10_langid
 from . import lines
 from .ann import op3_ann
 from .lines import op4_line_dedup
+from .lm import op2_lm
 from .minhash import op1_near_dedup
 from .secrets import op7_secrets
 
-QUERIES = {"op3_ann": op3_ann, "op4_line_dedup": op4_line_dedup, "op1_near_dedup": op1_near_dedup, "op6_chat": op6_chat, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op9_decontam": op9_decontam, "op10_langid": op10_langid}
+QUERIES = {"op2_lm": op2_lm, "op3_ann": op3_ann, "op4_line_dedup": op4_line_dedup, "op1_near_dedup": op1_near_dedup, "op6_chat": op6_chat, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op9_decontam": op9_decontam, "op10_langid": op10_langid}
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": lines.oracle()}
