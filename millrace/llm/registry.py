@@ -12,6 +12,7 @@ from .lines import op4_line_dedup
 from .lm import op2_lm
 from .minhash import op1_near_dedup
 from .secrets import op7_secrets
+from .suffix import op5_suffix
 
-QUERIES = {"op2_lm": op2_lm, "op3_ann": op3_ann, "op4_line_dedup": op4_line_dedup, "op1_near_dedup": op1_near_dedup, "op6_chat": op6_chat, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op9_decontam": op9_decontam, "op10_langid": op10_langid}
+QUERIES = {"op5_suffix": op5_suffix, "op2_lm": op2_lm, "op3_ann": op3_ann, "op4_line_dedup": op4_line_dedup, "op1_near_dedup": op1_near_dedup, "op6_chat": op6_chat, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op9_decontam": op9_decontam, "op10_langid": op10_langid}
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": lines.oracle()}
