@@ -6,8 +6,9 @@
    least ``cut`` retained values, so with each class's values ordered rare
    first it shares one among the first k - cut + 1: only those are listed.
 3. Short lists give all their pairs. A long list gives each member's pair with
-   one hub; members that end up in the hub's component need no more, and the
-   others are compared with the list in blocks.
+   one hub, the member whose values are listed most; members that end up in the
+   hub's component need no more, and the others are compared in blocks with all
+   members of the lists that have this hub.
 4. The union sketch of a pair estimates its similarity and drops pairs below
    ``cut`` of k; the rest are verified on their full sets.
 5. Connected components of verified links.
@@ -39,8 +40,8 @@ K = 40
 MISS = 1e-9
 #: Members up to which a list gives all its pairs.
 LIST = 16
-#: Members in a block of a long list.
-BLOCK = 512
+#: Members, and characters of their texts, in a block of a hub's members.
+BLOCK, BLOCK_CHARS = 512, 2_000_000
 WIDTH, NUM, DEN = 5, 80, 100
 
 def shingle_sets(texts_: list[str], width: int = WIDTH) -> list[np.ndarray]:
@@ -165,41 +166,63 @@ def _verify(pairs: DataFrame, bodies: DataFrame, width: int, num: int, den: int)
     return both.mapInArrow(run, "a long, b long")
 
 
-def _block_pairs(members: DataFrame, rest: DataFrame, classes: DataFrame, t: float) -> DataFrame:
-    """Pairs of a long list's unsettled members with its other members, block by block.
+def _block_links(members: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links between a hub's unsettled members and all its members, block by block.
 
-    ``rest`` and ``members`` have (v, node, comp). Blocks of both sides meet in
-    tasks of their own; only pairs that the union sketch allows come out.
+    ``members`` has (hub, node, n, comp, rest, text); ``rest`` marks the
+    unsettled. Blocks hold sets of like size, and only blocks whose sizes allow
+    a link meet, each pair of blocks in its own row. Intersections of all pairs
+    of two blocks come from one matrix product over their shared shingles, so
+    every pair is verified on its full sets. Out come only the links that join
+    components which earlier links of the same row haven't joined.
     """
-    sketch = classes.select("node", "n", "sketch")
-    pack = lambda df, x: (
-        df.join(sketch, "node").groupBy("v", (F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK))).alias(f"block_{x}"))
-        .agg(F.collect_list(F.struct("node", "comp", "sketch")).alias(x))
+    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))).alias("size")
+    m = members.select("hub", "node", "n", "comp", "rest", "text", size)
+    total = lambda df, c: df.groupBy("hub", "size").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.length("text")) / BLOCK_CHARS)).alias(c))
+    pack = lambda df, c, x: (
+        df.join(total(df, c), ["hub", "size"]).groupBy("hub", "size", F.pmod(F.xxhash64("node"), F.col(c)).alias("part"))
+        .agg(F.collect_list(F.struct("node", "comp", "text")).alias(x))
     )
-    size = lambda df: df.join(df.groupBy("v").agg(F.count(F.lit(1)).alias("m")), "v")
-    a, b = (materialize(pack(size(df), x), "blocks") for df, x in ((rest, "left"), (members, "right")))
-    met = a.join(b, "v").repartition("v", "block_left", "block_right").select("left", "right")
+    right = materialize(pack(m, "parts", "right"), "near-right")
+    parts = right.groupBy(F.col("hub"), F.col("size").alias("meets")).agg(F.max("part").alias("last"))
+    left = pack(m.where("rest"), "p", "left").drop("part").withColumn("meets", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).drop("size")
+    left = left.join(parts, ["hub", "meets"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("last").cast("int")))).drop("last")
+    met = left.withColumn("part", F.col("part").cast("long")).join(right.withColumnRenamed("size", "meets").withColumn("part", F.col("part").cast("long")), ["hub", "meets", "part"]).select("left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1)):
-                left, right = left.as_py(), right.as_py()
-                sl, sr = ([np.frombuffer(x["sketch"], dtype=np.uint64) for x in side] for side in (left, right))
+            for i in range(batch.num_rows):
+                left, right = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                sl, sr = (shingle_sets([x["text"] or "" for x in side], width) for side in (left, right))
                 all_l, all_r = np.concatenate(sl), np.concatenate(sr)
-                common = np.intersect1d(all_l, all_r)
-                hot = []
-                for s, flat in ((sl, all_l), (sr, all_r)):
-                    at = np.searchsorted(common, flat)
-                    hit = common[np.minimum(at, len(common) - 1)] == flat
-                    m = np.zeros((len(s), len(common)), dtype=np.float32)
-                    m[np.repeat(np.arange(len(s)), [len(x) for x in s])[hit], at[hit]] = 1
-                    hot.append(m)
+                common, shared = np.intersect1d(all_l, all_r), np.zeros((len(sl), len(sr)), dtype=np.float32)
+                for k in range(0, len(common), 4096):
+                    part = common[k : k + 4096]
+                    hot = []
+                    for s, flat in ((sl, all_l), (sr, all_r)):
+                        at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+                        hit = part[at] == flat
+                        one = np.zeros((len(s), len(part)), dtype=np.float32)
+                        one[np.repeat(np.arange(len(s)), [len(x) for x in s])[hit], at[hit]] = 1
+                        hot.append(one)
+                    shared += hot[0] @ hot[1].T
+                union = np.array([len(x) for x in sl])[:, None] + np.array([len(x) for x in sr])[None, :] - shared
                 cl, cr = (np.array([x["comp"] for x in side]) for side in (left, right))
-                nl, nr = (np.array([x["node"] for x in side]) for side in (left, right))
-                least = min(cut_for(t), *(ceil(t * min(len(x), K)) for x in sl))
-                i, j = np.nonzero((hot[0] @ hot[1].T >= least) & (cl[:, None] != cr[None, :]))
-                ok = [(min(nl[p], nr[q]), max(nl[p], nr[q])) for p, q in zip(i.tolist(), j.tolist()) if _may_link(sl[p], sr[q], t)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in ok], pa.int64()), pa.array([x[1] for x in ok], pa.int64())], names=["a", "b"])
+                above: dict[int, int] = {}
+
+                def top(x: int) -> int:
+                    while (y := above.get(x, x)) != x:
+                        x = y
+                    return x
+
+                a, b = [], []
+                for p, q in np.argwhere((den * shared >= num * union) & (cl[:, None] != cr[None, :])).tolist():
+                    x, y = top(int(cl[p])), top(int(cr[q]))
+                    if x != y:
+                        above[max(x, y)] = min(x, y)
+                        a.append(left[p]["node"])
+                        b.append(right[q]["node"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return met.mapInArrow(run, "a long, b long")
 
@@ -233,9 +256,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         prefix = prefix.when(F.col("n") == n, F.lit(prefix_for(n, t)))
     mine = values.join(shared, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("vs"))
     alone = F.least(F.col("n"), F.lit(K)) - F.size("vs")  # values that nobody else has come first
-    mine = mine.select("node", "n", F.explode(F.slice("vs", 1, F.greatest(F.lit(0), prefix - alone).cast("int"))["v"]).alias("v"))
+    central = F.aggregate("vs", F.lit(0).cast("long"), lambda acc, x: acc + x["c"]).alias("central")
+    mine = mine.select("node", "n", central, F.explode(F.slice("vs", 1, F.greatest(F.lit(0), prefix - alone).cast("int"))["v"]).alias("v"))
     lists = materialize(mine, "near-lists")
-    sizes = lists.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("node", "v"), F.col("node"), F.col("n"))).alias("hub"))
+    sizes = lists.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("central", "node", "n")).alias("hub"))
     sizes = materialize(sizes.where("m > 1").select("v", "m", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "near-sizes")
 
     fits = lambda x, y: (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
@@ -247,20 +271,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = long.where((F.col("node") != F.col("hub")) & fits("n", "hub_n")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     pairs = materialize(_filter_pairs(pairs.unionByName(hubs).distinct(), classes, t), "near-pairs")
 
-    links = materialize(_verify(pairs, _bodies(docs, text_col, rows, classes, pairs), width, num, den), "near-links")
+    links = materialize(_verify(pairs, _bodies(docs, text_col, classes, pairs.select(F.explode(F.array("a", "b")).alias("node"))), width, num, den), "near-links")
     comps = materialize(connected_components(links, "a", "b"), "near-comps")
 
     # members of long lists that aren't in their hub's component
     named = classes.select("node").join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
-    placed = materialize(long.select("v", "node", "hub").join(named, "node"), "near-placed")
-    hub_of = placed.where("node = hub").select("v", F.col("comp").alias("hub_comp"))
-    rest = materialize(placed.join(hub_of, "v").where("comp <> hub_comp").select("v", "node", "comp"), "near-rest")
-    if not rest.isEmpty():
-        members = placed.select("v", "node", "comp").join(rest.select("v").distinct(), "v")
-        more = materialize(_block_pairs(members, rest, classes, t).distinct(), "near-more")
-        more = materialize(_verify(more, _bodies(docs, text_col, rows, classes, more), width, num, den), "near-links")
-        links = links.unionByName(more)
-        comps = materialize(connected_components(links, "a", "b"), "near-comps")
+    placed = materialize(long.select("hub", "node", "n").distinct().join(named, "node"), "near-placed")
+    hub_of = placed.where("node = hub").select("hub", F.col("comp").alias("hub_comp"))
+    placed = materialize(placed.join(hub_of, "hub").withColumn("rest", F.col("comp") != F.col("hub_comp")).drop("hub_comp"), "near-placed")
+    unsettled = materialize(placed.where("rest").select("hub").distinct(), "near-unsettled")
+    if not unsettled.isEmpty():
+        members = materialize(placed.join(unsettled, "hub"), "near-members")
+        bodies = _bodies(docs, text_col, classes, members.select("node"))
+        more = materialize(_block_links(members.join(bodies, "node"), width, num, den), "near-links")
+        comps = materialize(connected_components(links.unionByName(more), "a", "b"), "near-comps")
 
     named = classes.join(comps, "node", "left").select("key", "least", F.coalesce("component", "node").alias("comp"))
     first = named.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -270,9 +294,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
 
 
-def _bodies(docs: DataFrame, text_col: str, rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One text for each class that is in a pair."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "text_key"), "node")
+def _bodies(docs: DataFrame, text_col: str, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One text for each class that is asked for."""
+    need = nodes.distinct().join(classes.select("node", "text_key"), "node")
     text = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     text = text.withColumn("text_key", _key_of(F.col("text")))
     return materialize(text.join(materialize(need, "near-need"), "text_key").dropDuplicates(["node"]).select("node", "text"), "near-bodies")
