@@ -27,6 +27,8 @@ EM_ROUNDS = 3
 UNDETERMINED = "und"
 #: Distinct words that a worker remembers; beyond, it starts afresh.
 CACHE_WORDS = 300_000
+#: Words times the letters of the longest that are walked at once.
+WALK_LETTERS = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START = "▁"
 
@@ -140,11 +142,15 @@ class Model:
         if len(fresh) > len(self.scores):
             self.scores = np.zeros((len(fresh), len(self.languages)))
         fresh.sort(key=len)
-        for i in range(0, len(fresh), 2000):
+        i = 0
+        while i < len(fresh):
             part = fresh[i : i + 2000]
+            while len(part) > 1 and len(part) * len(part[-1]) > WALK_LETTERS:  # few long words at once
+                part = part[: len(part) // 2]
             n = len(self.memory)
             self.scores[n : n + len(part)] = self.word_scores(part)
             self.memory.update(zip(part, range(n, n + len(part))))
+            i += len(part)
         get = self.memory.__getitem__
         return [self.scores[np.fromiter(map(get, ws), dtype=np.int64, count=len(ws))].sum(axis=0) if ws else None for ws in split]
 
