@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark, t = prepare(docs.sparkSession), num / den
     rows = materialize(_signatures(docs, id_col, text_col, width), "near-rows")
-    classes = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("least"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("text_key").alias("text_key"))
+    classes = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("least"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min(F.struct("id", "text_key")).alias("body"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
 
     # inverted lists of the rarest values
@@ -271,7 +271,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = long.where((F.col("node") != F.col("hub")) & fits("n", "hub_n")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     pairs = materialize(_filter_pairs(pairs.unionByName(hubs).distinct(), classes, t), "near-pairs")
 
-    links = materialize(_verify(pairs, _bodies(docs, text_col, classes, pairs.select(F.explode(F.array("a", "b")).alias("node"))), width, num, den), "near-links")
+    # texts are dealt once, for the pairs and for what long lists may still need
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long.select("node"))
+    bodies = _bodies(docs, id_col, text_col, classes, asked)
+    links = materialize(_verify(pairs, bodies, width, num, den), "near-links")
     comps = materialize(connected_components(links, "a", "b"), "near-comps")
 
     # members of long lists that aren't in their hub's component
@@ -282,7 +285,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unsettled = materialize(placed.where("rest").select("hub").distinct(), "near-unsettled")
     if not unsettled.isEmpty():
         members = materialize(placed.join(unsettled, "hub"), "near-members")
-        bodies = _bodies(docs, text_col, classes, members.select("node"))
         more = materialize(_block_links(members.join(bodies, "node"), width, num, den), "near-links")
         comps = materialize(connected_components(links.unionByName(more), "a", "b"), "near-comps")
 
@@ -294,12 +296,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
 
 
-def _bodies(docs: DataFrame, text_col: str, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One text for each class that is asked for."""
-    need = nodes.distinct().join(classes.select("node", "text_key"), "node")
-    text = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    text = text.withColumn("text_key", _key_of(F.col("text")))
-    return materialize(text.join(materialize(need, "near-need"), "text_key").dropDuplicates(["node"]).select("node", "text"), "near-bodies")
+def _bodies(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One text for each class that is asked for: of its first row, so that copies don't meet in one place."""
+    need = nodes.distinct().join(classes.select("node", F.col("body.id").alias("of"), F.col("body.text_key").alias("text_key")), "node")
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    text, need = text.withColumn("text_key", _key_of(F.col("text"))), materialize(need, "near-need")
+    found = text.join(need, (text["text_key"] == need["text_key"]) & text["id"].eqNullSafe(need["of"]))
+    return materialize(found.dropDuplicates(["node"]).select("node", "text"), "near-bodies")
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
