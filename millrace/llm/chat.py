@@ -128,3 +128,16 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
         F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "round_trip",
     )
+
+
+_SPECIAL = "[\\\\<>!]"
+_TURN_END = "'</turn>' || chr(10)"
+#: DuckDB SQL of the query. A text needs escaping exactly if it holds the end mark.
+ORACLE = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+n AS (SELECT *, 15 + length(role) + len(regexp_extract_all(role, '{_SPECIAL}')) + length(text)
+  + CASE WHEN contains(text, {_TURN_END}) THEN 1 + len(regexp_extract_all(text, '{_SPECIAL}')) ELSE 0 END AS chars FROM t),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS learned, sum(chars)::BIGINT AS formatted_chars FROM n GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars, true AS round_trip FROM c"""

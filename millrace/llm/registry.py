@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+from . import chat, decontam, lines, minhash
+from .ann import op3_ann
 from .bpe import op8_bpe
-from .chat import op6_chat
-from .decontam import op9_decontam
 from .langid import op10_langid
-from . import lines
-from .ann import op3_ann
-from .lines import op4_line_dedup
 from .lm import op2_lm
-from .minhash import op1_near_dedup
 from .secrets import op7_secrets
 from .suffix import op5_suffix
 
-QUERIES = {"op5_suffix": op5_suffix, "op2_lm": op2_lm, "op3_ann": op3_ann, "op4_line_dedup": op4_line_dedup, "op1_near_dedup": op1_near_dedup, "op6_chat": op6_chat, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op9_decontam": op9_decontam, "op10_langid": op10_langid}
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": lines.oracle()}
+QUERIES = {
+    "op1_near_dedup": minhash.op1_near_dedup, "op2_lm": op2_lm, "op3_ann": op3_ann, "op4_line_dedup": lines.op4_line_dedup, "op5_suffix": op5_suffix,
+    "op6_chat": chat.op6_chat, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op9_decontam": decontam.op9_decontam, "op10_langid": op10_langid,
+}
+ORACLE_SQL: dict[str, str] = {"op1_near_dedup": minhash.ORACLE, "op4_line_dedup": lines.oracle(), "op6_chat": chat.ORACLE, "op9_decontam": decontam.ORACLE}
