@@ -7,9 +7,10 @@
    64 inside it. Windows repeat only where their anchors' bucket has several
    members, so buckets with one member are settled at once.
 3. An anchor stands for the run of windows that share it. Where the whole run's
-   text occurs again, the run is settled. What is left open is refined window by
-   window, against one member of each distinct run of the bucket: within one
-   task while a bucket is small, by an aggregate over window buckets beyond.
+   text occurs again, the run is settled. What is left open is refined against
+   one member of each distinct run of the bucket: window by window within one
+   task while a bucket is small; a larger bucket is first split by halves of the
+   runs, each named by all bytes that its windows have in common.
 """
 
 from __future__ import annotations
@@ -63,14 +64,17 @@ def _find_anchors(src: DataFrame, length: int) -> DataFrame:
     return src.mapInArrow(run, "key binary, gram long, run long, a long, p0 long, p1 long")
 
 
+_CONTEXT = "bucket long, m long, open boolean, key binary, p0 long, at long, ctx binary"
+
+
 def _contexts(bodies: DataFrame, length: int) -> DataFrame:
-    """(gram, m, open, key, p0, ctx): for each run to refine the text that its windows span."""
+    """(bucket, m, open, key, p0, at, ctx): for each run to refine the text that its windows span, and the anchor's place there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for key, t, runs in zip(b.column(0).to_pylist(), texts(b, "text"), b.column(2).to_pylist()):
                 raw = t.encode()
-                rows += [(r["gram"], r["m"], r["open"], key, r["p0"], raw[r["p0"] : r["p1"] + length]) for r in runs]
+                rows += [(r["gram"], r["m"], r["open"], key, r["p0"], r["a"] - r["p0"], raw[r["p0"] : r["p1"] + length]) for r in runs]
                 if len(rows) > 2000:
                     yield _batch(rows)
                     rows = []
@@ -78,12 +82,12 @@ def _contexts(bodies: DataFrame, length: int) -> DataFrame:
                 yield _batch(rows)
 
     def _batch(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.binary()))], names=["gram", "m", "open", "key", "p0", "ctx"])
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "m", "open", "key", "p0", "at", "ctx"])
 
-    return bodies.mapInArrow(run, "gram long, m long, open boolean, key binary, p0 long, ctx binary")
+    return bodies.mapInArrow(run, _CONTEXT)
 
 
-def _windows(ctx: list[bytes], grams: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(ctx: list[bytes], buckets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Names of all windows of some contexts: (name, context, offset)."""
     raw = np.frombuffer(b"".join(ctx), dtype=np.uint8)
     sizes = np.array([len(c) for c in ctx])
@@ -92,14 +96,14 @@ def _windows(ctx: list[bytes], grams: np.ndarray, length: int) -> tuple[np.ndarr
     n = sizes - length + 1
     who = np.repeat(np.arange(len(ctx)), n)
     at = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-    return pair(full[starts[who] + at], grams[who]), who, at
+    return pair(full[starts[who] + at], buckets[who]), who, at
 
 
 def _in_task(small: DataFrame, length: int) -> DataFrame:
     """(key, p0, p1): runs of repeated windows of open contexts; a bucket's rows follow each other."""
     def refined(rows: list[dict]) -> pa.RecordBatch:
-        grams = np.array([r["gram"] for r in rows], dtype=np.int64).view(np.uint64)
-        name, who, at = _windows([r["ctx"] for r in rows], grams, length)
+        buckets = np.array([r["bucket"] for r in rows], dtype=np.int64).view(np.uint64)
+        name, who, at = _windows([r["ctx"] for r in rows], buckets, length)
         _, back, count = np.unique(name, return_inverse=True, return_counts=True)
         open_ = np.array([r["open"] for r in rows])
         hit = (count[back] > 1) & open_[who]
@@ -113,31 +117,68 @@ def _in_task(small: DataFrame, length: int) -> DataFrame:
         held: list[dict] = []
         for b in batches:
             for r in b.to_pylist():
-                if len(held) >= TASK_RUNS and r["gram"] != held[-1]["gram"]:
+                if len(held) >= TASK_RUNS and r["bucket"] != held[-1]["bucket"]:
                     yield refined(held)
                     held = []
                 held.append(r)
         if held:
             yield refined(held)
 
-    return small.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "key binary, p0 long, p1 long")
+    return small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key binary, p0 long, p1 long")
 
 
-def _by_window(large: DataFrame, length: int) -> DataFrame:
-    """The same for large buckets: windows are counted by name, wherever they are."""
+def _halves(large: DataFrame, length: int) -> DataFrame:
+    """Each run as two, by how far its windows begin before the anchor (``lo`` to ``hi`` bytes).
+
+    A half's bucket is named by what all windows of the range have in common,
+    wherever they are, so equal windows stay in one bucket; ``run`` names the
+    text that the half's own windows span.
+    """
+    name = lambda text, *n: int.from_bytes(hashlib.blake2b(text, digest_size=8, salt=b"".join(x.to_bytes(8, "little") for x in n)).digest(), "little", signed=True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 200):
-                rows = whole.slice(i, 200).to_pylist()
-                grams = np.array([r["gram"] for r in rows], dtype=np.int64).view(np.uint64)
-                name, who, at = _windows([r["ctx"] for r in rows], grams, length)
-                p = np.array([r["p0"] for r in rows], dtype=np.int64)[who] + at
-                take = pa.array(who)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array([r["open"] for r in rows]).take(take), pa.array([r["key"] for r in rows], pa.binary()).take(take), pa.array(p)], names=["name", "open", "key", "p"])
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                ctx, at = r["ctx"], r["at"]
+                mid = (r["lo"] + r["hi"]) // 2
+                for lo, hi in ((r["lo"], mid), (mid + 1, r["hi"])):
+                    first, last = max(0, at - hi), min(len(ctx) - length, at - lo)
+                    if lo <= hi and first <= last:
+                        part = ctx[first : last + length]
+                        rows.append((name(ctx[at - lo : at + length - hi], lo, hi), name(part, at - first), r["open"], r["key"], r["p0"] + first, at - first, part, lo, hi))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["bucket", "run", "open", "key", "p0", "at", "ctx", "lo", "hi"])
+
+    return large.mapInArrow(run, "bucket long, run long, open boolean, key binary, p0 long, at long, ctx binary, lo int, hi int")
 
-    named = materialize(large.mapInArrow(run, "name long, open boolean, key binary, p long"), "suffix-windows")
-    twice = materialize(named.groupBy("name").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("name"), "suffix-twice")
-    return named.where("open").join(twice, "name", "left_semi").select("key", F.col("p").alias("p0"), F.col("p").alias("p1"))
+
+def _refined(ctx: DataFrame, length: int) -> DataFrame:
+    """(key, p0, p1): runs of repeated windows of the open contexts.
+
+    Large buckets are split until they are small, or hold one run. Each round
+    halves the ranges, so there are log2(length) rounds at most, and what a
+    round settles doesn't enter the next.
+    """
+    found = [_in_task(ctx.where(F.col("m") <= TASK_RUNS), length)]
+    large = ctx.where(F.col("m") > TASK_RUNS).select("open", "key", "p0", "at", "ctx", F.lit(0).alias("lo"), F.lit(length - GRAM).alias("hi"))
+    while not large.isEmpty():
+        half = materialize(_halves(large, length), "suffix-halves")
+        one = F.col("c") == 1
+        runs = half.groupBy("bucket", "run").agg(F.count(F.lit(1)).alias("c"), F.max("open").alias("open"), F.min(F.struct("key", "p0")).alias("first"))
+        runs = materialize(runs, "suffix-runs")
+        more = runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.max(one & F.col("open")).alias("any")).where("any AND m > 1").select("bucket", "m")
+        again = half.where("open").join(runs.where("c > 1").select("bucket", "run"), ["bucket", "run"], "left_semi")
+        found.append(again.select("key", "p0", (F.col("p0") + F.octet_length("ctx") - length).alias("p1")))
+        kept = half.drop("open").join(runs.select("bucket", "run", (F.col("open") & one).alias("open"), "first"), ["bucket", "run"]).where((F.col("key") == F.col("first.key")) & (F.col("p0") == F.col("first.p0")))
+        kept = materialize(kept.drop("run", "first").join(more, "bucket"), "suffix-kept")
+        found.append(_in_task(kept.where(F.col("m") <= TASK_RUNS), length))
+        large = kept.where(F.col("m") > TASK_RUNS).select("open", "key", "p0", "at", "ctx", "lo", "hi")
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -160,12 +201,12 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     runs = several.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "a", "p0", "p1")).alias("at"))
     runs = materialize(runs.select("gram", "c", "at.*"), "suffix-runs")
     open_ = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("least")).where("least = 1").select("gram", "m")
-    todo = runs.join(materialize(open_, "suffix-open"), "gram").select("key", F.struct("gram", "m", (F.col("c") == 1).alias("open"), "p0", "p1").alias("r"))
+    todo = runs.join(materialize(open_, "suffix-open"), "gram").select("key", F.struct("gram", "m", (F.col("c") == 1).alias("open"), "a", "p0", "p1").alias("r"))
     todo = materialize(todo.groupBy("key").agg(F.collect_list("r").alias("runs")), "suffix-todo")
     bodies = src.withColumn("key", _key(F.col("text"))).select("key", "text")
     bodies = bodies.join(todo.select("key"), "key", "left_semi").dropDuplicates(["key"]).join(todo, "key").select("key", "text", "runs")
     ctx = materialize(_contexts(bodies, length), "suffix-contexts")
-    fine = _in_task(ctx.where(F.col("m") <= TASK_RUNS), length).unionByName(_by_window(ctx.where(F.col("m") > TASK_RUNS), length))
+    fine = _refined(ctx, length)
 
     # settled runs are those of repeated buckets that aren't open; per text, once however often it occurs
     none = F.lit(None).cast("long")
