@@ -76,7 +76,8 @@ def test_contract_query(spark, sf_small):
 def test_odd_inputs(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffix.remove_repeats(empty).collect() == []
-    long = "".join(random.Random(5).choice("abc ") for _ in range(400_000))
+    rng = random.Random(5)
+    long = "".join(rng.choice("abc ") for _ in range(400_000))
     rows = [(1, long, 1, "k"), (None, long[1000:2000], 2, "k"), (None, None, 3, "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans int, key string")
     got = {r.doc_id: r for r in suffix.remove_repeats(df).collect() if r.doc_id}
