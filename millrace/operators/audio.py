@@ -167,7 +167,7 @@ def hallucination(text: Column, duration: Column, language: Column, phrases: lis
     phrase = F.exists(forms, lambda f: f.isin(*known)) if known else F.lit(False)
     for p in known:
         if len(p) >= 8:
-            phrase = phrase | F.exists(forms, lambda f, p=p: F.startswith(f, F.lit(p)))
+            phrase = phrase | F.startswith(forms[0], F.lit(p)) | F.startswith(forms[1], F.lit(p))
     chars = F.length(F.array_join(w, ""))
     rate = (duration > 0) & (chars / duration > max_char_rate)
     repeated = F.size(F.array_distinct(w)) / F.size(w) <= unique_share

@@ -28,7 +28,7 @@ def read_documents(
         raise ValueError(f"unknown format {fmt}")
     if block_bytes:
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(block_bytes))
-    reader = spark.read.options(recursiveFileLookup="true", pathGlobFilter=EXTENSIONS[fmt], **options)
+    reader = spark.read.options(**{"recursiveFileLookup": "true", "pathGlobFilter": EXTENSIONS[fmt], **options})
     df = (reader.schema(schema) if schema else reader).format(fmt).load(path)
     if file_limit is not None:
         some = sorted(df.inputFiles())[:file_limit]

@@ -22,6 +22,13 @@ def ingest(spark: SparkSession, source: str, schema: str, steps: Callable[[DataF
     return steps(reader.load(source)).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _marked(events: DataFrame, time_col: str, late: str) -> DataFrame:
+    """A stream with a watermark; times without a zone are read in the session's. A table stays as it is."""
+    if not events.isStreaming:
+        return events
+    return events.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, late)
+
+
 def deduplicated(df: DataFrame, keys: list[str], time_col: str, late: str = "1 hour") -> DataFrame:
     """The first row of each key within the watermark; state is bounded by it."""
     return df.withWatermark(time_col, late).dropDuplicatesWithinWatermark(keys)
@@ -30,13 +37,13 @@ def deduplicated(df: DataFrame, keys: list[str], time_col: str, late: str = "1 h
 def windowed_counts(events: DataFrame, time_col: str = "ts", kind_col: str = "event_type", value_col: str = "value", width: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:
     """Events and their mean value by window and kind; works on a stream and on a table."""
     w = F.window(time_col, width, slide) if slide else F.window(time_col, width)
-    df = events.withWatermark(time_col, late) if events.isStreaming else events
+    df = _marked(events, time_col, late)
     out = df.groupBy(w.alias("w"), kind_col).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value_col), 6).alias("mean_value"))
     return out.select(F.col("w.start").alias("window_start"), kind_col, "n", "mean_value")
 
 
 def sessions(events: DataFrame, key_col: str = "user_id", time_col: str = "ts", gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """Runs of a key's events without a gap of ``gap``."""
-    df = events.withWatermark(time_col, late) if events.isStreaming else events
+    df = _marked(events, time_col, late)
     out = df.groupBy(F.session_window(time_col, gap).alias("w"), key_col).agg(F.count(F.lit(1)).alias("n"))
     return out.select(key_col, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
