@@ -31,13 +31,25 @@ MIN_DOCS, MIN_PLACES = 8, 8
 MAJORITY, CONSTANT = 0.5, 0.5
 
 
-def _tokens(line: Column) -> Column:
-    """Tokens between spaces, tabs and the like; one with a digit is ``<*>``."""
-    return F.transform(F.array_remove(F.split(line, "[ \\t\\r\\f\\x0B]+"), ""), lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
+#: Leaves up to which their list is broadcast (8 bytes each); a longer one is joined by a shuffle.
+BROADCAST_LEAVES = 1 << 20
+_WS = " \\t\\r\\f\\x0B"
 
 
-def _key(tokens: Column) -> Column:
-    return F.xxhash64(F.array_join(tokens, " "))
+def _normal(body: Column) -> Column:
+    """Lines as tokens with single spaces between; a token with a digit is ``<*>``. Whole texts at once, in linear time."""
+    t = F.regexp_replace(body, f"(?<![^{_WS}\\n])[^0-9{_WS}\\n]*+[0-9][^{_WS}\\n]*+", "<*>")
+    return F.transform(F.split(F.regexp_replace(t, f"[{_WS}]+", " "), "\n"), lambda x: F.trim(x))
+
+
+def _size(line: Column) -> Column:
+    """Tokens of a normal line."""
+    return F.when(line == "", F.lit(0)).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+
+
+def _among(df: DataFrame, some: DataFrame, column: str) -> DataFrame:
+    """Rows whose value is in a table of distinct longs."""
+    return df.join(F.broadcast(some) if some.count() <= BROADCAST_LEAVES else some, column, "left_semi")
 
 
 def line_dedup(
@@ -57,25 +69,30 @@ def line_dedup(
     clash = [c for c in docs.columns if c.lower() in {"n_lines", "n_dropped"}]
     docs = docs.drop(*clash)
     names = docs.columns
-    src = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(text_col).alias("body")).withColumn("doc", F.unhex(F.md5(F.col("body").cast("binary"))))
+    rest = [c for c in names if c.lower() != text_col.lower()]
+    src = docs.select(F.struct(F.lit(0), *(F.col(f"`{c}`") for c in rest)).alias("row"), F.col(text_col).alias("body")).withColumn("doc", F.unhex(F.md5(F.col("body").cast("binary"))))
 
-    # one row for each line that may be a template, with the class of its neighbours
-    toks = src.where("body IS NOT NULL").select("doc", F.transform(F.split("body", "\n"), _tokens).alias("all"))
-    toks = toks.select("doc", F.transform("all", F.size).alias("sizes"), "all")
+    # one row for each line that may be a template, with its leaf and the class of its neighbours
+    whole = src.where("body IS NOT NULL").select("doc", _normal(F.col("body")).alias("all")).select("doc", "all", F.transform("all", _size).alias("sizes"))
     at = lambda i: F.coalesce(F.try_element_at("sizes", i), F.lit(0)) % 8
     place = lambda i: F.when(i > 0, at(F.greatest(i, F.lit(1)))).otherwise(0) * 8 + at(i + 2)
-    lines = toks.select("doc", F.explode(F.transform("all", lambda x, i: F.struct(x.alias("t"), place(i).alias("place")))).alias("l"))
-    lines = lines.where(F.size("l.t") >= min_tokens).select("doc", F.col("l.t").alias("t"), _key(F.col("l.t")).alias("key"), F.expr("shiftleft(1L, l.place)").alias("place"))
-    once = lines.groupBy("key", "doc").agg(F.bit_or("place").alias("places"), F.min(F.array_join("t", " ")).alias("line"))
-    by_line = once.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.bit_or("places").alias("places"), F.min("line").alias("line"))
-    by_line = by_line.withColumn("t", F.split("line", " "))
-    by_line = materialize(by_line.select("key", "docs", "places", "t", F.xxhash64(F.size("t"), F.slice("t", 1, depth)).alias("leaf")), "line-kinds")
+    each = F.filter(F.transform("all", lambda x, i: F.struct(x.alias("line"), F.element_at("sizes", i + 1).alias("n"), place(i).alias("place"))), lambda x: x["n"] >= min_tokens)
+    leaf = F.xxhash64("n", F.substring_index("line", " ", depth)).alias("leaf")
+    lines = whole.select("doc", F.explode(each).alias("l")).select("doc", "l.*").select("doc", "line", "n", F.xxhash64("line").alias("key"), leaf, F.expr("shiftleft(1L, place)").alias("place"))
+    rows = materialize(lines.drop("line"), "line-rows")
+
+    # a template is seen in at least so many documents, and so is its leaf
+    often = materialize(rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_docs).select("leaf"), "line-often")
+    once = materialize(_among(rows, often, "leaf").groupBy("key", "leaf", "n", "doc").agg(F.bit_or("place").alias("places")), "line-once")
+    by_line = materialize(once.groupBy("key", "leaf", "n").agg(F.count(F.lit(1)).alias("docs"), F.bit_or("places").alias("places")), "line-kinds")
     recurs = (F.col("docs") >= min_docs) & (F.bit_count("places") >= min_places)
 
     # leaves of several lines: constant positions by majority
-    leaves = by_line.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.sum("docs").alias("docs"), F.min(F.size("t")).alias("n"))
+    leaves = by_line.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.sum("docs").alias("docs"), F.min("n").alias("n"))
     leaves = materialize(leaves.where((F.col("lines") > 1) & (F.col("docs") >= min_docs) & (F.col("n") >= 2 * depth)).select("leaf", "lines"), "line-leaves")
-    inside = by_line.join(leaves, "leaf").select("leaf", "lines", "key", "docs", "places", F.size("t").alias("n"), F.posexplode(F.slice("t", depth + 1, F.size("t"))).alias("pos", "tok"))
+    texts = materialize(_among(lines.select("leaf", "key", "line"), leaves.select("leaf"), "leaf").distinct(), "line-texts")
+    inside = texts.join(leaves, "leaf").join(by_line.select("key", "docs", "places", "n"), "key")
+    inside = inside.select("leaf", "lines", "key", "docs", "places", "n", F.posexplode(F.slice(F.split("line", " "), depth + 1, F.col("n"))).alias("pos", "tok"))
     votes = inside.groupBy("leaf", "pos", "tok").agg(F.count(F.lit(1)).alias("c"), F.first("lines").alias("lines")).where(F.col("c") > F.col("lines") * majority)
     fixed = materialize(votes.select("leaf", "pos", "tok"), "line-fixed")
     wide = fixed.groupBy("leaf").agg(F.count(F.lit(1)).alias("constants"))
@@ -86,11 +103,11 @@ def line_dedup(
     dropped = by_line.where(recurs).select("key").unionByName(like.join(general, "leaf").select("key")).distinct()
     dropped = materialize(dropped, "line-dropped")
 
-    mine = lines.select("key", "doc").distinct().join(dropped, "key").groupBy("doc").agg(F.collect_set("key").alias("drop"))
+    mine = once.select("key", "doc").join(dropped, "key").groupBy("doc").agg(F.collect_set("key").alias("drop"))
     out = src.join(materialize(mine, "line-mine"), "doc", "left")
     split = F.split("body", "\n")
-    left = F.filter(split, lambda l: ~F.array_contains("drop", _key(_tokens(l))))
-    out = out.withColumn("left", F.when(F.col("drop").isNotNull(), left).otherwise(split))
+    pairs = F.filter(F.arrays_zip(split.alias("raw"), _normal(F.col("body")).alias("line")), lambda x: ~F.array_contains("drop", F.xxhash64(x["line"])))
+    out = out.withColumn("left", F.when(F.col("drop").isNotNull(), F.transform(pairs, lambda x: x["raw"])).otherwise(split))
     text = F.array_join("left", "\n")
     cols = [text.alias(c) if c.lower() == text_col.lower() else F.col(f"row.`{c}`").alias(c) for c in names]
     count = lambda c: F.coalesce(F.size(c).cast("long"), F.lit(0).cast("long"))
