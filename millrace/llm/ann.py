@@ -5,7 +5,8 @@ dimensions estimates the whole. They are dealt to inverted lists by nearest
 centroid and kept there in blocks. A query scans the blocks of the lists it
 probes a column block at a time; after each, a hypothesis test abandons the
 candidates whose partial distance is too large for the query's bound. What is
-left is scored in double precision on the original vectors.
+left is scored in double precision on the original vectors. The most promising
+lists are scanned first, and what they give is the bound for the others.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ PROBE_RECALL = 0.97
 EPSILON = 2.4
 COLUMNS = 16
 BLOCK, QUERY_BLOCK = 2048, 512
+#: Lists that are scanned first.
+FIRST = 2
 
 
 @dataclass
@@ -81,7 +84,8 @@ def fit(vectors: DataFrame, n: int, dim: int, k: int, seed: int = 7) -> Index:
     q = y[:FIT_QUERIES]
     score = q @ y.T
     score[np.arange(len(q)), np.arange(len(q))] = -np.inf
-    near = np.argsort(-score, axis=1)[:, : min(k, max(1, len(y) - 1))]
+    # of the k nearest in all vectors, the sample holds its share
+    near = np.argsort(-score, axis=1)[:, : max(1, min(int(np.ceil(k * len(y) / max(1, n))), len(y) - 1))]
     place = np.argsort(_by_promise(q, c), axis=1)[np.arange(len(q))[:, None], _nearest(y, c)[near]]
     probes = int(np.quantile(place, PROBE_RECALL)) + 1
     return Index(rotation, c, probes, x[:ANCHORS], np.array([r.vec_id for r in rows[:ANCHORS]], dtype=np.int64))
@@ -93,17 +97,15 @@ def scan(q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, x: np.ndarray, ids
     rq, rx = q @ rotation, x @ rotation
     # an inner product of at least ``bound`` is a squared distance of at most ``most``
     most = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * bound[:, None]
-    i, j = np.nonzero((most >= -1e-9) & (q_ids[:, None] != ids[None, :]))
-    part = np.zeros(len(i))
-    for a in range(0, dim, COLUMNS):
+    allowed = lambda b: ((1 + EPSILON / np.sqrt(b)) ** 2 if b < dim else 1) * (b / dim)
+    b = min(dim, COLUMNS)
+    d = (rq[:, :b] ** 2).sum(1)[:, None] + (rx[:, :b] ** 2).sum(1)[None, :] - 2 * rq[:, :b] @ rx[:, :b].T
+    i, j = np.nonzero((most >= -1e-9) & (d <= allowed(b) * np.maximum(most, 0) + 1e-9) & (q_ids[:, None] != ids[None, :]))
+    part = d[i, j]
+    for a in range(b, dim, COLUMNS):
         b = min(dim, a + COLUMNS)
-        if a == 0:
-            d = (rq[:, a:b] ** 2).sum(1)[:, None] + (rx[:, a:b] ** 2).sum(1)[None, :] - 2 * rq[:, a:b] @ rx[:, a:b].T
-            part = d[i, j]
-        else:
-            part = part + ((rq[i, a:b] - rx[j, a:b]) ** 2).sum(1)
-        slack = (1 + EPSILON / np.sqrt(b)) ** 2 if b < dim else 1
-        ok = part <= slack * (b / dim) * np.maximum(most[i, j], 0) + 1e-9
+        part = part + ((rq[i, a:b] - rx[j, a:b]) ** 2).sum(1)
+        ok = part <= allowed(b) * np.maximum(most[i, j], 0) + 1e-9
         i, j, part = i[ok], j[ok], part[ok]
     score = np.einsum("ij,ij->i", q[i], x[j])
     order = np.lexsort((ids[j], -score, i))
@@ -113,10 +115,6 @@ def scan(q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, x: np.ndarray, ids
     return q_ids[i[top]], ids[j[top]], score[top]
 
 
-def _matrix(rows: list[dict]) -> np.ndarray:
-    return np.array([r["v"] for r in rows], dtype=np.float64)
-
-
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The ``k`` vectors of largest inner product with each query, nearest first.
 
@@ -169,7 +167,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
                 probe = _by_promise(x @ ix.rotation, ix.centroids)[:, : ix.probes]
                 at = np.repeat(np.arange(len(x)), probe.shape[1])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(bounds(b)[3][at]), pa.array(probe.ravel().astype(np.int32))], names=["vec_id", "v", "bound", "list"])
+                first = np.tile(np.arange(probe.shape[1]) < FIRST, len(x))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(bounds(b)[3][at]), pa.array(probe.ravel().astype(np.int32)), pa.array(first)], names=["vec_id", "v", "bound", "list", "first"])
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -180,7 +179,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     base = "vec_id long, v array<float>"
     dealt = materialize(all_.mapInArrow(deal, f"{base}, list int"), "ann-lists")
-    asked = materialize(asks.mapInArrow(ask, f"{base}, bound double, list int"), "ann-asks")
+    asked = materialize(asks.mapInArrow(ask, f"{base}, bound double, list int, first boolean"), "ann-asks")
 
     def packed(df: DataFrame, most: int, name: str) -> DataFrame:
         count = df.groupBy("list").agg(F.count(F.lit(1)).alias("m"))  # as many rows as lists: 4096 at most
@@ -188,23 +187,32 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         cols = [c for c in df.columns if c != "list"]
         return df.join(F.broadcast(count), "list").groupBy("list", part).agg(F.collect_list(F.struct(*cols)).alias(name)).drop("part")
 
-    met = packed(dealt, BLOCK, "block").join(packed(asked, QUERY_BLOCK, "asks"), "list").select("block", "asks")
+    blocks = materialize(packed(dealt, BLOCK, "block"), "ann-blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rotation = shipped.value.rotation
         for b in batches:
             for block, some in zip(b.column(0), b.column(1)):
-                block, some = block.as_py(), some.as_py()
-                get = lambda rows, c, t: np.array([r[c] for r in rows], dtype=t)
-                q, c, s = scan(_matrix(some), get(some, "vec_id", np.int64), get(some, "bound", np.float64), _matrix(block), get(block, "vec_id", np.int64), rotation, k)
+                block, some = block.values, some.values
+                get = lambda rows, c: rows.field(c).to_numpy(zero_copy_only=False)
+                vectors_ = lambda rows: rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1).astype(np.float64)
+                q, c, s = scan(vectors_(some), get(some, "vec_id"), get(some, "bound"), vectors_(block), get(block, "vec_id"), rotation, k)
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s)], names=["query_id", "vec_id", "score"])
 
+    def found(some: DataFrame) -> DataFrame:
+        met = blocks.join(packed(some, QUERY_BLOCK, "asks"), "list").select("block", "asks")
+        return met.repartition(F.col("block")[0]["vec_id"], F.col("asks")[0]["vec_id"]).mapInArrow(run, "query_id long, vec_id long, score double")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
     # the anchors that gave a bound count as found, so that no query comes back with fewer than k
     near = asks.mapInArrow(anchored, "query_id long, vec_id long, score double")
-    found = met.repartition(F.col("block")[0]["vec_id"], F.col("asks")[0]["vec_id"]).mapInArrow(run, "query_id long, vec_id long, score double")
-    found = found.unionByName(near).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    early = materialize(best(found(asked.where("first").drop("first")).unionByName(near)), "ann-early")
+    bound = early.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("better"))
+    later = asked.where("NOT first").drop("first").join(bound, "vec_id", "left").withColumn("bound", F.coalesce("better", "bound")).drop("better")
+    return best(found(later).unionByName(early.drop("rank")))
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
