@@ -42,6 +42,8 @@ MISS = 1e-9
 LIST = 16
 #: Members, and characters of their texts, in a block of a hub's members.
 BLOCK, BLOCK_CHARS = 512, 2_000_000
+#: Rows (an id and two keys, under 64 bytes each) up to which the classes whose text is asked for are broadcast.
+BROADCAST_ROWS = 1 << 19
 WIDTH, NUM, DEN = 5, 80, 100
 
 def shingle_sets(texts_: list[str], width: int = WIDTH) -> list[np.ndarray]:
@@ -301,7 +303,8 @@ def _bodies(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, nod
     need = nodes.distinct().join(classes.select("node", F.col("body.id").alias("of"), F.col("body.text_key").alias("text_key")), "node")
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     text, need = text.withColumn("text_key", _key_of(F.col("text"))), materialize(need, "near-need")
-    found = text.join(need, (text["text_key"] == need["text_key"]) & text["id"].eqNullSafe(need["of"]))
+    side = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need  # beyond, texts are dealt by key
+    found = text.join(side, (text["text_key"] == need["text_key"]) & text["id"].eqNullSafe(need["of"]))
     return materialize(found.dropDuplicates(["node"]).select("node", "text"), "near-bodies")
 
 
