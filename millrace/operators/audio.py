@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.text import strip, words
-from millrace.functions.text import _ngrams as ngrams
+from millrace.functions.text import let, ngrams, strip, words
 
 from .segments import NO_SPEAKER, by_row
 
@@ -159,7 +158,7 @@ def hallucination(text: Column, duration: Column, language: Column, phrases: lis
     known = sorted({bare(p) for p in phrases if p.strip()})
     w = words(text)
     sizes = F.array_sort(F.transform(w, F.length))
-    top, second = F.element_at(sizes, -1), F.try_element_at(sizes, F.lit(-2))
+    top, second = F.try_element_at(sizes, F.lit(-1)), F.try_element_at(sizes, F.lit(-2))
     joins = F.coalesce(F.lower(F.trim(language)).isin(*compounding), F.lit(False))
     long = F.when(joins, top >= long_word_compounding).otherwise((top >= long_word) | F.coalesce((second > 0) & ((top - second) / second >= long_word_jump), F.lit(False)))
     clean = F.translate(strip(text), ".?!,", "")
@@ -189,9 +188,11 @@ def flag_hallucinations(df: DataFrame, phrases: list[str], text_col: str = "pred
 
 def repeats_ngram(text: Column, n: int = 10, most: int = 3) -> Column:
     """Whether some n-gram of words occurs more than ``most`` times: equal ones are neighbours once sorted."""
-    g = F.array_sort(F.coalesce(ngrams(text, n), F.expr("cast(array() as array<string>)")))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(g) - most, F.lit(1)))
-    return (F.size(g) > most) & F.exists(starts, lambda i: F.coalesce(F.try_element_at(g, i) == F.try_element_at(g, i + most), F.lit(False)))
+    def repeats(g: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(g) - most, F.lit(1)))
+        return (F.size(g) > most) & F.exists(starts, lambda i: F.coalesce(F.try_element_at(g, i) == F.try_element_at(g, i + most), F.lit(False)))
+
+    return let(F.array_sort(F.coalesce(ngrams(text, n), F.expr("cast(array() as array<string>)"))), repeats)
 
 
 def histogram(df: DataFrame, column: str = "duration", width: float = 30.0) -> DataFrame:

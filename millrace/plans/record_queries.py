@@ -78,7 +78,7 @@ def snippet_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("split_points", f"""
 WITH RECURSIVE {_S}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY a, b) AS i FROM s),
-f AS (SELECT conv_id, i, CASE WHEN b - 0 > 30 THEN 0.0 END AS cut, 0.0 AS first, b AS prev FROM r WHERE i = 1
+f AS (SELECT conv_id, i, CASE WHEN b - 0 > 30 THEN 0::DOUBLE END AS cut, 0::DOUBLE AS first, b AS prev FROM r WHERE i = 1
   UNION ALL SELECT r.conv_id, r.i, CASE WHEN r.b - first > 30 THEN prev END, CASE WHEN r.b - first > 30 THEN prev ELSE first END, r.b FROM f JOIN r ON r.conv_id = f.conv_id AND r.i = f.i + 1)
 SELECT conv_id, cut::DOUBLE AS cut FROM f WHERE cut IS NOT NULL""")
 def split_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +87,8 @@ def split_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("concat_offsets", f"""
 WITH {_S}, l AS (SELECT conv_id, a, b, floor(b * 1000)::BIGINT - floor(a * 1000)::BIGINT AS n FROM s),
-o AS (SELECT *, coalesce(sum(n + 500) OVER (PARTITION BY conv_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM l)
-SELECT conv_id, floor(a * 1000)::BIGINT AS original_start_ms, at AS concat_start_ms, at + n AS concat_end_ms FROM o""")
+o AS (SELECT *, coalesce(sum(n + 500) OVER (PARTITION BY conv_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM l)
+SELECT conv_id, floor(a * 1000)::BIGINT AS original_start_ms, off AS concat_start_ms, off + n AS concat_end_ms FROM o""")
 def concat_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _segments(spark, sf_dir).select("conv_id", F.explode(segments.concat_offsets(F.col("segments"))).alias("m"))
     return df.select("conv_id", "m.original_start_ms", "m.concat_start_ms", "m.concat_end_ms")
@@ -154,10 +154,11 @@ def score_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.keep_scores(read_table(spark, sf_dir, "events"), {"value": 10, "user_id": 5, "ts": None}).select("event_id")
 
 
-@query("char_error_rate", "SELECT doc_id, round(levenshtein(text[1:60], lower(text[3:62])) / length(text[1:60])::DOUBLE, 4) AS cer FROM documents WHERE length(text) > 0")
+@query("char_error_rate", "SELECT doc_id, round(levenshtein(regexp_replace(text[1:60], '[^\\x00-\\x7F]', '?', 'g'), regexp_replace(lower(text[3:62]), '[^\\x00-\\x7F]', '?', 'g')) / length(text[1:60])::DOUBLE, 4) AS cer FROM documents WHERE length(text) > 0")
 def char_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read_table(spark, sf_dir, "documents").where(F.length("text") > 0)
-    return df.select("doc_id", edits.char_errors(F.substring("text", 1, 60), F.lower(F.substring("text", 3, 60)))["rate"].alias("cer"))
+    ascii_ = lambda c: F.regexp_replace(c, "[^\\x00-\\x7F]", "?")  # noqa: E731  SQL's distance is of bytes
+    return df.select("doc_id", edits.char_errors(ascii_(F.substring("text", 1, 60)), ascii_(F.lower(F.substring("text", 3, 60))))["rate"].alias("cer"))
 
 
 @query("word_error_rate")
@@ -238,7 +239,7 @@ def image_text_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("nearest_anchor", """
 WITH t AS (SELECT conv_id, turn, role = 'assistant' AS floating, (length(coalesce(text, '')) % 97)::DOUBLE AS y FROM conversations),
 m AS (SELECT f.conv_id, f.turn, min((abs(f.y - a.y), a.turn)) AS m FROM t f JOIN t a ON f.conv_id = a.conv_id AND f.floating AND NOT a.floating GROUP BY f.conv_id, f.turn),
-j AS (SELECT t.*, CASE WHEN floating THEN coalesce(m.m[2], -1) ELSE turn END AS anchor FROM t LEFT JOIN m ON t.conv_id = m.conv_id AND t.turn = m.turn)
+j AS (SELECT t.*, CASE WHEN floating THEN coalesce(m.m[2], -1) ELSE t.turn END AS anchor FROM t LEFT JOIN m ON t.conv_id = m.conv_id AND t.turn = m.turn)
 SELECT conv_id, turn AS item, (row_number() OVER (PARTITION BY conv_id ORDER BY anchor, floating, CASE WHEN floating THEN y END, turn) - 1)::INT AS place FROM j""")
 def nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read_table(spark, sf_dir, "conversations").select("conv_id", F.col("conv_id").alias("page"), F.col("turn").alias("item"), (F.col("role") == "assistant").alias("floating"), (F.length(F.coalesce("text", F.lit(""))) % 97).cast("double").alias("y"))

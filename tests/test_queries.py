@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+import os
 
 import pandas as pd
 import pytest
 
 from millrace.plans import registry
 
-SF = "/root/testdata/sf0.01"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def _norm(x):
