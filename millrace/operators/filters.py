@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -33,39 +34,56 @@ def score_filter(df: DataFrame, rule: Rule | str, text_col: str = "text", score_
     return keep(df.withColumn(score_col, value), rule.keep(F.col(score_col)), invert)
 
 
+_SPACE = re.compile("[" + SPACE.replace("\\p{IsWhite_Space}", r"\s\x85\xa0") + "]+")
+
+
+def _repeated(w: list[str], n: int) -> int:
+    """Characters in repeats of runs of n words, overlaps counted once."""
+    seen, chars, done = set(), 0, 0  # words before ``done`` are counted
+    for i in range(len(w) - n + 1):
+        gram = tuple(w[i : i + n])
+        if gram in seen:
+            fresh = w[max(i, done) : i + n]
+            chars += sum(map(len, fresh)) + len(fresh) - 1
+            done = i + n
+        seen.add(gram)
+    return chars
+
+
 def duplicate_ngram_share(n: int) -> Callable:
     """Share of characters in repeats of word n-grams, overlaps counted once; fewer words than n give 1.
 
     A scan from left to right that remembers what it has seen: the one score
     that no expression states, so an Arrow-batched function does it.
     """
-    import re
-
-    space = re.compile("[" + SPACE.replace("\\p{IsWhite_Space}", r"\s\x85\xa0") + "]+")
-
     @F.pandas_udf("double")
     def share(texts: pd.Series) -> pd.Series:
         def one(t: str | None) -> float | None:
             if t is None:
                 return None
-            w = [x for x in space.split(t) if x]
-            if len(w) < n:
-                return 1.0
-            seen, chars, done = set(), 0, 0  # words before ``done`` are counted
-            for i in range(len(w) - n + 1):
-                gram = tuple(w[i : i + n])
-                if gram in seen:
-                    fresh = w[max(i, done) : i + n]
-                    chars += sum(map(len, fresh)) + len(fresh) - 1
-                    done = i + n
-                seen.add(gram)
-            return chars / len(t)
+            w = [x for x in _SPACE.split(t) if x]
+            return _repeated(w, n) / len(t) if len(w) >= n else 1.0
 
         return texts.map(one)
 
     return share
 
 
+def repeats_within(limits: dict[int, float]) -> Callable:
+    """Whether all those shares are within their limits: words are split once, and the first excess ends it."""
+    @F.pandas_udf("boolean")
+    def within(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> bool | None:
+            if t is None:
+                return None
+            w = [x for x in _SPACE.split(t) if x]
+            return all((_repeated(w, n) / len(t) if len(w) >= n else 1.0) <= most for n, most in limits.items())
+
+        return texts.map(one)
+
+    return within
+
+
 def cascade(df: DataFrame, rules: Iterable[str], text_col: str = "text") -> DataFrame:
     """All rules in one predicate: Catalyst evaluates them in order in one pass and stops at the first that fails."""
     t = F.col(text_col)
@@ -76,19 +94,19 @@ def cascade(df: DataFrame, rules: Iterable[str], text_col: str = "text") -> Data
 
 
 def english_cascade(df: DataFrame, text_col: str = "text", repeated: bool = True) -> DataFrame:
-    """The heuristic cascade for English text."""
-    return _repeats(cascade(df, ENGLISH, text_col), text_col) if repeated else cascade(df, ENGLISH, text_col)
+    """The heuristic cascade for English text; what only Python says comes last."""
+    df = cascade(df, (*ENGLISH, "bullets"), text_col)
+    return _repeats(df, text_col) if repeated else df
 
 
 def other_cascade(df: DataFrame, text_col: str = "text", repeated: bool = True) -> DataFrame:
     """The heuristic cascade for other languages."""
-    return _repeats(cascade(df, OTHER, text_col), text_col) if repeated else cascade(df, OTHER, text_col)
+    df = cascade(df, (*OTHER, "bullets"), text_col)
+    return _repeats(df, text_col) if repeated else df
 
 
 def _repeats(df: DataFrame, text_col: str) -> DataFrame:
-    for n, most in REPEATED.items():
-        df = df.where(duplicate_ngram_share(n)(F.col(text_col)) <= most)
-    return df
+    return df.where(repeats_within(REPEATED)(F.col(text_col)))
 
 
 def language_filter(df: DataFrame, score_col: str, label_col: str, language: str | None = None, least: float = 0.3) -> DataFrame:
