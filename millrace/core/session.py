@@ -15,7 +15,6 @@ _DEFAULT_ARROW_ROWS = "10000"
 def prepare(spark: SparkSession) -> SparkSession:
     """Make a session fit for this library; a setting the user changed stays.
 
-    * UTC, so that timestamps don't depend on the host.
     * Small Arrow batches, so that Python memory is bounded.
     * Python workers find this package although it isn't installed.
     """
