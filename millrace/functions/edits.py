@@ -13,32 +13,53 @@ from pyspark.sql import functions as F
 MARKS = "،؟.、？¿!,?।"
 TO_SPACE = '/*":=_-{|}~¨«·»¡¿…‧‹›≪≫!:;ː→'
 TO_NOTHING = '`¨´‘’“”ʻ-"'
+#: Least half width of the band in which distances are looked for.
+BAND = 16
 DETAIL = "struct<rate:double,tokens:long,ins_rate:double,del_rate:double,sub_rate:double>"
 
 
 def edits(ref: Sequence, hyp: Sequence) -> tuple[int, int, int]:
     """(insertions, deletions, substitutions) of a cheapest way from ``ref`` to ``hyp``.
 
-    Row by row in numpy; insertions along a row are a running minimum. Costs
-    carry the counts in their low bits: of equal costs the one with fewer
-    insertions wins.
+    Equal ends are left out, which changes no count. Then row by row in numpy,
+    inside a band around the diagonal that grows until the cost fits in it: no
+    cheapest way leaves a band as wide as its cost. Insertions along a row are
+    a running minimum. Costs carry the counts in their low bits: of equal costs
+    the one with fewer insertions wins.
     """
+    a, shorter = 0, min(len(ref), len(hyp))
+    while a < shorter and ref[a] == hyp[a]:
+        a += 1
+    b = 0
+    while b < shorter - a and ref[-1 - b] == hyp[-1 - b]:
+        b += 1
+    ref, hyp = ref[a : len(ref) - b], hyp[a : len(hyp) - b]
     if not len(ref) or not len(hyp):
         return len(hyp), len(ref), 0
     index: dict = {}
     r, h = (np.array([index.setdefault(x, len(index)) for x in s], dtype=np.int64) for s in (ref, hyp))
-    one, ins = 1 << 32, (1 << 32) + 1  # cost in the high part, insertions in the low part
-    steps = np.arange(len(h) + 1, dtype=np.int64) * ins
-    row = steps.copy()
-    for x in r:
-        new = row + one
-        new[1:] = np.minimum(new[1:], row[:-1] + np.where(h == x, 0, one))
-        row = np.minimum.accumulate(new - steps) + steps
-    cost, n_ins = int(row[-1] >> 32), int(row[-1] & (one - 1))
+    most, band = max(len(r), len(h)), max(BAND, abs(len(r) - len(h)))
+    while (total := _banded(r, h, min(band, most))) >> 32 > band and band < most:
+        band *= 4
+    cost, n_ins = total >> 32, total & ((1 << 32) - 1)
     n_del = n_ins + len(ref) - len(hyp)
     return n_ins, n_del, cost - n_ins - n_del
 
 
+def _banded(r: np.ndarray, h: np.ndarray, band: int) -> int:
+    """Cost in the high part and insertions in the low part, by ways at most ``band`` off the diagonal."""
+    one, ins, never = 1 << 32, (1 << 32) + 1, 1 << 61
+    steps = np.arange(2 * band + 1, dtype=np.int64) * ins
+    row = np.concatenate([np.full(band, never), steps[: band + 1]])
+    wide = np.concatenate([np.full(band, -1), h, np.full(len(r) + band - len(h), -1)])
+    for i, x in enumerate(r.tolist(), 1):
+        new = row + np.where(wide[i - 1 : i + 2 * band] == x, 0, one)
+        new[:-1] = np.minimum(new[:-1], row[1:] + one)
+        new[: max(0, band - i)] = never
+        row = np.minimum.accumulate(new - steps) + steps
+    return int(row[len(h) - len(r) + band])
+
+
 def error_rates(refs: list[Sequence], hyps: list[Sequence]) -> dict:
     """Rates over all tokens of the references; infinite where there are none but insertions."""
     n = sum(map(len, refs))

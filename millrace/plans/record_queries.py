@@ -163,8 +163,7 @@ def char_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("word_error_rate")
 def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = edits.clean_transcript(F.substring("text", 1, 600))
-    e = edits.word_errors(t, edits.clean_transcript(F.substring("text", 10, 600)))
+    e = edits.word_errors(edits.clean_transcript(F.col("text")), edits.clean_transcript(F.substr("text", F.lit(10))))
     return read_table(spark, sf_dir, "documents").select("doc_id", e.alias("e")).select("doc_id", "e.*")
 
 

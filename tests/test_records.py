@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from millrace.core.graph import connected_components
 from millrace.functions import edits
 from millrace.operators import audio, dedup, interleaved, rows, segments, semantic, video
+from millrace.plans import registry
 
 SEG = "array<struct<start:double,end:double,speaker:string,text:string>>"
 
@@ -104,6 +105,44 @@ def test_edits_against_a_table():
         assert ins + dele + sub == d[-1, -1] and ins - dele == len(b) - len(a) and min(ins, dele, sub) >= 0
 
 
+def _cheapest(a, b):
+    """(cost, insertions) by the whole table, the fewest insertions among equal costs."""
+    d = [[(j, j) for j in range(len(b) + 1)]]
+    for i, x in enumerate(a, 1):
+        row = [(i, 0)]
+        for j, y in enumerate(b, 1):
+            (p, q), (u, v), (s, t) = d[-1][j], row[-1], d[-1][j - 1]
+            row.append(min((p + 1, q), (u + 1, v + 1), (s + (x != y), t)))
+        d.append(row)
+    return d[-1][-1]
+
+
+def test_edits_by_band_and_equal_ends(monkeypatch):
+    rng = random.Random(2)
+    for band in (1, 2, 16):
+        monkeypatch.setattr(edits, "BAND", band)
+        for _ in range(150):
+            a = [rng.choice("abc") for _ in range(rng.randint(0, 40))]
+            b = [x for x in a if rng.random() > 0.2] + [rng.choice("abc") for _ in range(rng.randint(0, 12))]
+            b = b[rng.randint(0, 9) :] if rng.random() < 0.7 else [rng.choice("abc") for _ in range(rng.randint(0, 40))]
+            ins, dele, sub = edits.edits(a, b)
+            assert (ins + dele + sub, ins) == _cheapest(a, b) and ins - dele == len(b) - len(a) and min(dele, sub) >= 0
+
+
+def test_word_error_rate_covers_whole_texts(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 7))) for _ in range(n))) for i, n in enumerate((3, 90, 400, 1500))]
+    spark.createDataFrame([*rows, (9, ""), (10, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registry.QUERIES["word_error_rate"](spark, str(tmp_path)).collect()}
+    assert len(got) == 6 and got[9].rate is None and got[10].rate is None
+    for i, text in rows:
+        ref, hyp = text.split(), text[9:].split()
+        cost, ins = _cheapest(ref, hyp)
+        dele = ins + len(ref) - len(hyp)
+        want = [round(x / len(ref), 4) for x in (cost, ins, dele, cost - ins - dele)]
+        assert got[i].tokens == len(ref) and [got[i].rate, got[i].ins_rate, got[i].del_rate, got[i].sub_rate] == want
+
+
 def _wav(rate=16000, seconds=0.5, freq=1000.0, channels=1):
     t = np.arange(int(rate * seconds)) / rate
     x = np.repeat((np.sin(2 * np.pi * freq * t) * 20000).astype("<i2")[:, None], channels, axis=1)
