@@ -30,9 +30,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: of each group the document with the smallest id stays."""
-    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(materialize(gone, "pipeline-gone"), "doc_id", "left_anti").select(docs.columns)
+    """MinHash near-dedup: of each group exactly one row stays, of the smallest id (null comes last).
+
+    A row's key is its id and a digest of all its columns, so rows that share an
+    id are told apart, and rows of one key are equal and any of them may stay.
+    Texts without a word are in no group and all stay.
+    """
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]
+    row = F.unhex(F.md5(F.to_json(F.struct(F.struct(*rest).alias("rest"), F.md5("text").alias("text")))))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), row.alias("row"))
+    found = minhash.near_duplicates(docs.select(key.alias("key"), "text"), "key").where("n_shingles > 0")
+    found = materialize(found.select(F.col("key.row").alias("near_row"), "kept"), "pipeline-near")
+    gone = found.where("NOT kept").select("near_row").distinct()
+    keyed = docs.withColumn("near_row", row)
+    left = keyed.join(materialize(gone, "pipeline-gone"), "near_row", "left_anti")
+    again = materialize(found.where("kept").groupBy("near_row").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("near_row"), "pipeline-again")
+    if not again.isEmpty():
+        one = left.join(again, "near_row", "left_semi").dropDuplicates(["near_row"])
+        left = left.join(again, "near_row", "left_anti").unionByName(one)
+    return left.select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

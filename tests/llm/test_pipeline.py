@@ -53,6 +53,24 @@ def test_near_dedup(steps):
     assert {r.doc_id for r in steps[3].collect()} == {i for i, _, _, kept in near_rows(rows, 80) if kept}
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark, sf_small):
+    """Ids that repeat with other texts, equal rows, and copies without an id."""
+    schema = spark.read.parquet(f"{sf_small}/documents.parquet").schema
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    copied, alone, twice, nameless, mixed = map(text, range(5))
+    rows = [
+        (1, copied), (2, copied + " end"), (2, alone), (2, copied),  # id 2 has a text of its own, too
+        (3, twice), (3, twice), (3, twice + " end"), (None, nameless), (None, nameless), (None, nameless + " end"),
+        (None, mixed), (7, mixed), (8, ""), (8, ""), (None, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema).repartition(4)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, sf_small).collect()]
+    group = lambda t: (t or "").removesuffix(" end")
+    assert sorted(group(t) for _, t in got if t) == sorted([copied, alone, twice, nameless, mixed])
+    assert {(1, copied), (2, alone), (7, mixed)} <= {*got}
+    assert sum(not t for _, t in got) == 3  # without a word, so in no group
+
+
 def test_decontamination(steps, spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
     rows = [(r.doc_id, r.text) for r in steps[3].collect()]
