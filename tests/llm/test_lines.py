@@ -51,6 +51,70 @@ def test_recurring_templates_go_and_others_stay(spark):
         assert r.text.count(f"tail{i}") == 6  # own lines stay
 
 
+def _words(seed: int, n: int) -> str:
+    import random
+
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(n))
+
+
+def _left(spark, rows: list[str]) -> list:
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(5)
+    return [r for r in sorted(lines.line_dedup(df).collect(), key=lambda r: r.doc_id)]
+
+
+def test_fixed_blocks_go(spark):
+    """A banner of two lines and a footer that is always last; each document has another text in between."""
+    banner, footer = ["All rights reserved by the owner", "Use of this file needs written consent"], "Printed in the north of the country"
+    own = [[_words(7 * i + j, 12) for j in range(3)] for i in range(200)]
+    got = _left(spark, ["\n".join([*banner, *x, footer]) for x in own])
+    assert [r.text for r in got] == ["\n".join(x) for x in own]
+    assert sum(r.n_dropped for r in got) == 600
+
+
+def test_a_template_among_many_lines_of_its_leaf(spark):
+    """Two templates and unrelated lines share token count and first tokens; passages of five documents go, too."""
+    own = [_words(i, 30) for i in range(120)]
+    head = "we thank all "
+    mixed = [head + (f"friends of {_words(1000 + i, 1)} for their help" if i < 20 else f"members in {_words(2000 + i, 1)} who came along" if i < 40 else _words(3000 + i, 6)) for i in range(120)]
+    passage = _words(77, 40)
+    got = _left(spark, ["\n".join([o, m, *([passage] if 50 <= i < 55 else [])]) for i, (o, m) in enumerate(zip(own, mixed))])
+    for i, r in enumerate(got):
+        assert r.text == (own[i] if i < 40 else f"{own[i]}\n{mixed[i]}")
+
+
+def test_short_lines_and_scripts_without_spaces(spark):
+    """Short lines go from a higher count; a passage is long by its characters; blank lines, brackets and numbers stay."""
+    chinese = "本网站所有内容版权归作者所有未经许可不得转载"
+    rows = ["\n".join([_words(i, 40), "Read more" if i < 39 else "Go to top", chinese if i < 5 else "", "{", str(i)]) for i in range(100)]
+    for i, r in enumerate(_left(spark, rows)):
+        want = [_words(i, 40), *(["Read more"] if i < 39 else []), *([] if i < 5 else [""]), "{", str(i)]
+        assert r.text.split("\n") == want
+
+
+def test_near_copies_are_no_recurrence(spark):
+    """A hot group of copies with single words replaced, a fifth of all lines of a third of all rows."""
+    import random
+
+    r, base = random.Random(1), [_words(100 + j, 40) for j in range(6)]
+    copies = []
+    for i in range(60):
+        ls = [x.split() for x in base]
+        for _ in range(4):
+            ls[r.randrange(6)][r.randrange(40)] = _words(5000 + 10 * i, 1)
+        copies.append("\n".join(map(" ".join, ls)))
+    others = ["\n".join(_words(9000 + 10 * i + j, 30) for j in range(3)) for i in range(120)]
+    got = _left(spark, ["The rules of this house are known to all\n" + t for t in copies + others])
+    assert [x.text for x in got] == copies + others
+
+
+def test_many_dropped_lines_in_one_text(spark):
+    shared = [_words(i, 12) for i in range(lines.LIST + 20)]
+    own = ["\n".join(_words(1000 * (i + 1) + j, 40) for j in range(40)) for i in range(8)]
+    got = _left(spark, ["\n".join([o, *shared, *shared[:3]]) for o in own] + ["\n".join(shared)])
+    assert [r.text for r in got] == [*own, ""] and [r.n_dropped for r in got] == [len(shared) + 3] * 8 + [len(shared)]
+
+
 def test_copies_are_no_recurrence(spark):
     text = "\n".join(f"line number of this one document {chr(97 + i)} goes on and on" for i in range(3))
     df = spark.createDataFrame([(i, text) for i in range(500)], "doc_id long, text string")
