@@ -17,9 +17,11 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder for written tables, from the session or set there if unset."""
+    """The folder for written tables, from the session. Where it is unset, one of our own is set in a local session; a cluster must name it."""
     root = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{_SETTING} must name a folder that the driver and all executors share")
         root = f"/tmp/checkpoints/millrace-{os.getpid()}"
         spark.conf.set(_SETTING, root)
     return root.rstrip("/")
@@ -34,15 +36,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def materialize(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back; digests are best left uncompressed (``none``).
 
     The result has no lineage behind it: a lost executor costs the tasks it
     ran, not the history of an iteration. Tables go when the session ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).option("parquet.enable.dictionary", str(compression != "none").lower()).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
