@@ -2,10 +2,11 @@
 
 Vectors are rotated at random, so that a distance over the first d of D
 dimensions estimates the whole. They are dealt to inverted lists by nearest
-centroid and kept there in blocks. A query scans the blocks of the lists it
-probes a column block at a time; after each, a hypothesis test abandons the
-candidates whose partial distance is too large for the query's bound. What is
-left is scored in double precision on the original vectors. The most promising
+centroid and kept there in blocks, rotated once (in single precision, beside the
+original). A query scans the blocks of the lists it probes a column block at a
+time; after each, a hypothesis test abandons the candidates whose partial
+distance is too large for the query's bound. What is left is scored in double
+precision on the original vectors. The most promising
 lists are scanned first, and what they give is the bound for the others.
 """
 
@@ -24,8 +25,11 @@ from pyspark.sql import types as T
 from millrace.core.scratch import materialize
 from millrace.core.session import prepare, read_table
 
-#: Vectors that centroids, probes and the first bounds are fitted on.
-FIT_VECTORS, FIT_QUERIES, ANCHORS = 8192, 512, 2048
+#: Vectors that centroids, probes and the first bounds are fitted on: at least, and so many numbers at most
+#: (2^22: 65,536 vectors of 64 dimensions); between, as many as the lists ask for, which grow with the root of the corpus.
+FIT_VECTORS, FIT_NUMBERS, FIT_QUERIES, ANCHORS = 8192, 1 << 22, 512, 2048
+#: Vectors of the sample that a list needs.
+PER_LIST = 8
 #: Share of true neighbours that the probes must reach on the sample.
 PROBE_RECALL = 0.97
 #: The test abandons if the partial distance is over (1 + EPSILON / sqrt(d)) times its share.
@@ -56,29 +60,47 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return ((c * c).sum(1)[None, :] - 2 * x @ c.T).argmin(axis=1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        d = (c * c).sum(1)[None, :] - 2 * x @ c.T
+    return np.where(np.isnan(d), np.inf, d).argmin(axis=1)
 
 
 def _by_promise(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Lists in the order in which a query should probe them."""
-    return np.argsort(-(q @ c.T), axis=1, kind="stable")
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.argsort(-(q @ c.T), axis=1, kind="stable")
 
 
 def _usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = F.col(vec_col)
     fine = v.isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return df.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<float>").alias("v"))
+    single = isinstance(df.schema[vec_col].dataType.elementType, T.FloatType)  # all others count in double precision
+    return df.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<float>" if single else "array<double>").alias("v"))
 
 
-def fit(vectors: DataFrame, n: int, dim: int, k: int, seed: int = 7) -> Index:
-    """Fit on at most ``FIT_VECTORS`` vectors, those that a hash of the id puts first at the count's share."""
-    share = min(1.0, FIT_VECTORS / max(1, n))
-    rows = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(np.ceil(share * (1 << 20)))).orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_VECTORS).collect()
+def _numbers(column: pa.Array, rows: int) -> np.ndarray:
+    """Vectors of an Arrow column as rows of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1).astype(np.float64)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    """Rows of numbers as an Arrow column of single-precision lists; what is beyond their range is infinite."""
+    with np.errstate(over="ignore"):
+        flat = x.astype(np.float32).ravel()
+    return pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.array(flat))
+
+
+def fit(vectors: DataFrame, n: int, dim: int, k: int, seed: int = 7, anchors: int = ANCHORS) -> Index:
+    """Fit on a bounded sample: the vectors that a hash of the id puts first at the share asked for."""
+    most = max(1, FIT_NUMBERS // max(1, dim))
+    wanted = int(min(most, max(FIT_VECTORS, PER_LIST * np.sqrt(n) / 3)))
+    share = min(1.0, wanted / max(1, n))
+    rows = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(np.ceil(share * (1 << 20)))).orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect()
     x = np.array([r.v for r in rows], dtype=np.float64).reshape(len(rows), dim)
     rng = np.random.default_rng(seed)
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
     y = x @ rotation
-    lists = int(min(4096, max(1, np.sqrt(n) / 3), max(1, len(x) // 8)))
+    lists = int(min(max(1, np.sqrt(n) / 3), max(1, len(x) // PER_LIST)))
     c = _kmeans(y, lists, rng)
     # lists that must be probed so that the sample's true neighbours are reached
     q = y[:FIT_QUERIES]
@@ -88,26 +110,31 @@ def fit(vectors: DataFrame, n: int, dim: int, k: int, seed: int = 7) -> Index:
     near = np.argsort(-score, axis=1)[:, : max(1, min(int(np.ceil(k * len(y) / max(1, n))), len(y) - 1))]
     place = np.argsort(_by_promise(q, c), axis=1)[np.arange(len(q))[:, None], _nearest(y, c)[near]]
     probes = int(np.quantile(place, PROBE_RECALL)) + 1
-    return Index(rotation, c, probes, x[:ANCHORS], np.array([r.vec_id for r in rows[:ANCHORS]], dtype=np.int64))
+    return Index(rotation, c, probes, x[:anchors], np.array([r.vec_id for r in rows[:anchors]], dtype=np.int64))
+
 
+def scan(q: np.ndarray, rq: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, x: np.ndarray, rx: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best k of a block for each query that may beat its bound: (query, candidate, score).
 
-def scan(q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, x: np.ndarray, ids: np.ndarray, rotation: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best k of a block for each query that may beat its bound: (query, candidate, score)."""
+    ``rq`` and ``rx`` are the rotated vectors; their rounding is allowed for.
+    Tests are put so that what isn't a number (a square out of range) passes.
+    """
     dim = x.shape[1]
-    rq, rx = q @ rotation, x @ rotation
-    # an inner product of at least ``bound`` is a squared distance of at most ``most``
-    most = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * bound[:, None]
-    allowed = lambda b: ((1 + EPSILON / np.sqrt(b)) ** 2 if b < dim else 1) * (b / dim)
-    b = min(dim, COLUMNS)
-    d = (rq[:, :b] ** 2).sum(1)[:, None] + (rx[:, :b] ** 2).sum(1)[None, :] - 2 * rq[:, :b] @ rx[:, :b].T
-    i, j = np.nonzero((most >= -1e-9) & (d <= allowed(b) * np.maximum(most, 0) + 1e-9) & (q_ids[:, None] != ids[None, :]))
-    part = d[i, j]
-    for a in range(b, dim, COLUMNS):
-        b = min(dim, a + COLUMNS)
-        part = part + ((rq[i, a:b] - rx[j, a:b]) ** 2).sum(1)
-        ok = part <= allowed(b) * np.maximum(most[i, j], 0) + 1e-9
-        i, j, part = i[ok], j[ok], part[ok]
-    score = np.einsum("ij,ij->i", q[i], x[j])
+    with np.errstate(over="ignore", invalid="ignore"):
+        qq, xx = (q * q).sum(1), (x * x).sum(1)
+        # an inner product of at least ``bound`` is a squared distance of at most ``most``
+        most = qq[:, None] + xx[None, :] - 2 * bound[:, None] + 1e-5 * (qq[:, None] + xx[None, :])
+        allowed = lambda b: ((1 + EPSILON / np.sqrt(b)) ** 2 if b < dim else 1) * (b / dim)
+        b = min(dim, COLUMNS)
+        d = (rq[:, :b] ** 2).sum(1)[:, None] + (rx[:, :b] ** 2).sum(1)[None, :] - 2 * rq[:, :b] @ rx[:, :b].T
+        i, j = np.nonzero(~(most < 0) & ~(d > allowed(b) * most + 1e-9) & (q_ids[:, None] != ids[None, :]))
+        part = d[i, j]
+        for a in range(b, dim, COLUMNS):
+            b = min(dim, a + COLUMNS)
+            part = part + ((rq[i, a:b] - rx[j, a:b]) ** 2).sum(1)
+            ok = ~(part > allowed(b) * most[i, j] + 1e-9)
+            i, j, part = i[ok], j[ok], part[ok]
+        score = np.einsum("ij,ij->i", q[i], x[j])
     order = np.lexsort((ids[j], -score, i))
     i, j, score = i[order], j[order], score[order]
     first = np.searchsorted(i, i)
@@ -115,7 +142,7 @@ def scan(q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, x: np.ndarray, ids
     return q_ids[i[top]], ids[j[top]], score[top]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", anchors: int = ANCHORS) -> DataFrame:
     """The ``k`` vectors of largest inner product with each query, nearest first.
 
     Returns ``query_id long, rank int, vec_id long, score double``; ties go to
@@ -124,6 +151,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     length or with a null or non-finite component take no part, nor do rows
     with a null id; a query id that repeats counts once, and so do equal pairs;
     an empty table on either side gives no rows; other columns don't matter.
+    Vectors of floats are scored as the doubles they are, all others as doubles.
 
     Every vector is in the index. Hot lists are split into blocks, and each
     query meets each block of a probed list once; only its best k go on.
@@ -137,25 +165,33 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     dim, n = sizes[0].d, sizes[0].n
     all_ = all_.where(F.size("v") == dim)
     asks = _usable(queries, id_col, vec_col).where(F.size("v") == dim).dropDuplicates(["vec_id"])
-    index = fit(all_, n, dim, k)
+    index = fit(all_, n, dim, k, anchors=anchors)
+    number = all_.schema["v"].dataType.elementType.typeName()
     shipped = spark.sparkContext.broadcast(index)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shipped.value
         for b in batches:
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_nearest(x @ ix.rotation, ix.centroids).astype(np.int32))], names=["vec_id", "v", "list"])
+            r = _numbers(b.column(1), b.num_rows) @ ix.rotation
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(r), pa.array(_nearest(r, ix.centroids).astype(np.int32))], names=["vec_id", "v", "r", "list"])
 
     def bounds(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Each query's best k among the anchors, flat: query, anchor, score; and the k-th score, its bound."""
         ix = shipped.value
-        x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
-        i, j = np.nonzero(b.column(0).to_numpy()[:, None] != ix.anchor_ids[None, :])
+        x, own = _numbers(b.column(1), b.num_rows), b.column(0).to_numpy()
+        bound, some = np.full(len(x), -1e300), min(len(ix.anchors), 2 * k + 2)
+        if not some:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), bound
+        rough = x @ ix.anchors.T
+        rough[own[:, None] == ix.anchor_ids[None, :]] = -np.inf
+        j = np.argpartition(-rough, some - 1, axis=1)[:, :some].ravel()  # a few more than k, then scored one by one
+        i = np.repeat(np.arange(len(x)), some)
+        other = own[i] != ix.anchor_ids[j]
+        i, j = i[other], j[other]
         s = np.einsum("ij,ij->i", x[i], ix.anchors[j])
         order = np.lexsort((ix.anchor_ids[j], -s, i))
         i, j, s = i[order], j[order], s[order]
         place = np.arange(len(i)) - np.searchsorted(i, i)
-        bound = np.full(len(x), -1e300)
         bound[i[place == k - 1]] = s[place == k - 1]
         return i[place < k], j[place < k], s[place < k], bound
 
@@ -164,11 +200,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         for whole in batches:
             for start in range(0, whole.num_rows, 100):
                 b = whole.slice(start, 100)
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
-                probe = _by_promise(x @ ix.rotation, ix.centroids)[:, : ix.probes]
-                at = np.repeat(np.arange(len(x)), probe.shape[1])
-                first = np.tile(np.arange(probe.shape[1]) < FIRST, len(x))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(bounds(b)[3][at]), pa.array(probe.ravel().astype(np.int32)), pa.array(first)], names=["vec_id", "v", "bound", "list", "first"])
+                r = _numbers(b.column(1), b.num_rows) @ ix.rotation
+                probe = _by_promise(r, ix.centroids)[:, : ix.probes]
+                at = np.repeat(np.arange(len(r)), probe.shape[1])
+                first = np.tile(np.arange(probe.shape[1]) < FIRST, len(r))
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), _lists(r).take(take), pa.array(bounds(b)[3][at]), pa.array(probe.ravel().astype(np.int32)), pa.array(first)], names=["vec_id", "v", "r", "bound", "list", "first"])
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -177,12 +214,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 i, j, s, _ = bounds(b)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), pa.array(shipped.value.anchor_ids[j]), pa.array(s)], names=["query_id", "vec_id", "score"])
 
-    base = "vec_id long, v array<float>"
+    base = f"vec_id long, v array<{number}>, r array<float>"
     dealt = materialize(all_.mapInArrow(deal, f"{base}, list int"), "ann-lists")
     asked = materialize(asks.mapInArrow(ask, f"{base}, bound double, list int, first boolean"), "ann-asks")
 
     def packed(df: DataFrame, most: int, name: str) -> DataFrame:
-        count = df.groupBy("list").agg(F.count(F.lit(1)).alias("m"))  # as many rows as lists: 4096 at most
+        count = df.groupBy("list").agg(F.count(F.lit(1)).alias("m"))  # as many rows as lists, which the sample bounds: 8192 at 64 dimensions
         part = F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("m") / most)).alias("part")
         cols = [c for c in df.columns if c != "list"]
         return df.join(F.broadcast(count), "list").groupBy("list", part).agg(F.collect_list(F.struct(*cols)).alias(name)).drop("part")
@@ -190,13 +227,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     blocks = materialize(packed(dealt, BLOCK, "block"), "ann-blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rotation = shipped.value.rotation
         for b in batches:
             for block, some in zip(b.column(0), b.column(1)):
                 block, some = block.values, some.values
                 get = lambda rows, c: rows.field(c).to_numpy(zero_copy_only=False)
-                vectors_ = lambda rows: rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1).astype(np.float64)
-                q, c, s = scan(vectors_(some), get(some, "vec_id"), get(some, "bound"), vectors_(block), get(block, "vec_id"), rotation, k)
+                vectors_ = lambda rows, c: _numbers(rows.field(c), len(rows))
+                q, c, s = scan(vectors_(some, "v"), vectors_(some, "r"), get(some, "vec_id"), get(some, "bound"), vectors_(block, "v"), vectors_(block, "r"), get(block, "vec_id"), k)
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s)], names=["query_id", "vec_id", "score"])
 
     def found(some: DataFrame) -> DataFrame:

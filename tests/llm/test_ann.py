@@ -72,8 +72,35 @@ def test_scan_abandons_only_what_is_far():
     rotation = np.linalg.qr(rng.normal(size=(64, 64)))[0]
     s = q @ x.T
     bound = np.sort(s, axis=1)[:, -20]
-    qi, ci, score = ann.scan(q, np.arange(1000, 1020), bound, x, np.arange(500), rotation, 20)
+    qi, ci, score = ann.scan(q, q @ rotation, np.arange(1000, 1020), bound, x, x @ rotation, np.arange(500), 20)
     want = {(1000 + i, j) for i in range(20) for j in np.argsort(-s[i])[:20].tolist()}
     got = set(zip(qi.tolist(), ci.tolist()))
     assert len(got & want) / len(want) >= 0.95
     assert score == pytest.approx(s[qi - 1000, ci])
+
+
+def test_doubles_are_scored_as_doubles(spark):
+    """Scores to the last digit, ties by it, and values beyond the range of floats and of squares."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8)) + 1e-9 * rng.normal(size=(300, 8))
+    x[50:60] = x[40] + 1e-11 * np.arange(10)[:, None]  # equal as floats
+    x[290], x[291], x[292] = 1e60 * x[290], 1e200 * x[291], 1e-300 * x[292]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = ann.nearest(df, df.where("vec_id % 20 = 0"), 20).collect()
+    want = brute_force(np.arange(300), x, range(0, 300, 20))
+    for r in got:
+        assert r.score == pytest.approx(float(x[r.vec_id] @ x[r.query_id]), rel=1e-14, abs=1e-14)
+    same = sum((r.query_id, r.vec_id) in {(q, i) for q, w in want.items() for i, _ in w} for r in got)
+    assert len(got) == 15 * 20 and same / len(got) >= 0.95
+    assert {r.rank: r.vec_id for r in got if r.query_id == 40} == {k + 1: i for k, (i, _) in enumerate(want[40])}
+
+
+def test_recall_of_the_scan_alone(spark):
+    """20,000 vectors in 200 clusters, without anchors: lists, probes and the test alone reach the neighbours."""
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(200, 32))[rng.integers(0, 200, 20_000)] + 0.5 * rng.normal(size=(20_000, 32))).astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>").repartition(4)
+    got = ann.nearest(df, df.where("vec_id % 200 = 0"), 20, anchors=0).collect()
+    want = brute_force(np.arange(20_000), x.astype(np.float64), range(0, 20_000, 200))
+    pairs = {(q, i) for q, w in want.items() for i, _ in w}
+    assert sum((r.query_id, r.vec_id) in pairs for r in got) / len(pairs) >= 0.95
