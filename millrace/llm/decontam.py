@@ -1,13 +1,15 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Test questions and answers are normalised to words; every run of ``window``
-words (or a shorter item as a whole) is a pattern. A text is normalised the
-same way and scanned once; matches are mapped back to the original.
+words (or a shorter item as a whole) is a pattern, with a letter of the
+automaton's alphabet for each word. A text is normalised the same way and
+scanned once; matches are mapped back to the original.
 """
 
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import ahocorasick
 import pyarrow as pa
@@ -22,9 +24,11 @@ from ._rows import add_columns, texts
 
 #: Words in a pattern.
 WINDOW = 10
-#: Benchmark text, in bytes, that one automaton may hold. A larger benchmark is
-#: dealt over several automata, and the documents are scanned by each in turn.
-MAX_AUTOMATON_BYTES = 16_000_000
+#: Bytes that one automaton may take in a Python worker, by the estimate of ``weight``. A larger
+#: benchmark is dealt over several automata, and the documents are scanned by each in turn.
+MAX_AUTOMATON_BYTES = 256_000_000
+#: Estimate of what a pattern takes besides its nodes, and a node. Words that one automaton can tell apart.
+_PATTERN, _NODE, _LETTERS = 400, 90, 1_000_000
 
 _WORD = re.compile("[^\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+")
 #: Bytes to their normal form: letters in lower case, what separates words as a space.
@@ -37,71 +41,88 @@ def normal_words(text: str) -> list[bytes]:
     return text.encode().translate(_NORMAL).split()
 
 
-def windows(words: list[bytes], window: int) -> list[bytes]:
+def windows(words: list[bytes], window: int) -> list[tuple[bytes, ...]]:
     """All runs of ``window`` words, or the whole of a shorter item."""
-    return [b" " + b" ".join(words[i : i + window]) + b" " for i in range(max(1, len(words) - window + 1))] if words else []
+    return [tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))] if words else []
 
 
-def build(items: list[tuple[str, str]], window: int) -> tuple[ahocorasick.Automaton | None, list[str]]:
-    """An automaton whose values are (words in the pattern, its items), and the items' names."""
+def weight(text: str, window: int) -> int:
+    """What an item adds to an automaton, at most: every word of every window a node."""
+    n = len(normal_words(text))
+    return max(1, n - window + 1) * (_PATTERN + _NODE * min(n, window)) if n else 0
+
+
+def _letter(k: int) -> str:
+    """A word's letter in the automaton's alphabet: code points from 256, surrogates left out."""
+    return chr(k + 256 if k + 256 < 0xD800 else k + 256 + 0x800)
+
+
+#: The letter of all words that are in no pattern.
+_OTHER = chr(1)
+
+
+class Patterns(NamedTuple):
+    """An automaton over words as letters, whose values are (words in the pattern, its items)."""
+
+    auto: ahocorasick.Automaton
+    letters: dict[bytes, str]
+    names: list[str]
+
+
+def build(items: list[tuple[str, str]], window: int) -> Patterns | None:
+    """The automaton of all windows of some items; None if they have no words."""
     names = sorted({name for name, _ in items})
     index = {n: i for i, n in enumerate(names)}
-    owners: dict[bytes, set[int]] = {}
+    letters: dict[bytes, str] = {}
+    owners: dict[str, tuple[int, ...]] = {}
     for name, text in items:
+        who = index[name]
         for w in windows(normal_words(text), window):
-            owners.setdefault(w, set()).add(index[name])
+            key = "".join([letters.setdefault(x, _letter(len(letters))) for x in w])
+            if who not in (had := owners.get(key, ())):
+                owners[key] = (*had, who)
     if not owners:
-        return None, names
+        return None
     auto = ahocorasick.Automaton()
     for w, who in owners.items():
-        auto.add_word(w.decode("latin-1"), (len(w), w.count(b" ") - 1, tuple(who)))
+        auto.add_word(w, (len(w), who))
     auto.make_automaton()
-    return auto, names
+    return Patterns(auto, letters, names)
 
 
-def _automaton(items: list[tuple[str, str]], window: int) -> tuple[ahocorasick.Automaton | None, list[str]]:
+def _patterns(items: list[tuple[str, str]], window: int) -> Patterns | None:
     if not _LAST or _LAST[0] != (window, items):
         _LAST[:] = [(window, items), build(items, window)]
     return _LAST[1]
 
 
-def scan(text: str, auto: ahocorasick.Automaton | None, names: list[str]) -> tuple[int, list[tuple[int, int]], list[str]]:
+def scan(text: str, patterns: Patterns | None) -> tuple[int, list[tuple[int, int]], list[str]]:
     """Words of a text, its hit runs of words (from, to), and the items found."""
     words = normal_words(text)
-    if auto is None or not words:
+    if patterns is None or not words:
         return len(words), [], []
-    flat = b" " + b" ".join(words) + b" "
-    found = list(auto.iter(flat.decode("latin-1")))
-    if not found:
-        return len(words), [], []
-    runs: list[list[int]] = []
-    who: set[int] = set()
-    at, word = 0, 0  # words before offset ``at``
-    for first, n, owners in sorted((end - size + 1, n, owners) for end, (size, n, owners) in found):
-        word += flat.count(b" ", at, first)
-        at = first
-        who.update(owners)
-        if runs and word <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], word + n)
-        else:
-            runs.append([word, word + n])
-    return len(words), [(a, b) for a, b in runs], [names[i] for i in sorted(who)]
+    get = patterns.letters.get
+    found = list(patterns.auto.iter("".join([get(w, _OTHER) for w in words])))
+    who = {x for _, (_, owners) in found for x in owners}
+    runs = _union([(end - n + 1, end + 1) for end, (n, _) in found])
+    return len(words), runs, [patterns.names[i] for i in sorted(who)]
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _shards(items: DataFrame, id_col: str, text_col: str, limit: int):
-    """Lists of (name, text) of at most ``limit`` bytes, one at a time on the driver."""
-    part, size = [], 0
+def _shards(items: DataFrame, id_col: str, text_col: str, limit: int, window: int):
+    """Lists of (name, text) whose automaton has at most ``limit`` bytes, one at a time on the driver (an item that alone has more is one list)."""
+    part, size, words = [], 0, 0
     rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
     for r in rows.orderBy("i", "t").toLocalIterator():
-        if part and size + len(r.t) > limit:
+        new, n = weight(r.t, window), len(normal_words(r.t))
+        if part and (size + new > limit or words + n > _LETTERS):
             yield part
-            part, size = [], 0
+            part, size, words = [], 0, 0
         part.append((r.i, r.t))
-        size += len(r.t)
+        size, words = size + new, words + n
     yield part
 
 
@@ -120,7 +141,8 @@ def decontaminate(
     text have no patterns; a null id counts as the id ""; repeated items and
     rows are harmless; an empty table of either kind gives no hits. Columns of
     these names are replaced. No shuffle: documents are scanned where they are.
-    The benchmark is shipped only in shards of ``max_automaton_bytes``; with
+    The benchmark is shipped only in shards whose automaton is estimated to take
+    ``max_automaton_bytes`` in a Python worker (1.3 MB for 1000 words); with
     more than one shard the documents are written between the scans.
     """
     fields = [
@@ -128,15 +150,15 @@ def decontaminate(
         T.StructField("hit_spans", _SPANS), T.StructField("hit_items", T.ArrayType(T.StringType())),
     ]
     spark, out = docs.sparkSession, docs
-    for k, part in enumerate(_shards(items, id_col, item_text_col, max_automaton_bytes)):
+    for k, part in enumerate(_shards(items, id_col, item_text_col, max_automaton_bytes, window)):
         shipped = spark.sparkContext.broadcast(part)
 
         def run(batch: pa.RecordBatch, shipped=shipped, later=k > 0) -> list[pa.Array]:
-            auto, names = _automaton(shipped.value, window)
+            patterns = _patterns(shipped.value, window)
             n, hit, runs, spans, ids = [], [], [], [], []
             old = batch.to_pydict() if later else None
             for i, t in enumerate(texts(batch, text_col)):
-                words, r, who = scan(t, auto, names)
+                words, r, who = scan(t, patterns)
                 if later:
                     r = _union([*((x["start"], x["end"]) for x in old["hit_words"][i]), *r])
                     who = sorted({*old["hit_items"][i], *who})

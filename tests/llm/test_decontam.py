@@ -88,3 +88,26 @@ def test_odd_inputs(spark):
     big = spark.createDataFrame([(1, long)], "doc_id long, text string")
     r = decontam.decontaminate(big, spark.createDataFrame([(1, "the needle is in here somewhere deep down at last")], "item_id long, text string")).collect()[0]
     assert (r.n_words, r.n_hit) == (500_011, 10)
+
+
+def test_an_automaton_takes_no_more_than_estimated():
+    """In a process of its own: what building a shard's automaton adds to its memory."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import random, sys
+sys.path.insert(0, sys.argv[1])
+from millrace.llm import decontam
+r = random.Random(3)
+word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
+vocab = [word() for _ in range(20000)]
+items = [(str(i), " ".join(r.choice(vocab) if i % 2 else word() for _ in range(400))) for i in range(125)]
+rss = lambda: int(next(x for x in open("/proc/self/status") if x.startswith("VmHWM")).split()[1]) * 1024
+before = rss()
+kept = decontam.build(items, 10)
+print(rss() - before, sum(decontam.weight(t, 10) for _, t in items))
+"""
+    grown, most = map(int, subprocess.run([sys.executable, "-c", code, str(Path(decontam.__file__).parents[2])], capture_output=True, text=True, check=True).stdout.split())
+    assert most / 5 < grown < most
