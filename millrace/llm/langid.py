@@ -8,28 +8,30 @@ algorithm); a text is scored by the product over its words.
 from __future__ import annotations
 
 import math
-import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.core.session import read_table
+from millrace.core.session import prepare, read_table
 
 from ._rows import add_columns, texts
 
-#: Texts of each language that the classifier is fitted on, and their greatest length.
-FIT_TEXTS, FIT_CHARS = 150, 100_000
+#: Distinct texts of each language that the classifier is fitted on, whatever their length.
+FIT_TEXTS = 150
 EM_ROUNDS = 3
 UNDETERMINED = "und"
 #: Distinct words that a worker remembers; beyond, it starts afresh.
 CACHE_WORDS = 300_000
 #: Words times the letters of the longest that are walked at once.
 WALK_LETTERS = 200_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 _START = "▁"
 
 
@@ -64,9 +66,8 @@ class Model:
 
     def __post_init__(self):
         self.longest = max(map(len, self.pieces), default=1)
-        self._trie()
         self.memory: dict[str, int] = {}
-        self.scores = np.zeros((CACHE_WORDS, len(self.languages)))
+        self.step = None  # what scoring alone needs is made by the first scoring
 
     def _trie(self) -> None:
         """The pieces as a table: node and character to node. Node 0 is dead, node 1 the root, character 0 any other."""
@@ -83,6 +84,7 @@ class Model:
                     self.node_prob[k] = self.prob[self.pieces[p]]
                 elif len(p) == 1:
                     self.node_prob[k] = self.unknown
+        self.scores = np.zeros((CACHE_WORDS, len(self.languages)))
         # letters that stand in no longer piece: pieces of their own, or unknown
         self.single = {ord(p): self.prob[k] for p, k in self.pieces.items() if len(p) == 1 and p not in chars}
 
@@ -106,6 +108,8 @@ class Model:
         and each piece on the way adds to the forward value at its end. Now and
         then the values are scaled, so that long words don't underflow.
         """
+        if self.step is None:
+            self._trie()
         n, langs = len(fresh), len(self.languages)
         size = np.array([len(w) + 1 for w in fresh])
         width = int(size.max())
@@ -134,6 +138,8 @@ class Model:
 
     def text_scores(self, batch: list[str]) -> list[np.ndarray | None]:
         """Log-probability of each text in each language; None without a letter."""
+        if self.step is None:
+            self._trie()
         split = [words(t) for t in batch]
         fresh = [*{w for ws in split for w in ws}.difference(self.memory)]
         if len(self.memory) + len(fresh) > CACHE_WORDS:
@@ -166,6 +172,12 @@ class Model:
         return out
 
 
+def _steps(place: np.ndarray) -> list[np.ndarray]:
+    """Edges by their place in the word, the first place first."""
+    order = np.argsort(place, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(place[order])) + 1)
+
+
 def train(counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = EM_ROUNDS, smooth: float = 0.05) -> Model:
     """Piece probabilities from (language, word, count) by EM over all segmentations."""
     languages = sorted({c[0] for c in counts})
@@ -175,7 +187,7 @@ def train(counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = E
     per_word: dict[str, np.ndarray] = {}
     for lang, w, c in counts:
         per_word.setdefault(w, np.zeros(n))[languages.index(lang)] += c
-    fitted = [w for w in sorted(per_word) if len(w) <= 50]  # so that plain products don't underflow
+    fitted = sorted(per_word)
     if not fitted:
         return model
     flat = np.concatenate([np.array([(k, *e) for e in model.lattice(w)], dtype=np.int32) for k, w in enumerate(fitted)])
@@ -184,20 +196,19 @@ def train(counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = E
     size = np.array([len(w) + 1 for w in fitted])
     base = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
     at, to, weight = base[who] + start, base[who] + end, np.stack([per_word[w] for w in fitted])
-    by_end = [ix for ix in (np.flatnonzero(end == k) for k in range(1, int(size.max()) + 1)) if len(ix)]
-    by_start = [ix for ix in (np.flatnonzero(start == k) for k in range(int(size.max()), -1, -1)) if len(ix)]
+    by_end, by_start = _steps(end), _steps(start)[::-1]
     p = np.vstack([model.prob, model.unknown])
     for _ in range(rounds):
-        probs = p[piece]
-        f, b = np.zeros((int((size + 1).sum()), n)), np.zeros((int((size + 1).sum()), n))
-        f[base] = b[base + size] = 1
+        # sums of products as logarithms, so that words of any length have their place
+        logs = np.log(p)[piece]
+        f, b = np.full((int((size + 1).sum()), n), -np.inf), np.full((int((size + 1).sum()), n), -np.inf)
+        f[base] = b[base + size] = 0
         for ix in by_end:
-            np.add.at(f, to[ix], f[at[ix]] * probs[ix])
+            np.logaddexp.at(f, to[ix], f[at[ix]] + logs[ix])
         for ix in by_start:
-            np.add.at(b, at[ix], b[to[ix]] * probs[ix])
-        scale = weight / np.maximum(f[base + size], 1e-300)
+            np.logaddexp.at(b, at[ix], b[to[ix]] + logs[ix])
         total = np.full((v + 1, n), smooth)
-        np.add.at(total, piece, f[at] * probs * b[to] * scale[who])
+        np.add.at(total, piece, np.exp(f[at] + logs + b[to] - f[base + size][who]) * weight[who])
         p = total / total.sum(axis=0)
         # an unknown letter is one of many: its mass is spread over an alphabet's worth of letters
         p[v] /= 100
@@ -210,20 +221,33 @@ def held_out(doc_id: str = "doc_id", parts: int = 4, part: int = 2) -> F.Column:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = FIT_TEXTS, vocabulary: str | None = None) -> Model:
-    """Fit on at most about ``per_language`` labelled texts of each language.
+    """Fit on about ``per_language`` distinct labelled texts of each language, or on all if there are fewer.
 
     The sample is what a hash of the text puts first, at the share that the
-    language's count asks for; texts over ``FIT_CHARS`` are passed over. Rows
-    with null text or null language teach nothing. Words are counted in Spark;
-    the driver gets the counts of the bounded sample.
+    count of distinct texts asks for, and one text at least; their length
+    doesn't matter, copies count once. Rows with null text or null language
+    teach nothing. Words are counted where the texts are, by the rule that
+    prediction uses; the driver gets the counts of the bounded sample.
     """
-    labelled = docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(F.col("t").isNotNull() & F.col("l").isNotNull() & (F.length("t") <= FIT_CHARS))
-    share = {r.l: per_language / max(1, r["n"]) for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    hashed = F.pmod(F.xxhash64("t"), F.lit(1 << 40))
+    labelled = docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(F.col("t").isNotNull() & F.col("l").isNotNull())
+    stats = labelled.select("l", hashed.alias("h")).distinct().groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least"))
     pick = F.lit(False)
-    for lang, s in sorted(share.items()):
-        pick = pick | ((F.col("l") == lang) & (F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < math.ceil(min(1.0, s) * (1 << 20))))
-    found = F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"(\p{L}+)"), 1))
-    counts = labelled.where(pick).select("l", found.alias("w")).groupBy("l", "w").agg(F.count(F.lit(1)).alias("c"))
+    for r in sorted(stats.collect(), key=lambda r: r.l):
+        pick = pick | ((F.col("l") == r.l) & (hashed <= max(r.least, math.ceil(min(1.0, per_language / r.n) * (1 << 40)))))
+    sample = labelled.where(pick).dropDuplicates(["l", "t"]).select("l", "t")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter = Counter()
+            for lang, t in zip(b.column(0).to_pylist(), texts(b, "t")):
+                seen.update((lang, w) for w in words(t))
+            if seen:
+                langs, found = zip(*seen)
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.string()), pa.array([*seen.values()], pa.int64())], names=["l", "w", "c"])
+
+    prepare(docs.sparkSession)
+    counts = sample.mapInArrow(count, "l string, w string, c long").groupBy("l", "w").agg(F.sum("c").alias("c"))
     return train(sorted((r.l, r.w, r.c) for r in counts.collect()), load_pieces(vocabulary or default_path()))
 
 

@@ -68,3 +68,79 @@ def test_odd_inputs(spark):
     nothing = langid.fit(none)
     assert langid.identify(none, nothing).collect() == []
     assert {r.lang_pred for r in langid.identify(df, nothing).collect()} == {"und"}
+
+
+def test_letters_are_letters_on_both_sides(spark):
+    """Numerals that aren't letters have no language, in learning or in prediction."""
+    df = spark.createDataFrame([(1, "the house ½ ² ③ Ⅷ", "en"), (2, "½ ² ③", "es"), (3, "Ⅷ", "es"), (4, "١٢٣ ㊀", None)], "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.languages == ["en"]
+    assert [(r.lang_pred, r.score) for r in langid.identify(df, model).collect()] == [("en", 1.0)] + [("und", 0.0)] * 3
+
+
+def test_a_language_of_long_texts_and_long_words_is_learned(spark):
+    rows = [(i, f"the house and the garden {i} of the man", "en") for i in range(9)] + [(50, "casa y jardin de la mujer " * 6000, "la"), (51, "zz" * 40_000 + " qqqxq", "lz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.languages == ["en", "la", "lz"]
+    assert [r.lang_pred for r in langid.identify(df, model).collect()] == [r[2] for r in rows]
+
+
+def _brute_force(docs: list[tuple], pieces: list[str]) -> dict[int, tuple[str, float]]:
+    """The whole query in plain sums over segmentations: EM on the learning rows, posteriors of all rows."""
+    import math
+    import unicodedata
+
+    def words(text):
+        marked = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (text or "").lower())
+        return marked.split(" ") if marked.strip() else []
+
+    known, v = set(pieces), len(pieces)
+    kept = lambda i: zlib.crc32(str(i).encode()) % 4 != 2
+    langs = sorted({lang for i, t, lang in docs if kept(i) and t is not None and lang is not None and any(words(t))})
+    learned = {lang: [w for t in {t for i, t, x in docs if kept(i) and x == lang and t is not None} for w in words(t) if w] for lang in langs}
+
+    def chart(word, prob):
+        w = "▁" + word
+        edges = [(i, j, w[i:j] if w[i:j] in known else None) for i in range(len(w)) for j in range(i + 1, len(w) + 1) if w[i:j] in known or j == i + 1]
+        f, b = [1.0] + [0.0] * len(w), [0.0] * len(w) + [1.0]
+        for i, j, p in edges:
+            f[j] += f[i] * prob[p]
+        for i, j, p in reversed(edges):
+            b[i] += b[j] * prob[p]
+        return edges, f, b
+
+    probs = {}
+    for lang in langs:
+        prob = {p: 1 / (v + 1) for p in pieces} | {None: 1 / (v + 1) / 1000}
+        for _ in range(langid.EM_ROUNDS):
+            total = {p: 0.05 for p in [*pieces, None]}
+            for word in learned[lang]:
+                edges, f, b = chart(word, prob)
+                for i, j, p in edges:
+                    total[p] += f[i] * prob[p] * b[j] / f[-1]
+            mass = sum(total.values())
+            prob = {p: x / mass for p, x in total.items()}
+            prob[None] /= 100
+        probs[lang] = prob
+    out = {}
+    for i, t, _ in docs:
+        found = [w for w in words(t) if w]
+        if not found or not langs:
+            out[i] = ("und", 0.0)
+            continue
+        s = {lang: sum(math.log(chart(w, probs[lang])[1][-1]) for w in found) for lang in langs}
+        best = max(langs, key=lambda x: (s[x], [-ord(c) for c in x]))
+        out[i] = (best, 1 / sum(math.exp(s[x] - s[best]) for x in langs))
+    return out
+
+
+def test_whole_query_against_brute_force(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    src = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where(F.length("text") < 400).select("doc_id", "text", "lang").collect()
+    docs = [(r.doc_id, r.text, r.lang) for r in src][:60] + [(9001, "½ Ⅷ 12", "en"), (9002, None, "fr"), (9003, "ΑΩ 日本 words", None), (9004, "", "de"), (9005, docs_text := src[0].text, src[0].lang), (9006, docs_text, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = _brute_force(docs, langid.load_pieces(langid.default_path()))
+    got = langid.op10_langid(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.lang_pred, pytest.approx(r.score, abs=1e-6)) for r in got} == want
