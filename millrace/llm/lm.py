@@ -2,12 +2,17 @@
 
 Frequent words are classes of their own; the others share classes by their last
 letters, and within such a class a word has its add-one share, one unseen word
-included. The model predicts a class from the two before: the context vector is
-the sum of the context classes' vectors, scaled by position, and a class scores
-by its inner product with it plus a bias. Every partition trains on all its
-training texts from one common start, and the parameters are averaged by token
-counts. Normalisers of all contexts come from batched matrix products, so the
-token log-probabilities are normalised exactly.
+included. The model predicts a class from the four before it: the context vector
+is the sum of the context classes' vectors, scaled by position. It predicts in
+two levels, a group of classes and then the class in its group, each scored by
+inner product with the context vector plus a bias. Normalisers come from batched
+matrix products over the groups and over the members of one group, so the token
+log-probabilities are normalised exactly.
+
+Texts are dealt to shards by a hash of their rows. In each pass every shard
+trains on all its texts, in the order of the hash, from one common start, and
+the parameters are averaged by token counts. Shards depend on the rows alone,
+so the model doesn't change with the partitions that they come in.
 """
 
 from __future__ import annotations
@@ -28,9 +33,20 @@ from ._rows import texts
 from ._words import Q, blocks, hash_words, mix
 
 #: Words with a class of their own (the end of a text is one), and shared classes.
-OWN, SHARED = 384, 128
+OWN, SHARED = 3072, 1024
 CLASSES = OWN + SHARED
-DIM, BATCH, NOISE, RATE = 16, 4096, 32, 0.15
+#: Groups of classes, and classes in each.
+GROUPS = 64
+MEMBERS = CLASSES // GROUPS
+DIM, CONTEXT, RATE = 24, 4, 0.1
+#: Noise drawn for a step: groups, and members of each group.
+NOISE_GROUPS, NOISE_MEMBERS = 16, 12
+#: Tokens of a step: at most, and such that a pass over a small corpus has about so many steps.
+BATCH, STEPS = 16_384, 256
+#: Passes over all texts.
+PASSES = 2
+#: Tokens of a shard, and most shards (beyond, shards grow with the corpus).
+SHARD_TOKENS, SHARDS = 1 << 21, 4096
 #: Words whose counts are broadcast; those of all others are joined.
 HEAD = 1 << 18
 #: The hash that stands for the end of a text.
@@ -41,8 +57,10 @@ def _tokens(batch: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
     """For each block of texts: token hashes, the shared class of each, and tokens up to each text's end."""
     for block in blocks(batch):
         w = hash_words(block)
-        before = np.where(w.last - w.first > 1, w.raw[np.maximum(w.last - 2, 0)], 0).astype(np.uint64)
-        shared = (mix((w.raw[w.last - 1].astype(np.uint64) << np.uint64(8) | before) * np.uint64(Q) + np.uint64(1)) % np.uint64(SHARED)).astype(np.int64)
+        tail = np.zeros(len(w.last), dtype=np.uint64)
+        for back in (1, 2, 3):  # the last three bytes
+            tail = tail << np.uint64(8) | np.where(w.last - w.first >= back, w.raw[np.maximum(w.last - back, 0)], 0).astype(np.uint64)
+        shared = (mix(tail * np.uint64(Q) + np.uint64(1)) % np.uint64(SHARED)).astype(np.int64)
         at = w.ends
         yield np.insert(w.hashes, at, END), np.insert(shared, at, 0), at + np.arange(1, len(at) + 1)
 
@@ -61,94 +79,170 @@ class Lookup:
         return np.where(self.keys[at] == h, self.order[at], -1)
 
 
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(axis=1)
+    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+
+
+def _by_row(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sums of their gradients."""
+    order = np.argsort(rows, kind="stable")
+    ordered = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[first], np.add.reduceat(grads[order], first, axis=0)
+
+
+_SHAPES = {"r": (CLASSES, DIM), "scale": (CONTEXT, DIM), "qg": (GROUPS, DIM), "bg": (GROUPS,), "q": (CLASSES, DIM), "b": (CLASSES,)}
+
+
+#: What AdaGrad's sums of squares start from: biases, which start at the unigram, move slowly.
+_SEEN = {"r": 1.0, "scale": 100.0, "qg": 1.0, "bg": 1000.0, "q": 1.0, "b": 100.0}
+
+
 @dataclass
 class Params:
-    """Vectors of context classes, scales by position, vectors and biases of predicted classes."""
+    """Vectors of context classes, scales by position; vectors and biases of groups and of their members.
+
+    A class is a number: its group times ``MEMBERS`` plus its place in the group.
+    """
 
     r: np.ndarray
     scale: np.ndarray
+    qg: np.ndarray
+    bg: np.ndarray
     q: np.ndarray
     b: np.ndarray
 
     @classmethod
     def start(cls, unigram: np.ndarray, seed: int = 11) -> Params:
+        """Small vectors, and the biases that make the model one of unigrams."""
         rng = np.random.default_rng(seed)
-        return cls(rng.normal(0, 0.1, (CLASSES, DIM)), np.ones((2, DIM)), rng.normal(0, 0.1, (CLASSES, DIM)), np.log(unigram))
+        some = lambda name: rng.normal(0, 0.1, _SHAPES[name]).astype(np.float32)
+        groups = unigram.reshape(GROUPS, MEMBERS).sum(axis=1)
+        b = np.log(unigram) - np.repeat(np.log(groups), MEMBERS)
+        return cls(some("r"), np.ones(_SHAPES["scale"], dtype=np.float32), some("qg"), np.log(groups).astype(np.float32), some("q"), b.astype(np.float32))
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.r.ravel(), self.scale.ravel(), self.q.ravel(), self.b])
+        return np.concatenate([getattr(self, k).ravel() for k in _SHAPES])
 
     @classmethod
     def of(cls, x: np.ndarray) -> Params:
-        n = CLASSES * DIM
-        return cls(x[:n].reshape(CLASSES, DIM), x[n : n + 2 * DIM].reshape(2, DIM), x[n + 2 * DIM : 2 * n + 2 * DIM].reshape(CLASSES, DIM), x[2 * n + 2 * DIM :])
-
-    def context(self, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
-        return self.r[c1] * self.scale[0] + self.r[c2] * self.scale[1]
-
-    def normalisers(self) -> np.ndarray:
-        """log of the sum over classes of exp(score), for every pair of context classes."""
-        out = np.empty((CLASSES, CLASSES))
-        for c in range(CLASSES):
-            s = self.context(np.full(CLASSES, c), np.arange(CLASSES)) @ self.q.T + self.b
-            top = s.max(axis=1)
-            out[c] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+        cuts = np.cumsum([int(np.prod(s)) for s in _SHAPES.values()])[:-1]
+        return cls(*(part.reshape(s).astype(np.float32) for part, s in zip(np.split(x, cuts), _SHAPES.values())))
+
+    def context(self, w: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Context vectors of consecutive tokens, and their vectors ``k`` places before (zero before a text)."""
+        e = self.r[w]
+        ctx, shifted = np.zeros_like(e), []
+        for k in range(1, CONTEXT + 1):
+            back = np.zeros_like(e)
+            back[k:] = e[:-k]
+            back[place < k] = 0
+            shifted.append(back)
+            ctx += back * self.scale[k - 1]
+        return ctx, shifted
+
+    def log_probs(self, w: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Natural log-probability of each of some consecutive tokens' classes."""
+        ctx, _ = self.context(w, place)
+        group = w // MEMBERS
+        level = ctx @ self.qg.T + self.bg
+        out = (level[np.arange(len(w)), group] - _log_sum(level)).astype(np.float64)
+        for g, ix in _of_groups(group):
+            level = ctx[ix] @ self.q[g * MEMBERS : (g + 1) * MEMBERS].T + self.b[g * MEMBERS : (g + 1) * MEMBERS]
+            out[ix] += level[np.arange(len(ix)), w[ix] % MEMBERS] - _log_sum(level)
         return out
 
 
-def _before(classes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The classes one and two places before each token; before a text stand ends."""
-    c1, c2 = np.concatenate([[0], classes[:-1]]), np.concatenate([[0, 0], classes[:-2]])[: len(classes)]
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    c1[starts] = c2[starts] = 0
-    seconds = starts + 1
-    c2[seconds[seconds < ends]] = 0
-    return c1, c2
+def _of_groups(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(group.astype(np.int16), kind="stable")
+    edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
+    for g in range(GROUPS):
+        if edges[g] < edges[g + 1]:
+            yield g, order[edges[g] : edges[g + 1]]
+
+
+def _places(ends: np.ndarray) -> np.ndarray:
+    """Each token's place in its text."""
+    sizes = np.diff(np.concatenate([[0], ends]))
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
 class Trainer:
-    """Noise-contrastive estimation with noise shared by a batch, AdaGrad steps."""
-
-    def __init__(self, unigram: np.ndarray, seed: int):
-        self.p, self.noise_log = Params.start(unigram), np.log(unigram * NOISE)
-        self.draw, self.rng = np.cumsum(unigram), np.random.default_rng(seed)
-        self.seen = [np.full(x.shape, 1e-2) for x in (self.p.r, self.p.scale, self.p.q, self.p.b)]
-        self.tokens = 0
-
-    def step(self, w: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> None:
-        p, n = self.p, len(w)
-        self.tokens += n
-        noise = np.minimum(np.searchsorted(self.draw, self.rng.random(NOISE)), CLASSES - 1)
-        ctx = p.context(c1, c2)
-        good = 1 - 1 / (1 + np.exp(np.clip(self.noise_log[w] - (ctx * p.q[w]).sum(1) - p.b[w], -30, 30)))
-        bad = -1 / (1 + np.exp(np.clip(self.noise_log[noise] - ctx @ p.q[noise].T - p.b[noise], -30, 30)))
-        d_ctx = good[:, None] * p.q[w] + bad @ p.q[noise]
-        g = [np.zeros_like(x) for x in (p.r, p.scale, p.q, p.b)]
-        np.add.at(g[0], c1, d_ctx * p.scale[0])
-        np.add.at(g[0], c2, d_ctx * p.scale[1])
-        g[1][0], g[1][1] = (d_ctx * p.r[c1]).sum(0), (d_ctx * p.r[c2]).sum(0)
-        np.add.at(g[2], w, good[:, None] * ctx)
-        np.add.at(g[2], noise, bad.T @ ctx)
-        g[3] += np.bincount(w, good, CLASSES) + np.bincount(noise, bad.sum(0), CLASSES)
-        for x, d, s in zip((p.r, p.scale, p.q, p.b), g, self.seen):
-            d /= n
-            s += d * d
-            x += RATE * d / np.sqrt(s)
+    """Noise-contrastive estimation at both levels, noise shared by a step, AdaGrad steps."""
+
+    def __init__(self, start: Params, unigram: np.ndarray, seed: int):
+        self.p, self.rng, self.tokens = Params(*(getattr(start, k).copy() for k in _SHAPES)), np.random.default_rng(seed), 0
+        self.groups = unigram.reshape(GROUPS, MEMBERS).sum(axis=1)
+        self.members = unigram.reshape(GROUPS, MEMBERS) / self.groups[:, None]
+        self.seen = {k: np.full(s, _SEEN[k], dtype=np.float32) for k, s in _SHAPES.items()}
+
+    def _move(self, name: str, rows: np.ndarray | slice, grad: np.ndarray) -> None:
+        s = self.seen[name]
+        s[rows] += grad * grad
+        getattr(self.p, name)[rows] += RATE * grad / np.sqrt(s[rows])
+
+    @staticmethod
+    def _pull(score: np.ndarray, log_noise: np.ndarray, true: bool) -> np.ndarray:
+        """What the log-likelihood of telling data from noise asks of a score."""
+        odds = 1 / (1 + np.exp(np.clip(log_noise - score, -30, 30)))  # that a class is data
+        return (1 - odds if true else -odds).astype(np.float32)
+
+    def step(self, w: np.ndarray, place: np.ndarray) -> None:
+        p = self.p
+        self.tokens += len(w)
+        ctx, shifted = p.context(w, place)
+        group = w // MEMBERS
+        d_ctx, d_qg, d_bg = np.zeros_like(ctx), np.zeros_like(p.qg), np.zeros_like(p.bg)
+        # which group
+        noise = self.rng.choice(GROUPS, NOISE_GROUPS, p=self.groups)
+        log_noise = np.log(self.groups * NOISE_GROUPS).astype(np.float32)
+        good = self._pull((ctx * p.qg[group]).sum(1) + p.bg[group], log_noise[group], True)
+        bad = self._pull(ctx @ p.qg[noise].T + p.bg[noise], log_noise[noise], False)
+        d_ctx += good[:, None] * p.qg[group] + bad @ p.qg[noise]
+        np.add.at(d_qg, noise, bad.T @ ctx)
+        np.add.at(d_bg, noise, bad.sum(0))
+        # which member of it
+        moves = []
+        for g, ix in _of_groups(group):
+            c, at = ctx[ix], w[ix]
+            d_qg[g] += good[ix] @ c
+            d_bg[g] += good[ix].sum()
+            share = self.members[g]
+            drawn = self.rng.choice(MEMBERS, NOISE_MEMBERS, p=share)
+            log_share = np.log(share * NOISE_MEMBERS).astype(np.float32)
+            other = drawn + g * MEMBERS
+            yes = self._pull((c * p.q[at]).sum(1) + p.b[at], log_share[at - g * MEMBERS], True)
+            no = self._pull(c @ p.q[other].T + p.b[other], log_share[drawn], False)
+            d_ctx[ix] += yes[:, None] * p.q[at] + no @ p.q[other]
+            moves.append((np.concatenate([at, other]), np.concatenate([yes[:, None] * np.concatenate([c, np.ones((len(ix), 1), np.float32)], axis=1), np.concatenate([no.T @ c, no.sum(0)[:, None]], axis=1)])))
+        rows, grads = _by_row(np.concatenate([m[0] for m in moves]), np.concatenate([m[1] for m in moves]))
+        # back to the context words
+        d_e = np.zeros_like(ctx)
+        for k, back in enumerate(shifted, 1):
+            pulled = np.where((place >= k)[:, None], d_ctx * p.scale[k - 1], 0)
+            d_e[:-k] += pulled[k:]
+        d_scale = np.stack([(d_ctx * back).sum(0) for back in shifted])
+        seen, d_r = _by_row(w, d_e)
+        for name, at, grad in (("r", seen, d_r), ("scale", slice(None), d_scale), ("qg", slice(None), d_qg), ("bg", slice(None), d_bg), ("q", rows, grads[:, :-1]), ("b", rows, grads[:, -1])):
+            self._move(name, at, grad)
 
 
 @dataclass
 class Model:
-    own: np.ndarray  # hashes of the words that are classes; the first is the end
+    own: np.ndarray  # hashes of the words that have a class; the first is the end
+    number: np.ndarray  # of each class (words first, then shared ones): its group and place
     head: np.ndarray  # hashes and counts of the most frequent words
     head_counts: np.ndarray
     class_sums: np.ndarray  # of the shared classes: sum of c + 1 over their words, one unseen word included
+    unigram: np.ndarray  # by number
     params: Params
-    logz: np.ndarray
     n: int
     v: int
 
 
 def _class_of(own: Lookup, h: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Classes by rank: words with one of their own, then shared ones."""
     at = own(h)
     return np.where(at >= 0, at, OWN + shared)
 
@@ -184,84 +278,57 @@ def _frequent(counts: DataFrame, most: int) -> list:
     return [] if least is None else sorted(((r.c, r.h) for r in counts.where(step >= least).select("h", "c").collect()), reverse=True)
 
 
-def fit(docs: DataFrame, counts: DataFrame) -> Model:
-    """Train on ``docs`` (one column, ``text``) with the counts of all their tokens."""
-    spark = docs.sparkSession
+def untrained(counts: DataFrame) -> Model:
+    """Classes, counts and the unigram model they make."""
     n, v = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    if not n:  # nothing to learn from: all words are unseen
-        flat = Params.start(np.full(CLASSES, 1 / CLASSES))
-        none = np.zeros(0, dtype=np.uint64)
-        return Model(np.array([END]), none, np.zeros(0), np.ones(SHARED), flat, flat.normalisers(), 0, 0)
-    head = _frequent(counts, HEAD)
+    head = _frequent(counts, HEAD) if n else []
     keys = np.array([h for _, h in head], dtype=np.int64).view(np.uint64)
     own = np.array([END, *[h for h in keys if h != END][: OWN - 1]], dtype=np.uint64)
     ids = counts.sparkSession.createDataFrame([(int(h),) for h in own.view(np.int64)], "h long")
-    sums = np.ones(SHARED)
-    mass = np.full(CLASSES, 1.0)
-    for r in counts.join(F.broadcast(ids), "h", "left_anti").groupBy("shared").agg(F.sum(F.col("c") + 1).alias("s"), F.sum("c").alias("c")).collect():  # OWN rows are broadcast
+    sums, mass = np.ones(SHARED), np.ones(CLASSES)
+    for r in counts.join(F.broadcast(ids), "h", "left_anti").groupBy("shared").agg(F.sum(F.col("c") + 1).alias("s"), F.sum("c").alias("c")).collect():  # OWN rows are broadcast, SHARED come back
         sums[r.shared] += r.s
         mass[OWN + r.shared] += r.c
     known = dict(zip(keys.tolist(), (c for c, _ in head)))
     mass[: len(own)] += [known.get(int(h), 0) for h in own]
-    unigram = mass / mass.sum()
-    shipped = spark.sparkContext.broadcast((own, unigram))
+    number = np.empty(CLASSES, dtype=np.int64)
+    number[np.argsort(-mass, kind="stable")] = np.arange(CLASSES)  # classes of like frequency make a group
+    unigram = np.empty(CLASSES)
+    unigram[number] = mass / mass.sum()
+    return Model(own, number, keys, np.array([c for c, _ in head], dtype=np.float64), sums, unigram, Params.start(unigram), n or 0, v)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_, unigram_ = shipped.value
-        look, t = Lookup(own_), Trainer(unigram_, seed=5)
-        for b in batches:
-            for h, shared, ends in _tokens(texts(b, "text")):
-                w = _class_of(look, h, shared)
-                c1, c2 = _before(w, ends)
-                order = t.rng.permutation(len(w))
-                for i in range(0, len(w), BATCH):
-                    ix = order[i : i + BATCH]
-                    t.step(w[ix], c1[ix], c2[ix])
-        if t.tokens:
-            x = t.p.flat()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x), dtype=np.int32)), pa.array(x * t.tokens), pa.array(np.full(len(x), float(t.tokens)))], names=["k", "x", "w"])
-
-    mean = docs.mapInArrow(run, "k int, x double, w double").groupBy("k").agg((F.sum("x") / F.sum("w")).alias("x")).collect()
-    params = Params.of(np.array([r.x for r in sorted(mean, key=lambda r: r.k)]))
-    return Model(own, keys, np.array([c for c, _ in head], dtype=np.float64), sums, params, params.normalisers(), n, v)
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``n_tokens, n_known, train_tokens long`` and ``base_score, score double``.
 
-    ``score`` is the model's log10 probability of the whole text, its end
-    included; ``base_score`` that of add-one unigrams. Null texts are empty:
-    one token, the end. Rows repeat as they come; an empty table stays empty;
-    columns of these names are replaced. Counts of frequent words are broadcast
-    (``HEAD`` words at most); the others' are joined on the word.
+def encode(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
+    """(row, rid, ids, n_tokens, known, base, inside, rare): what scoring needs of each text.
+
+    ``row`` holds the columns ``keep``; ``ids`` are the tokens' classes, two
+    bytes each; ``base`` and ``inside`` sum the logarithms of the frequent
+    words' counts, of all and of those in shared classes; ``rare`` lists the
+    other words.
     """
-    spark = prepare(docs.sparkSession)
-    shipped = spark.sparkContext.broadcast(model)
-    new = [T.StructField("rid", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("lm", T.DoubleType()), T.StructField("rare", T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("own", T.BooleanType())])))]
-    names = {"n_tokens", "n_known", "train_tokens", "base_score", "score"}
-    keep = [c for c in docs.columns if c.lower() not in names]
-    row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")
-    src = docs.select(row, F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"))
-    new.insert(0, src.schema["row"])
+    shipped = prepare(docs.sparkSession).sparkContext.broadcast((model.own, model.number, model.head, model.head_counts, model.class_sums))
+    row = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in keep)).alias("row")
+    src = docs.select(row, F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text"))
+    rare_type = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("own", T.BooleanType())]))
+    kinds = {"ids": T.BinaryType(), "n_tokens": T.LongType(), "known": T.LongType(), "base": T.DoubleType(), "inside": T.DoubleType(), "rare": rare_type}
+    schema = T.StructType([src.schema["row"], src.schema["rid"], *(T.StructField(k, t) for k, t in kinds.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
-        own, head = Lookup(m.own), Lookup(m.head)
-        p, log_sums = m.params, np.log10(m.class_sums)
+        own_hashes, number, head_hashes, head_counts, sums = shipped.value
+        own, head, log_sums = Lookup(own_hashes), Lookup(head_hashes), np.log10(sums)
         for b in batches:
-            n, known, base, lm, rare, cuts = [], [], [], [], [], []
+            ids, n, known, base, inside, rare, cuts = [], [], [], [], [], [], []
             for h, shared, ends in _tokens(texts(b, "text")):
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 w, at = _class_of(own, h, shared), head(h)
-                log_c = np.where(at >= 0, np.log10(m.head_counts[np.maximum(at, 0)] + 1) if len(m.head_counts) else 0.0, 0.0)
-                c1, c2 = _before(w, ends)
-                s = ((p.context(c1, c2) * p.q[w]).sum(1) + p.b[w] - m.logz[c1, c2]) / np.log(10)
+                log_c = np.where(at >= 0, np.log10(head_counts[np.maximum(at, 0)] + 1) if len(head_counts) else 0.0, 0.0)
                 alone = w < OWN
-                s = s + np.where(alone, 0.0, log_c - log_sums[np.maximum(w - OWN, 0)])
+                codes = number[w].astype("<u2")
+                ids += [codes[x:y].tobytes() for x, y in zip(starts, ends)]
                 n.append(ends - starts)
                 known.append(np.add.reduceat((at >= 0).astype(np.int64), starts))
                 base.append(np.add.reduceat(log_c, starts))
-                lm.append(np.add.reduceat(s, starts))
+                inside.append(np.add.reduceat(np.where(alone, 0.0, log_c - log_sums[np.maximum(w - OWN, 0)]), starts))
                 tail = np.flatnonzero(at < 0)
                 rare.append(np.stack([h[tail].view(np.int64), alone[tail].astype(np.int64)], axis=1))
                 cuts.append(np.searchsorted(tail, ends) - np.searchsorted(tail, starts))
@@ -272,29 +339,127 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "tex
                 pa.array(np.concatenate([[0], np.cumsum(np.concatenate(cuts))]).astype(np.int32)),
                 pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1].astype(bool))], names=["h", "own"]),
             )
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(np.concatenate(x)) for x in (n, known, base, lm)), lists], names=[f.name for f in new])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), *(pa.array(np.concatenate(x)) for x in (n, known, base, inside)), lists], names=schema.names)
+
+    return materialize(src.mapInArrow(run, schema), "lm-encoded")
+
+
+def _joined(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(ids), dtype="<u2").astype(np.int64), np.cumsum([len(x) // 2 for x in ids], dtype=np.int64)
+
+
+def train(texts_: DataFrame, model: Model) -> Model:
+    """The model trained on encoded texts: ``order long`` (a hash of the row) and ``ids binary``."""
+    if not model.n:
+        return model
+    spark = texts_.sparkSession
+    shards = int(min(SHARDS, -(-model.n // SHARD_TOKENS)))
+    batch = int(min(BATCH, max(256, min(model.n, SHARD_TOKENS) // STEPS)))
+    dealt = texts_.withColumn("shard", F.pmod("order", F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "order").select("shard", "ids")
+    params = model.params
+    for turn in range(PASSES):
+        shipped = spark.sparkContext.broadcast((params, model.unigram))
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, turn=turn) -> Iterator[pa.RecordBatch]:
+            start, unigram = shipped.value
+            t, now, held, size = None, None, [], 0
+
+            def learn() -> None:
+                w, ends = _joined(held)
+                place = _places(ends)
+                for i in range(0, len(w), batch):
+                    t.step(w[i : i + batch], place[i : i + batch] if i == 0 else np.minimum(place[i : i + batch], np.arange(len(w[i : i + batch]))))
+                held.clear()
+
+            def done() -> pa.RecordBatch:
+                x = t.p.flat().astype(np.float64)
+                return pa.RecordBatch.from_arrays([pa.array(np.arange(len(x), dtype=np.int32)), pa.array(x * t.tokens), pa.array(np.full(len(x), float(t.tokens)))], names=["k", "x", "w"])
+
+            for b in batches:
+                for shard, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if shard != now:
+                        if t:
+                            learn()
+                            yield done()
+                        t, now, size = Trainer(start, unigram, seed=1000 * turn + shard), shard, 0
+                    held.append(ids)
+                    size += len(ids) // 2
+                    if size >= 4 * batch:
+                        learn()
+                        size = 0
+            if t:
+                learn()
+                yield done()
+
+        mean = dealt.mapInArrow(run, "k int, x double, w double").groupBy("k").agg((F.sum("x") / F.sum("w")).alias("x")).collect()
+        params = Params.of(np.array([r.x for r in sorted(mean, key=lambda r: r.k)]))
+    return Model(**{**model.__dict__, "params": params})
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
+    """The model trained on all texts of ``docs``, and their word counts."""
+    text = docs.select(F.col(text_col).alias("text"))
+    prepare(docs.sparkSession)
+    counts = materialize(word_counts(text), "lm-counts")
+    model = untrained(counts)
+    coded = encode(docs.select(text_col, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("order")), model, ["order"], text_col)
+    return train(coded.select("row.order", "ids"), model), counts
+
+
+def score(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "text", coded: DataFrame | None = None) -> DataFrame:
+    """Add ``n_tokens, n_known, train_tokens long`` and ``base_score, score double``.
+
+    ``score`` is the model's log10 probability of the whole text, its end
+    included; ``base_score`` that of add-one unigrams. Null texts are empty:
+    one token, the end. Rows repeat as they come; an empty table stays empty;
+    columns of these names are replaced. Counts of frequent words are broadcast
+    (``HEAD`` words at most); the others' are joined on the word. ``coded`` are
+    rows that ``encode`` has made already; their ``row`` has the columns that pass.
+    """
+    names = {"n_tokens", "n_known", "train_tokens", "base_score", "score"}
+    if coded is None:
+        coded = encode(docs, model, [c for c in docs.columns if c.lower() not in names], text_col)
+    keep = [c for c in coded.schema["row"].dataType.names if c != "_"]
+    shipped = docs.sparkSession.sparkContext.broadcast(model.params)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, lm, i = b.column(1).to_pylist(), [], 0
+            while i < len(ids):  # whole texts, about BATCH tokens at a time
+                j, size = i, 0
+                while j < len(ids) and (j == i or size < BATCH):
+                    size += len(ids[j]) // 2
+                    j += 1
+                w, ends = _joined(ids[i:j])
+                place, found = _places(ends), np.empty(len(w))
+                for k in range(0, len(w), 4 * BATCH):  # a long text in parts, with the tokens before each
+                    first = max(0, k - CONTEXT)
+                    part = slice(first, k + 4 * BATCH)
+                    found[k : k + 4 * BATCH] = shipped.value.log_probs(w[part], place[part])[k - first :]
+                lm.append(np.add.reduceat(found, np.concatenate([[0], ends[:-1]])) / np.log(10))
+                i = j
+            if lm:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(lm))], names=["rid", "lm"])
 
-    got = materialize(src.select("row", "text", "rid").mapInArrow(run, T.StructType(new)), "lm-scored")
     # a text's rare words are counted where they are, before they are dealt by word
-    tail = got.select("rid", F.explode("rare").alias("t")).select("rid", "t.h", "t.own").groupBy("rid", "h").agg(F.count(F.lit(1)).alias("k"), F.max("own").alias("own"))
+    tail = coded.select("rid", F.explode("rare").alias("t")).select("rid", "t.h", "t.own").groupBy("rid", "h").agg(F.count(F.lit(1)).alias("k"), F.max("own").alias("own"))
     hit = tail.join(counts.select("h", "c"), "h")
     log_c = F.col("k") * F.log10(F.col("c") + 1)
-    hit = hit.groupBy("rid").agg(F.sum("k").alias("k"), F.sum(log_c).alias("base"), F.sum(F.when(~F.col("own"), log_c).otherwise(0.0)).alias("lm"))
-    hit = hit.select("rid", F.col("k").alias("k2"), F.col("base").alias("base2"), F.col("lm").alias("lm2"))
-    out = got.drop("rare").join(hit, "rid", "left")
+    hit = hit.groupBy("rid").agg(F.sum("k").alias("k"), F.sum(log_c).alias("base2"), F.sum(F.when(~F.col("own"), log_c).otherwise(0.0)).alias("inside2"))
+    out = coded.drop("rare", "ids").join(coded.select("rid", "ids").mapInArrow(run, "rid long, lm double"), "rid").join(hit, "rid", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     total = float(np.log10(model.n + model.v + 1))
     return out.select(
-        *(F.col(f"row.`{c}`").alias(c) for c in keep), "n_tokens", (F.col("known") + zero("k2")).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("base2") - F.col("n_tokens") * total).alias("base_score"), (F.col("lm") + zero("lm2")).alias("score"),
+        *(F.col(f"row.`{c}`").alias(c) for c in keep), "n_tokens", (F.col("known") + zero("k")).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
+        (F.col("base") + zero("base2") - F.col("n_tokens") * total).alias("base_score"), (F.col("lm") + F.col("inside") + zero("inside2")).alias("score"),
     )
 
 
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract of operator 2: learn from six of seven parts, score all documents."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    train = docs.where(~held_out()).select("text")
-    counts = materialize(word_counts(train), "lm-counts")
-    out = score(docs.withColumn("held_out", held_out()), fit(train, counts), counts)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-
+    """Contract of operator 2: learn from six of seven parts, score all documents; each text is encoded once."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out())
+    counts = materialize(word_counts(docs.where("NOT held_out").select("text")), "lm-counts")
+    model = untrained(counts)
+    coded = encode(docs.withColumn("order", F.xxhash64("doc_id", "text")), model, ["doc_id", "held_out", "order"])
+    model = train(coded.where("NOT row.held_out").select("row.order", "ids"), model)
+    return score(docs, model, counts, coded=coded).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

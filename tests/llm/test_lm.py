@@ -48,32 +48,66 @@ def test_whole_table(spark, sf):
     got = lm.op2_lm(spark, sf).collect()
     check(got, rows)
     held = [r for r in got if r.held_out]
-    # the model must beat the unigram base on texts it hasn't seen
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-
-
-def _model(spark, rows):
-    train = spark.createDataFrame([(t,) for t in rows], "text string")
-    counts = lm.word_counts(train)
-    return lm.fit(train, counts), counts
+    # on texts it hasn't seen, the model must be well above the unigram base, token by token
+    n = sum(r.n_tokens for r in held)
+    gain = (sum(r.score for r in held) - sum(r.base_score for r in held)) / n
+    assert gain >= 0.15, gain
+
+
+def _fitted(spark, texts):
+    return lm.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+
+
+def _brute_force(text, model, count):
+    """Log10 probability of a text, token by token, with plain sums over all groups and members."""
+    p, own = model.params, {int(h): k for k, h in enumerate(model.own)}
+    before, total = [], 0.0
+    for h, shared in [(int(h), int(s)) for hs, ss, _ in lm._tokens([text or ""]) for h, s in zip(hs, ss)]:
+        rank = own.get(h, lm.OWN + shared)
+        c = int(model.number[rank])
+        ctx = [sum(float(p.scale[k, d]) * float(p.r[x, d]) for k, x in enumerate(before[::-1][: lm.CONTEXT])) for d in range(lm.DIM)]
+        level = lambda q, b: [math.exp(sum(a * float(y) for a, y in zip(ctx, qq)) + float(bb)) for qq, bb in zip(q, b)]
+        g = c // lm.MEMBERS
+        groups, members = level(p.qg, p.bg), level(p.q[g * lm.MEMBERS : (g + 1) * lm.MEMBERS], p.b[g * lm.MEMBERS : (g + 1) * lm.MEMBERS])
+        prob = groups[g] / sum(groups) * members[c % lm.MEMBERS] / sum(members)
+        if rank >= lm.OWN:
+            prob *= (count.get(h, 0) + 1) / model.class_sums[shared]
+        total += math.log10(prob)
+        before.append(c)
+    return total
+
+
+def test_scores_against_brute_force(spark):
+    texts = [" ".join(f"w{(i * 120 + j * (1 + j % 2)) % 4900}" for j in range(120)) for i in range(60)]
+    model, counts = _fitted(spark, texts)
+    count = {int(np.int64(r.h).view(np.uint64)): r.c for r in counts.collect()}
+    assert len(count) > lm.OWN  # some words share classes
+    rows = list(enumerate([texts[0], texts[41][:200], None, "", "new words w1 W2 w3 and w4899"]))
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), model, counts).collect()}
+    for i, t in rows:
+        assert got[i].score == pytest.approx(_brute_force(t, model, count), rel=1e-4)
 
 
 def test_normalised(spark):
-    """Over all words of the vocabulary and one unseen word a shared class, each context sums to 1."""
-    texts = [" ".join(f"w{(i * 7 + j * j) % 900}" for j in range(200)) for i in range(40)]
-    model, counts = _model(spark, texts)
-    c = {r.h: r for r in counts.collect()}
-    own = {int(h): k for k, h in enumerate(model.own.view(np.int64))}
-    p = model.params
-    for c1, c2 in ((0, 0), (3, 1), (lm.OWN + 2, 5)):
-        s = p.context(np.array([c1]), np.array([c2])) @ p.q.T + p.b
-        prob = np.exp(s[0] - model.logz[c1, c2])
-        assert prob.sum() == pytest.approx(1)
-        shares = np.ones(lm.SHARED) / model.class_sums
-        for h, r in c.items():
-            if h not in own:
-                shares[r.shared] += (r.c + 1) / model.class_sums[r.shared]
-        assert shares == pytest.approx(np.ones(lm.SHARED))
+    """In each context all classes sum to 1, and so do the words of a shared class and one unseen word."""
+    texts = [" ".join(f"w{(i * 7 + j * j) % 4900}" for j in range(200)) for i in range(40)]
+    model, counts = _fitted(spark, texts)
+    every = np.arange(lm.CLASSES)
+    for before in ([], [3], [5, 7, 9, 11]):
+        logs = [model.params.log_probs(np.array([*before, c]), np.arange(len(before) + 1))[-1] for c in every]
+        assert np.exp(logs).sum() == pytest.approx(1, rel=1e-4)
+    own, shares = {int(h) for h in model.own.view(np.int64)}, 1 / model.class_sums
+    for r in counts.collect():
+        if r.h not in own:
+            shares[r.shared] += (r.c + 1) / model.class_sums[r.shared]
+    assert shares == pytest.approx(np.ones(lm.SHARED))
+
+
+def test_the_model_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 1500)
+    df = spark.createDataFrame([(" ".join(f"w{(i * 7 + j * j) % 900}" for j in range(200)),) for i in range(40)], "text string")
+    a, b = (lm.fit(df.repartition(n))[0].params.flat() for n in (1, 7))
+    assert np.allclose(a, b, atol=1e-6) and not np.allclose(a, lm.Params.start(lm.fit(df)[0].unigram).flat(), atol=1e-3)
 
 
 def test_rare_words_are_joined(spark, monkeypatch):
@@ -82,10 +116,9 @@ def test_rare_words_are_joined(spark, monkeypatch):
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     train = df.where(~lm.held_out()).select("text")
-    counts = lm.word_counts(train)
-    full = {r.doc_id: r for r in lm.score(df, lm.fit(train.coalesce(1), counts), counts).collect()}
+    full = {r.doc_id: r for r in lm.score(df, *lm.fit(train)).collect()}
     monkeypatch.setattr(lm, "HEAD", 20)
-    few = {r.doc_id: r for r in lm.score(df, lm.fit(train.coalesce(1), counts), counts).collect()}
+    few = {r.doc_id: r for r in lm.score(df, *lm.fit(train)).collect()}
     want = expected(rows)
     for i in full:
         assert few[i].n_known == full[i].n_known == want[i][2]
@@ -95,8 +128,7 @@ def test_rare_words_are_joined(spark, monkeypatch):
 
 def test_odd_inputs(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    counts = lm.word_counts(none.select("text"))
-    model = lm.fit(none.select("text"), counts)
+    model, counts = lm.fit(none.select("text"))
     assert lm.score(none, model, counts).collect() == []
     odd = spark.createDataFrame([(1, None, 5.0, 2), (1, None, 5.0, 2), (None, "a b", 1.0, 3), (2, "x" * 500_000, 0.0, 0)], "doc_id long, text string, score double, rid long")
     got = sorted(lm.score(odd, model, counts).collect(), key=lambda r: r.n_tokens)
@@ -105,25 +137,35 @@ def test_odd_inputs(spark):
 
 
 def test_gradient_matches_differences():
-    """The estimate's gradient against finite differences, for one batch with fixed noise."""
+    """The estimate's gradient against finite differences, for one step with fixed noise."""
     unigram = np.full(lm.CLASSES, 1 / lm.CLASSES)
-    t = lm.Trainer(unigram, 1)
-    w, c1, c2 = (np.array(x) for x in ([3, 4, 3], [1, 2, 5], [0, 1, 2]))
-    before = t.p.flat().copy()
-    noise = np.minimum(np.searchsorted(t.draw, np.random.default_rng(1).random(lm.NOISE)), lm.CLASSES - 1)
-
-    def loss(x):
-        p = lm.Params.of(x)
-        ctx = p.context(c1, c2)
-        good = (ctx * p.q[w]).sum(1) + p.b[w] - t.noise_log[w]
-        bad = ctx @ p.q[noise].T + p.b[noise] - t.noise_log[noise]
-        return (-np.log1p(np.exp(-good)).sum() - np.log1p(np.exp(bad)).sum()) / len(w)
-
-    t.step(w, c1, c2)
+    start = lm.Params.start(unigram)
+    t = lm.Trainer(start, unigram, 1)
+    w, place = np.array([3, 70, 3, 200, 5]), np.array([0, 1, 2, 0, 1])
+    rng = np.random.default_rng(1)
+    groups = rng.choice(lm.GROUPS, lm.NOISE_GROUPS, p=np.full(lm.GROUPS, 1 / lm.GROUPS))
+    members = {g: g * lm.MEMBERS + rng.choice(lm.MEMBERS, lm.NOISE_MEMBERS, p=np.full(lm.MEMBERS, 1 / lm.MEMBERS)) for g in sorted({*(w // lm.MEMBERS).tolist()})}
+
+    def likelihood(x):
+        p, total = lm.Params.of(x), 0.0
+        ctx = p.context(w, place)[0].astype(np.float64)
+        say = lambda z, true: -np.log1p(np.exp(-z if true else z))
+        for i, c in enumerate(w):
+            g = c // lm.MEMBERS
+            shift = np.log(lm.NOISE_GROUPS / lm.GROUPS)
+            total += say(ctx[i] @ p.qg[g] + p.bg[g] - shift, True) + sum(say(ctx[i] @ p.qg[k] + p.bg[k] - shift, False) for k in groups)
+            shift = np.log(lm.NOISE_MEMBERS / lm.MEMBERS)
+            total += say(ctx[i] @ p.q[c] + p.b[c] - shift, True) + sum(say(ctx[i] @ p.q[k] + p.b[k] - shift, False) for k in members[g])
+        return total
+
+    before = start.flat().astype(np.float64)
+    t.step(w, place)
     moved = t.p.flat() - before
-    assert loss(t.p.flat()) > loss(before)
-    for k in np.flatnonzero(np.abs(moved) > 1e-6)[::37]:
+    assert likelihood(t.p.flat()) > likelihood(before)
+    found = np.flatnonzero(np.abs(moved) > 1e-4)
+    assert len(found) > 100
+    for k in found[::37]:
         e = np.zeros_like(before)
-        e[k] = 1e-6
-        slope = (loss(before + e) - loss(before - e)) / 2e-6
+        e[k] = 1e-2
+        slope = (likelihood(before + e) - likelihood(before - e)) / 2e-2
         assert slope * moved[k] > 0
