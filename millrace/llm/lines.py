@@ -30,7 +30,7 @@ MIN_DOCS, SHORT_DOCS = 5, 40
 #: Characters, without spaces and wildcards, under which a line is short, and under which it always stays.
 SHORT_CHARS, MIN_CHARS = 12, 3
 #: Characters of a piece of text; texts that must hold it so that it is shared (told apart by 64 marks).
-PIECE_CHARS, SHARED = 12, 3
+PIECE_CHARS, SHARED = 20, 3
 #: Share of a text's pieces, by characters, that must not be shared in a witness.
 OWN = 1 / 3
 
@@ -47,7 +47,7 @@ _PAIRS = list(combinations(range(1, PARTS + 1), 2))
 def _normal(body: Column) -> Column:
     """Lines as tokens with single spaces between; a token with a digit is ``<*>``. Whole texts at once, in linear time."""
     t = F.regexp_replace(body, f"(?<![^{_WS}\\n])[^0-9{_WS}\\n]*+[0-9][^{_WS}\\n]*+", "<*>")
-    return F.transform(F.split(F.regexp_replace(t, f"[{_WS}]+", " "), "\n"), lambda x: F.trim(x))
+    return F.transform(F.split(F.regexp_replace(t, f"[{_WS}]{{2,}}|[{_WS[1:]}]", " "), "\n"), lambda x: F.trim(x))
 
 
 def _digest(x: Column) -> Column:
@@ -61,14 +61,13 @@ def _few(df: DataFrame) -> DataFrame:
 
 def _lines(texts: DataFrame, depth: int) -> DataFrame:
     """(doc, key, leaf, short, parts, h1 to h4): the distinct lines of each text, with digests of line, path and parts."""
-    line = F.col("line")
-    n = F.length("line") - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    chars = F.length(F.replace(F.replace(line, F.lit("<*>"), F.lit("")), F.lit(" "), F.lit("")))
-    some = texts.select("doc", F.explode(F.array_distinct(_normal(F.col("body")))).alias("line")).select("doc", "line", n.alias("n"), chars.alias("chars")).where(F.col("chars") >= MIN_CHARS)
+    line, n = F.col("line"), F.size("tokens")
+    some = texts.select("doc", F.explode(F.array_distinct(_normal(F.col("body")))).alias("line")).where("line <> ''").select("doc", "line", F.split("line", " ").alias("tokens"))
+    some = some.select("doc", "line", "tokens", n.alias("n"), (F.length(F.replace(line, F.lit("<*>"), F.lit(""))) - n + 1).alias("chars")).where(F.col("chars") >= MIN_CHARS)
     parts = F.when(F.col("chars") < SHORT_CHARS, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(PARTS), F.col("n") - depth)))
-    some = some.select("doc", "line", "n", (F.col("chars") < SHORT_CHARS).alias("short"), parts.alias("parts"))
+    some = some.select("doc", "line", "tokens", "n", (F.col("chars") < SHORT_CHARS).alias("short"), parts.alias("parts"))
     begin = lambda k: F.floor((F.col("n") - depth) * k / F.col("parts")).cast("int")
-    part = lambda k: F.when(F.col("parts") >= k, F.xxhash64(F.slice(F.split("line", " "), begin(k - 1) + depth + 1, begin(k) - begin(k - 1)))).otherwise(0)
+    part = lambda k: F.when(F.col("parts") >= k, F.xxhash64(F.slice("tokens", begin(k - 1) + depth + 1, begin(k) - begin(k - 1)))).otherwise(0)
     leaf = F.xxhash64("n", F.substring_index("line", " ", depth))
     return some.select("doc", _digest(line).alias("key"), leaf.alias("leaf"), "short", "parts", *(part(k).alias(f"h{k}") for k in range(1, PARTS + 1)))
 
@@ -85,7 +84,7 @@ def _copies(texts: DataFrame, docs: DataFrame) -> DataFrame:
     for end in _ENDS:
         cut = F.replace(cut, F.lit(end), F.lit(end[0] + "\n"))
     found = texts.join(_few(docs), "doc", "left_semi").select("doc", F.explode(F.split(cut, _MARKS)).alias("p")).where(F.length("p") >= PIECE_CHARS)
-    pieces = materialize(found.select("doc", F.xxhash64("p").alias("piece"), F.length("p").alias("n")), "line-pieces")
+    pieces = materialize(found.select("doc", F.xxhash64("p").alias("piece"), F.length("p").alias("n")), "line-pieces", "none")
     mark = F.expr("shiftleft(1L, cast(conv(hex(substring(doc, 1, 1)), 16, 10) as int) % 64)")
     shared = pieces.groupBy("piece").agg(F.bit_or(mark).alias("marks")).where(F.bit_count("marks") >= SHARED).select("piece", F.lit(True).alias("shared"))
     # rows of equal texts weigh alike on both sides
@@ -116,7 +115,7 @@ def line_dedup(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, min_
     texts = src.where("body IS NOT NULL").select("doc", "body")
 
     # lines whose leaf has enough rows, once for each distinct text
-    rows = materialize(_lines(texts, depth), "line-rows")
+    rows = materialize(_lines(texts, depth), "line-rows", "none")
     often = materialize(rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_docs).select("leaf"), "line-often")
     once = materialize(rows.join(_few(often), "leaf", "left_semi").distinct(), "line-once")
     drop_table(rows)

@@ -55,7 +55,7 @@ def _words(seed: int, n: int) -> str:
     import random
 
     r = random.Random(seed)
-    return " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(n))
+    return " ".join("".join(r.choice("etaoinshrdlucmfw") for _ in range(r.randint(2, 9))) for _ in range(n))
 
 
 def _left(spark, rows: list[str]) -> list:
