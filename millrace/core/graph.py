@@ -23,6 +23,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    if _stars(e):  # as from buckets that share no member: settled without a round
+        return _named(e)
     for _ in range(max_rounds):
         # large star: every larger neighbour of u points at the smallest of u's neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -41,5 +43,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return _named(e)
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether every edge (u > v) joins a node of one edge with a centre that is no such node."""
+    twice = e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return twice.isEmpty() and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+
+
+def _named(e: DataFrame) -> DataFrame:
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import POLICY, paragraphs, strip
+from .text import has_policy, paragraphs, strip
+
+# What the modifiers look for.
+URLS = r"(?i)https?://\S+|www\.\S+"
+BOLD = r"(?d)\*\*(.*?)\*\*"
+ITALIC = r"(?d)\*(.*?)\*"
+UNDERLINE = r"(?d)_(.*?)_"
+LINK = r"(?d)\[.*?\]\((.*?)\)"
+NEWLINES = "\n{3,}"
+CARRIAGE_NEWLINES = "(\r\n){3,}"
 
 
 def remove_urls(t: Column) -> Column:
-    return F.regexp_replace(t, r"(?i)https?://\S+|www\.\S+", "")
+    return F.regexp_replace(t, URLS, "")
 
 
 def remove_lines(t: Column, patterns: list[str]) -> Column:
@@ -19,14 +28,14 @@ def remove_lines(t: Column, patterns: list[str]) -> Column:
 
 def remove_markdown(t: Column) -> Column:
     """Bold, italics, underscores and links lose their marks."""
-    for pattern, kept in ((r"(?d)\*\*(.*?)\*\*", "$1"), (r"(?d)\*(.*?)\*", "$1"), (r"(?d)_(.*?)_", "$1"), (r"(?d)\[.*?\]\((.*?)\)", "$1")):
-        t = F.regexp_replace(t, pattern, kept)
+    for pattern in (BOLD, ITALIC, UNDERLINE, LINK):
+        t = F.regexp_replace(t, pattern, "$1")
     return t
 
 
 def normalize_newlines(t: Column) -> Column:
-    t = F.regexp_replace(t, "\n{3,}", "\n\n")
-    return F.regexp_replace(t, "(\r\n){3,}", "\r\n\r\n")
+    t = F.regexp_replace(t, NEWLINES, "\n\n")
+    return F.regexp_replace(t, CARRIAGE_NEWLINES, "\r\n\r\n")
 
 
 def remove_quotation(t: Column) -> Column:
@@ -69,7 +78,7 @@ def remove_boilerplate(t: Column, at_ends: bool = True) -> Column:
     with ``at_ends=False`` any of them gives "".
     """
     p = paragraphs(t)
-    policy = lambda x: F.exists(F.array(*map(F.lit, POLICY)), lambda y: F.contains(F.lower(x), y))
+    policy = lambda x: has_policy(F.lower(x))
     at = F.filter(F.transform(p, lambda x, i: F.when(policy(x), i)), lambda i: i.isNotNull())
     together = F.array_max(at) - F.array_min(at) + 1 == F.size(at)
     touches = (F.array_min(at) == 0) | (F.array_max(at) == F.size(p) - 1)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,26 @@ def minhash_signatures(df: DataFrame, text_col: str = "text", num_hashes: int =
     empty signature.
     """
     prepare(df.sparkSession)
+    sign, at = _signer(num_hashes, char_ngrams, seed), df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            sig = [sign(t) for t in x.column(at).to_pylist()]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sig)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *sig])))
+            yield pa.RecordBatch.from_arrays([*x.columns, lists], names=[*x.schema.names, "signature"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("signature", T.ArrayType(T.LongType()))]))
+
+
+def _signer(num_hashes: int, char_ngrams: int, seed: int) -> Callable[[str | None], np.ndarray]:
+    """Signature of a text: minima of random linear hashes, in 32-bit numbers, of its distinct shingles."""
     prime = (1 << 31) - 1
     rng = np.random.RandomState(seed)
     a, b = rng.randint(1, prime, num_hashes).astype(np.uint64), rng.randint(0, prime, num_hashes).astype(np.uint64)
 
-    def signature(t: str | None) -> list[int]:
+    def signature(t: str | None) -> np.ndarray:
         if not t:
-            return []
+            return np.zeros(0, dtype=np.int64)
         code = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
         n = max(1, len(code) - char_ngrams + 1)
         h = np.zeros(n, dtype=np.uint64)
@@ -47,18 +61,16 @@ def minhash_signatures(df: DataFrame, text_col: str = "text", num_hashes: int =
             h = h * np.uint64(0x100000001B3) + code[k : k + n]
         h = np.unique((h ^ (h >> np.uint64(29))) % np.uint64(prime))
         out = np.full(num_hashes, prime, dtype=np.uint64)
-        for i in range(0, len(h), 4096):
-            out = np.minimum(out, ((h[i : i + 4096, None] * a + b) % np.uint64(prime)).min(axis=0))
-        return out.astype(np.int64).tolist()
-
-    at = df.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            sig = pa.array([signature(t) for t in x.column(at).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*x.columns, sig], names=[*x.schema.names, "signature"])
+        for i in range(0, len(h), 512):  # blocks that stay in the cache; modulo the prime by shifts
+            x = a[:, None] * h[None, i : i + 512]
+            x += b[:, None]
+            x = (x >> np.uint64(31)) + (x & np.uint64(prime))
+            x = (x >> np.uint64(31)) + (x & np.uint64(prime))
+            x[x == prime] = 0
+            np.minimum(out, x.min(axis=1), out=out)
+        return out.astype(np.int64)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("signature", T.ArrayType(T.LongType()))]))
+    return signature
 
 
 def lsh_buckets(signatures: DataFrame, id_col: str = "id", bands: int = 20, rows: int = 13) -> DataFrame:
@@ -67,6 +79,27 @@ def lsh_buckets(signatures: DataFrame, id_col: str = "id", bands: int = 20, rows
     return signatures.where(F.size("signature") >= bands * rows).select(F.col(id_col).alias("id"), F.explode(band).alias("b")).select("b.band", "b.bucket", "id")
 
 
+def text_buckets(df: DataFrame, text_col: str = "text", id_col: str = "id", num_hashes: int = 260, char_ngrams: int = 24, bands: int = 20, rows: int = 13, seed: int = 42) -> DataFrame:
+    """(band, bucket, id) straight from texts: signatures are made and cut into bands where the texts are; a bucket is a digest of 16 bytes."""
+    prepare(df.sparkSession)
+    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sign = _signer(num_hashes, char_ngrams, seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, names = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                s = sign(t)
+                if len(s) >= bands * rows:
+                    ids.append(i)
+                    names += [hashlib.md5(s[k * rows : (k + 1) * rows].tobytes()).digest() for k in range(bands)]
+            if ids:
+                who = pa.array(np.repeat(np.array(ids), bands))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(who), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(ids))), pa.array(names, pa.binary())], names=["id", "band", "bucket"])
+
+    return src.mapInArrow(run, T.StructType([src.schema["id"], T.StructField("band", T.IntegerType()), T.StructField("bucket", T.BinaryType())]))
+
+
 def bucket_edges(buckets: DataFrame) -> DataFrame:
     """Edges (src, dst) that connect each bucket: every member with the smallest. No bucket is gathered."""
     first = buckets.groupBy("band", "bucket").agg(F.min("id").alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "bucket", "src")
@@ -76,8 +109,7 @@ def bucket_edges(buckets: DataFrame) -> DataFrame:
 
 def fuzzy_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "id", num_hashes: int = 260, char_ngrams: int = 24, bands: int = 20, rows: int = 13, seed: int = 42) -> DataFrame:
     """(id, group) of all documents that share a bucket, directly or through others; candidates aren't verified."""
-    sig = minhash_signatures(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", num_hashes, char_ngrams, seed).select("id", "signature")
-    buckets = materialize(lsh_buckets(sig, "id", bands, rows), "lsh-buckets")
+    buckets = materialize(text_buckets(df, text_col, id_col, num_hashes, char_ngrams, bands, rows, seed), "lsh-buckets", "none")
     return connected_components(bucket_edges(buckets)).select(F.col("node").alias("id"), F.col("component").alias("group"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,49 +38,59 @@ def score_filter(df: DataFrame, rule: Rule | str, text_col: str = "text", score_
 _SPACE = re.compile("[" + SPACE.replace("\\p{IsWhite_Space}", r"\s\x85\xa0") + "]+")
 
 
-def _repeated(w: list[str], n: int) -> int:
-    """Characters in repeats of runs of n words, overlaps counted once."""
-    seen, chars, done = set(), 0, 0  # words before ``done`` are counted
-    for i in range(len(w) - n + 1):
-        gram = tuple(w[i : i + n])
-        if gram in seen:
-            fresh = w[max(i, done) : i + n]
-            chars += sum(map(len, fresh)) + len(fresh) - 1
-            done = i + n
-        seen.add(gram)
-    return chars
+class Grams:
+    """Runs of words of one text: words are hashed once, runs of any length come from that array."""
+
+    def __init__(self, text: str):
+        self.text, self.words = text, [x for x in _SPACE.split(text) if x]
+        self.hashes = np.fromiter(map(hash, self.words), dtype=np.int64, count=len(self.words)).view(np.uint64)
+        self.sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, self.words), dtype=np.int64, count=len(self.words)))])
+
+    def runs(self, n: int) -> np.ndarray:
+        count = max(0, len(self.words) - n + 1)
+        h = np.zeros(count, dtype=np.uint64)
+        for k in range(n):
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + self.hashes[k : k + count]
+        return h
+
+    def repeated(self, n: int) -> float:
+        """Share of characters in repeats of runs of n words, overlaps counted once; 1 for fewer words."""
+        if len(self.words) < n:
+            return 1.0
+        h = self.runs(n)
+        again = np.ones(len(h), dtype=bool)
+        again[np.unique(h, return_index=True)[1]] = False
+        at = np.flatnonzero(again)
+        fresh = np.minimum(n, np.diff(at, prepend=-n))  # words that no repeat before has counted
+        return float((self.sizes[at + n] - self.sizes[at + n - fresh] + fresh - 1).sum()) / len(self.text)
+
+    def top(self, n: int) -> float:
+        """Share of the characters that the most frequent run takes; ties: the smallest run; 1 for fewer words."""
+        if len(self.words) < n:
+            return 1.0
+        _, first, count = np.unique(self.runs(n), return_index=True, return_counts=True)
+        best = min((" ".join(self.words[i : i + n]) for i in first[count == count.max()].tolist()), key=lambda g: g.encode("utf-8", "surrogatepass"))
+        return (len(self.text) - len(self.text.replace(best, ""))) / len(self.text)
 
 
 def duplicate_ngram_share(n: int) -> Callable:
-    """Share of characters in repeats of word n-grams, overlaps counted once; fewer words than n give 1.
-
-    A scan from left to right that remembers what it has seen: the one score
-    that no expression states, so an Arrow-batched function does it.
-    """
+    """Share of characters in repeats of word n-grams, overlaps counted once; fewer words than n give 1, null null."""
     @F.pandas_udf("double")
     def share(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> float | None:
-            if t is None:
-                return None
-            w = [x for x in _SPACE.split(t) if x]
-            return _repeated(w, n) / len(t) if len(w) >= n else 1.0
-
-        return texts.map(one)
+        return texts.map(lambda t: Grams(t).repeated(n), na_action="ignore")
 
     return share
 
 
-def repeats_within(limits: dict[int, float]) -> Callable:
-    """Whether all those shares are within their limits: words are split once, and the first excess ends it."""
+def repeats_within(limits: dict[int, float], top: dict[int, float] | None = None) -> Callable:
+    """Whether all those shares, and those of the most frequent runs in ``top``, are within their limits; the first excess ends it."""
     @F.pandas_udf("boolean")
     def within(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> bool | None:
-            if t is None:
-                return None
-            w = [x for x in _SPACE.split(t) if x]
-            return all((_repeated(w, n) / len(t) if len(w) >= n else 1.0) <= most for n, most in limits.items())
+        def one(t: str) -> bool:
+            g = Grams(t)
+            return all(g.top(n) <= most for n, most in (top or {}).items()) and all(g.repeated(n) <= most for n, most in limits.items())
 
-        return texts.map(one)
+        return texts.map(one, na_action="ignore")
 
     return within
 
@@ -94,19 +105,19 @@ def cascade(df: DataFrame, rules: Iterable[str], text_col: str = "text") -> Data
 
 
 def english_cascade(df: DataFrame, text_col: str = "text", repeated: bool = True) -> DataFrame:
-    """The heuristic cascade for English text; what only Python says comes last."""
-    df = cascade(df, (*ENGLISH, "bullets"), text_col)
-    return _repeats(df, text_col) if repeated else df
+    """The heuristic cascade for English text; all runs of words, which only Python counts fast, come last and at once."""
+    return _cascade(df, ENGLISH, text_col, repeated)
 
 
 def other_cascade(df: DataFrame, text_col: str = "text", repeated: bool = True) -> DataFrame:
     """The heuristic cascade for other languages."""
-    df = cascade(df, (*OTHER, "bullets"), text_col)
-    return _repeats(df, text_col) if repeated else df
+    return _cascade(df, OTHER, text_col, repeated)
 
 
-def _repeats(df: DataFrame, text_col: str) -> DataFrame:
-    return df.where(repeats_within(REPEATED)(F.col(text_col)))
+def _cascade(df: DataFrame, rules: tuple[str, ...], text_col: str, repeated: bool) -> DataFrame:
+    top = {int(r[4]): RULES[r].most for r in rules if r.startswith("top_")}
+    df = cascade(df, [*(r for r in rules if not r.startswith("top_")), "bullets"], text_col)
+    return df.where(repeats_within(REPEATED if repeated else {}, top)(F.col(text_col)))
 
 
 def language_filter(df: DataFrame, score_col: str, label_col: str, language: str | None = None, least: float = 0.3) -> DataFrame:

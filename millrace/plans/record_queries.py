@@ -154,11 +154,12 @@ def score_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.keep_scores(read_table(spark, sf_dir, "events"), {"value": 10, "user_id": 5, "ts": None}).select("event_id")
 
 
-@query("char_error_rate", "SELECT doc_id, round(levenshtein(regexp_replace(text[1:60], '[^\\x00-\\x7F]', '?', 'g'), regexp_replace(lower(text[3:62]), '[^\\x00-\\x7F]', '?', 'g')) / length(text[1:60])::DOUBLE, 4) AS cer FROM documents WHERE length(text) > 0")
+@query("char_error_rate", "SELECT doc_id, round(levenshtein(regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g'), regexp_replace(lower(text[3:]), '[^\\x00-\\x7F]', '?', 'g')) / length(text)::DOUBLE, 4) AS cer FROM documents WHERE length(text) > 0")
 def char_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts against themselves from the third character on, in lower case."""
     df = read_table(spark, sf_dir, "documents").where(F.length("text") > 0)
     ascii_ = lambda c: F.regexp_replace(c, "[^\\x00-\\x7F]", "?")  # noqa: E731  SQL's distance is of bytes
-    return df.select("doc_id", edits.char_errors(ascii_(F.substring("text", 1, 60)), ascii_(F.lower(F.substring("text", 3, 60))))["rate"].alias("cer"))
+    return df.select("doc_id", edits.char_errors(ascii_(F.col("text")), ascii_(F.lower(F.substr("text", F.lit(3)))))["rate"].alias("cer"))
 
 
 @query("word_error_rate")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from millrace.functions.text import COMMON, ELLIPSES, POLICY
+from millrace.functions.text import URL as _URL
 
 _WS = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_URL = r"https?://(?:[a-zA-Z0-9$_@.&+/:=?#~!*(),-]|%[0-9a-fA-F]{2})+"
 
 
 def _q(s: str) -> str:
@@ -82,3 +82,17 @@ g AS (SELECT doc_id, array_to_string(w[i:i + {n - 1}], ' ') AS g FROM (SELECT do
 c AS (SELECT doc_id, g, count(*) AS k FROM g GROUP BY doc_id, g),
 b AS (SELECT doc_id, g FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, g) AS r FROM c) WHERE r = 1)
 SELECT doc_id, CASE WHEN len(w) < {n} THEN 1.0 ELSE (length(text) - length(replace(text, g, ''))) / length(text)::DOUBLE END AS score FROM d LEFT JOIN b USING (doc_id)"""
+
+
+def repeated_ngram(n: int) -> str:
+    """Query of the share of characters in n-grams that the document has had before, overlaps counted once."""
+    return f"""
+WITH d AS (SELECT doc_id, text, {W} AS w FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(list_transform(w, lambda s: length(s))) AS n FROM d),
+u AS (SELECT doc_id, j, sum(n) OVER (PARTITION BY doc_id ORDER BY j) AS upto FROM x UNION ALL SELECT doc_id, 0, 0 FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(w) - {n - 2})) AS i, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS gram FROM d WHERE len(w) >= {n}),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, gram ORDER BY i) AS r FROM g),
+f AS (SELECT doc_id, i, least({n}, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), i - {n})) AS k FROM r WHERE r > 1),
+c AS (SELECT f.doc_id, sum(b.upto - a.upto + k - 1)::DOUBLE AS chars FROM f JOIN u a ON a.doc_id = f.doc_id AND a.j = i + {n - 1} - k JOIN u b ON b.doc_id = f.doc_id AND b.j = i + {n - 1} GROUP BY f.doc_id)
+SELECT doc_id, CASE WHEN len(w) < {n} THEN 1.0 ELSE coalesce(chars, 0) / length(text) END AS score FROM d LEFT JOIN c USING (doc_id)
+UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL"""

@@ -45,18 +45,27 @@ def cascade_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.cascade(_docs(spark, sf_dir), _CASCADE).select("doc_id")
 
 
-@query("cascade_english_full")
+def _whole(rules: tuple[str, ...]) -> str:
+    """SQL of a whole cascade: its scores, and the shares of runs of words."""
+    cheap = [r for r in (*rules, "bullets") if r in sql.SCORES]
+    runs = {**{f"t{r[4]}": (sql.top_ngram(int(r[4])), text.RULES[r].most) for r in rules if r.startswith("top_")}, **{f"d{n}": (sql.repeated_ngram(n), most) for n, most in filters.REPEATED.items()}}
+    scored = ", ".join(f"{sql.SCORES[r]} AS {r}" for r in cheap)
+    tests = [*(_kept(text.RULES[r], r) for r in cheap), *(f"doc_id IN (SELECT doc_id FROM ({q}) WHERE score <= {most})" for q, most in runs.values())]
+    return f"SELECT doc_id FROM (SELECT doc_id, {scored} FROM documents) WHERE " + " AND ".join(tests)
+
+
+@query("cascade_english_full", _whole(text.ENGLISH))
 def cascade_english_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole English cascade, repeated n-grams included."""
     return filters.english_cascade(_docs(spark, sf_dir)).select("doc_id")
 
 
-@query("cascade_other_full")
+@query("cascade_other_full", _whole(text.OTHER))
 def cascade_other_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.other_cascade(_docs(spark, sf_dir)).select("doc_id")
 
 
-@query("filter_duplicate_5gram")
+@query("filter_duplicate_5gram", sql.repeated_ngram(5))
 def duplicate_5gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", filters.duplicate_ngram_share(5)(F.col("text")).alias("score"))
 

@@ -47,7 +47,7 @@ def write_interleaved(df: DataFrame, path: str, on_error: str = "error", mode: s
     write_documents(align(drop_failed(df, on_error)), path, mode=mode)
 
 
-def _place(final: str, fill) -> None:
+def place(final: str, fill) -> None:
     """Fill a file under a name of its own, then move it to its place."""
     os.makedirs(os.path.dirname(final), exist_ok=True)
     tmp = f"{final}.{uuid.uuid4().hex}.tmp"
@@ -83,7 +83,7 @@ def write_tars(df: DataFrame, folder: str, per_tar: int = 1000) -> DataFrame:
                         info.size = len(content)
                         tar.addfile(info, io.BytesIO(content))
 
-            _place(final, fill)
+            place(final, fill)
             return pa.RecordBatch.from_pydict({"tar": [final], "members": pa.array([len(held)], pa.int64())})
 
         for b in batches:
@@ -147,8 +147,8 @@ def write_tokens(df: DataFrame, factory: Factory, folder: str, vocabulary: int,
                     f.write(np.asarray(x, dtype=dtype).tobytes())
                     lengths.append(len(x))
 
-        _place(f"{prefix}.bin", fill)
-        _place(f"{prefix}.idx", lambda f: f.write(index_bytes(lengths, dtype)))
+        place(f"{prefix}.bin", fill)
+        place(f"{prefix}.idx", lambda f: f.write(index_bytes(lengths, dtype)))
         yield pa.RecordBatch.from_pydict({"prefix": [prefix], "documents": pa.array([len(lengths)], pa.int64()), "tokens": pa.array([sum(lengths)], pa.int64())})
 
     return ids.mapInArrow(run, "prefix string, documents long, tokens long")
@@ -172,17 +172,27 @@ def merge_token_files(folder: str, prefix: str) -> int:
     return len(lengths)
 
 
-def merge_lines(shards: str, target: str, delete: bool = True) -> int:
-    """Line files of a folder as one file; returns the number of lines."""
-    names, n = sorted(p for p in Path(shards).glob("*.json*") if p.is_file()), 0
-    with open(target, "wb") as out:
-        for p in names:
-            with p.open("rb") as f:
-                for line in f:
-                    out.write(line if line.endswith(b"\n") else line + b"\n")
-                    n += 1
-    for p in names if delete else []:
-        p.unlink()
+def merge_lines(spark: SparkSession, shards: str, target: str, delete: bool = True) -> int:
+    """Line files of a folder as one file, in order of name and line; returns the number of lines.
+
+    Lines are read by Spark, sorted by where they stand and written by one task,
+    which spills if it must; folder and target are on any file system it knows.
+    """
+    meta = F.col("_metadata")
+    reader = prepare(spark).read.option("pathGlobFilter", "*.json*")
+    rows = reader.text(shards).select("value", meta["file_name"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"))
+    n, folder = rows.count(), f"{target}.{uuid.uuid4().hex}.tmp"
+    rows.coalesce(1).sortWithinPartitions("file", "block", "at").select("value").write.text(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in fs.globStatus(path(f"{folder}/part-*")))
+    fs.delete(path(target), False)
+    if not fs.rename(part, path(target)):
+        raise OSError(f"can't move {part} to {target}")
+    fs.delete(path(folder), True)
+    for s in fs.globStatus(path(f"{shards}/*.json*")) if delete else []:
+        if s.isFile():
+            fs.delete(s.getPath(), False)
     return n
 
 

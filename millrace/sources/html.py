@@ -193,7 +193,7 @@ def decode(raw: bytes | str | None) -> str | None:
     try:
         return raw.decode("utf-8")
     except UnicodeDecodeError:
-        m = re.search(rb"charset=[\"']?([A-Za-z0-9_-]+)", raw[:4096])
+        m = re.search(rb"charset=[\"']?([A-Za-z0-9_-]+)", raw)
         try:
             return raw.decode(m[1].decode() if m else "cp1252", "replace")
         except LookupError:

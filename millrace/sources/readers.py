@@ -113,22 +113,3 @@ def read_lance(spark: SparkSession, path: str, fields: list[str] | None = None,
     chosen = fragments if fragments is not None else ids
     return spark.createDataFrame([(i,) for i in chosen], "i int").repartition(max(1, len(chosen))).mapInArrow(run, out)
 
-
-def snapshot_urls(start: str, end: str, kind: str = "main") -> list[str]:
-    """Index addresses of crawl snapshots by ISO week ("2024-10"), or of news by month ("2024-03")."""
-    from datetime import date, timedelta
-
-    if kind == "news":
-        (y, m), last = (tuple(map(int, s.split("-"))) for s in (start, end))
-        out = []
-        while (y, m) <= last:
-            out.append(f"https://data.commoncrawl.org/crawl-data/CC-NEWS/{y}/{m:02d}/warc.paths.gz")
-            y, m = (y + 1, 1) if m == 12 else (y, m + 1)
-        return out
-    monday = lambda s: date.fromisocalendar(*map(int, s.split("-")), 1)
-    d, out = monday(start), []
-    while d <= monday(end):
-        y, w, _ = d.isocalendar()
-        out.append(f"https://data.commoncrawl.org/crawl-data/CC-MAIN-{y}-{w:02d}/warc.paths.gz")
-        d += timedelta(weeks=1)
-    return out
