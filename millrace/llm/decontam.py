@@ -9,6 +9,7 @@ scanned once; matches are mapped back to the original.
 from __future__ import annotations
 
 import re
+from itertools import repeat
 from typing import NamedTuple
 
 import ahocorasick
@@ -101,8 +102,7 @@ def scan(text: str, patterns: Patterns | None) -> tuple[int, list[tuple[int, int
     words = normal_words(text)
     if patterns is None or not words:
         return len(words), [], []
-    get = patterns.letters.get
-    found = list(patterns.auto.iter("".join([get(w, _OTHER) for w in words])))
+    found = list(patterns.auto.iter("".join(map(patterns.letters.get, words, repeat(_OTHER)))))
     who = {x for _, (_, owners) in found for x in owners}
     runs = _union([(end - n + 1, end + 1) for end, (n, _) in found])
     return len(words), runs, [patterns.names[i] for i in sorted(who)]

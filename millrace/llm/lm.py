@@ -2,7 +2,7 @@
 
 Frequent words are classes of their own; the others share classes by their last
 letters, and within such a class a word has its add-one share, one unseen word
-included. The model predicts a class from the four before it: the context vector
+included. The model predicts a class from the three before it: the context vector
 is the sum of the context classes' vectors, scaled by position. It predicts in
 two levels, a group of classes and then the class in its group, each scored by
 inner product with the context vector plus a bias. Normalisers come from batched
@@ -38,11 +38,11 @@ CLASSES = OWN + SHARED
 #: Groups of classes, and classes in each.
 GROUPS = 64
 MEMBERS = CLASSES // GROUPS
-DIM, CONTEXT, RATE = 24, 4, 0.1
+DIM, CONTEXT, RATE = 16, 3, 0.1
 #: Noise drawn for a step: groups, and members of each group.
-NOISE_GROUPS, NOISE_MEMBERS = 16, 12
+NOISE_GROUPS, NOISE_MEMBERS = 8, 8
 #: Tokens of a step: at most, and such that a pass over a small corpus has about so many steps.
-BATCH, STEPS = 16_384, 256
+BATCH, STEPS = 32_768, 256
 #: Passes over all texts.
 PASSES = 2
 #: Tokens of a shard, and most shards (beyond, shards grow with the corpus).
@@ -80,6 +80,9 @@ class Lookup:
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
+    """Logarithms of the rows' sums of exponentials; ``x`` is used up. Only rows with large scores need a shift."""
+    if x.max() < 60:
+        return np.log(np.exp(x, out=x) @ np.ones(x.shape[1], dtype=x.dtype))
     top = x.max(axis=1)
     return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
 
@@ -135,9 +138,9 @@ class Params:
         e = self.r[w]
         ctx, shifted = np.zeros_like(e), []
         for k in range(1, CONTEXT + 1):
-            back = np.zeros_like(e)
-            back[k:] = e[:-k]
-            back[place < k] = 0
+            back = np.empty_like(e)
+            back[:k], back[k:] = 0, e[:-k]
+            back[np.flatnonzero(place < k)] = 0
             shifted.append(back)
             ctx += back * self.scale[k - 1]
         return ctx, shifted
@@ -147,10 +150,12 @@ class Params:
         ctx, _ = self.context(w, place)
         group = w // MEMBERS
         level = ctx @ self.qg.T + self.bg
-        out = (level[np.arange(len(w)), group] - _log_sum(level)).astype(np.float64)
+        out = level[np.arange(len(w)), group].astype(np.float64)
+        out -= _log_sum(level)
         for g, ix in _of_groups(group):
             level = ctx[ix] @ self.q[g * MEMBERS : (g + 1) * MEMBERS].T + self.b[g * MEMBERS : (g + 1) * MEMBERS]
-            out[ix] += level[np.arange(len(ix)), w[ix] % MEMBERS] - _log_sum(level)
+            mine = level[np.arange(len(ix)), w[ix] % MEMBERS]
+            out[ix] += mine - _log_sum(level)
         return out
 
 
@@ -173,9 +178,18 @@ class Trainer:
 
     def __init__(self, start: Params, unigram: np.ndarray, seed: int):
         self.p, self.rng, self.tokens = Params(*(getattr(start, k).copy() for k in _SHAPES)), np.random.default_rng(seed), 0
-        self.groups = unigram.reshape(GROUPS, MEMBERS).sum(axis=1)
-        self.members = unigram.reshape(GROUPS, MEMBERS) / self.groups[:, None]
+        groups = unigram.reshape(GROUPS, MEMBERS).sum(axis=1)
+        members = unigram.reshape(GROUPS, MEMBERS) / groups[:, None]
+        self.group_noise, self.member_noise = np.log(groups * NOISE_GROUPS).astype(np.float32), np.log(members * NOISE_MEMBERS).astype(np.float32)
+        self.groups, self.members = np.cumsum(groups), np.cumsum(members, axis=1)
         self.seen = {k: np.full(s, _SEEN[k], dtype=np.float32) for k, s in _SHAPES.items()}
+        self.one = np.eye(MEMBERS, dtype=np.float32)
+
+    def noise(self) -> tuple[np.ndarray, np.ndarray]:
+        """Groups, and members of each group, drawn by their frequency."""
+        drawn = np.searchsorted(self.groups, self.rng.random(NOISE_GROUPS), side="right")
+        inside = (self.members[:, None, :] <= self.rng.random((GROUPS, NOISE_MEMBERS))[:, :, None]).sum(axis=2)
+        return np.minimum(drawn, GROUPS - 1), np.minimum(inside, MEMBERS - 1)
 
     def _move(self, name: str, rows: np.ndarray | slice, grad: np.ndarray) -> None:
         s = self.seen[name]
@@ -193,38 +207,37 @@ class Trainer:
         self.tokens += len(w)
         ctx, shifted = p.context(w, place)
         group = w // MEMBERS
-        d_ctx, d_qg, d_bg = np.zeros_like(ctx), np.zeros_like(p.qg), np.zeros_like(p.bg)
-        # which group
-        noise = self.rng.choice(GROUPS, NOISE_GROUPS, p=self.groups)
-        log_noise = np.log(self.groups * NOISE_GROUPS).astype(np.float32)
-        good = self._pull((ctx * p.qg[group]).sum(1) + p.bg[group], log_noise[group], True)
-        bad = self._pull(ctx @ p.qg[noise].T + p.bg[noise], log_noise[noise], False)
-        d_ctx += good[:, None] * p.qg[group] + bad @ p.qg[noise]
-        np.add.at(d_qg, noise, bad.T @ ctx)
+        d_ctx, d_qg, d_bg, d_q, d_b = np.empty_like(ctx), np.zeros_like(p.qg), np.zeros_like(p.bg), np.zeros_like(p.q), np.zeros_like(p.b)
+        noise, drawn = self.noise()
+        # tokens by group: which group, and which member of it
+        order = np.argsort(group.astype(np.int16), kind="stable")
+        sorted_w, c = w[order], ctx[order]
+        edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        bad = self._pull(c @ p.qg[noise].T + p.bg[noise], self.group_noise[noise], False)
+        d_c = bad @ p.qg[noise]
+        np.add.at(d_qg, noise, bad.T @ c)
         np.add.at(d_bg, noise, bad.sum(0))
-        # which member of it
-        moves = []
-        for g, ix in _of_groups(group):
-            c, at = ctx[ix], w[ix]
-            d_qg[g] += good[ix] @ c
-            d_bg[g] += good[ix].sum()
-            share = self.members[g]
-            drawn = self.rng.choice(MEMBERS, NOISE_MEMBERS, p=share)
-            log_share = np.log(share * NOISE_MEMBERS).astype(np.float32)
-            other = drawn + g * MEMBERS
-            yes = self._pull((c * p.q[at]).sum(1) + p.b[at], log_share[at - g * MEMBERS], True)
-            no = self._pull(c @ p.q[other].T + p.b[other], log_share[drawn], False)
-            d_ctx[ix] += yes[:, None] * p.q[at] + no @ p.q[other]
-            moves.append((np.concatenate([at, other]), np.concatenate([yes[:, None] * np.concatenate([c, np.ones((len(ix), 1), np.float32)], axis=1), np.concatenate([no.T @ c, no.sum(0)[:, None]], axis=1)])))
-        rows, grads = _by_row(np.concatenate([m[0] for m in moves]), np.concatenate([m[1] for m in moves]))
+        for g in np.flatnonzero(np.diff(edges)).tolist():
+            at, mine = slice(edges[g], edges[g + 1]), slice(g * MEMBERS, (g + 1) * MEMBERS)
+            x, member, row = c[at], sorted_w[at] - g * MEMBERS, np.arange(edges[g + 1] - edges[g])
+            good = self._pull(x @ p.qg[g] + p.bg[g], self.group_noise[g], True)
+            d_qg[g] += good @ x
+            d_bg[g] += good.sum()
+            level, log_noise = x @ p.q[mine].T + p.b[mine], self.member_noise[g]
+            pull = self._pull(level[:, drawn[g]], log_noise[drawn[g]], False) @ self.one[drawn[g]]
+            pull[row, member] += self._pull(level[row, member], log_noise[member], True)
+            d_q[mine], d_b[mine] = pull.T @ x, pull.sum(0)
+            d_c[at] += good[:, None] * p.qg[g] + pull @ p.q[mine]
+        d_ctx[order] = d_c
         # back to the context words
         d_e = np.zeros_like(ctx)
         for k, back in enumerate(shifted, 1):
-            pulled = np.where((place >= k)[:, None], d_ctx * p.scale[k - 1], 0)
+            pulled = d_ctx * p.scale[k - 1]
+            pulled[np.flatnonzero(place < k)] = 0
             d_e[:-k] += pulled[k:]
-        d_scale = np.stack([(d_ctx * back).sum(0) for back in shifted])
+        d_scale = np.stack([np.einsum("ij,ij->j", d_ctx, back) for back in shifted])
         seen, d_r = _by_row(w, d_e)
-        for name, at, grad in (("r", seen, d_r), ("scale", slice(None), d_scale), ("qg", slice(None), d_qg), ("bg", slice(None), d_bg), ("q", rows, grads[:, :-1]), ("b", rows, grads[:, -1])):
+        for name, at, grad in (("r", seen, d_r), ("scale", slice(None), d_scale), ("qg", slice(None), d_qg), ("bg", slice(None), d_bg), ("q", slice(None), d_q), ("b", slice(None), d_b)):
             self._move(name, at, grad)
 
 

@@ -8,7 +8,8 @@
 3. Short lists give all their pairs. A long list gives each member's pair with
    one hub, the member whose values are listed most; members that end up in the
    hub's component need no more, and the others are compared in blocks with all
-   members of the lists that have this hub.
+   members of the lists that have this hub: by their sketches first, and those
+   with a possible partner on their full sets.
 4. The union sketch of a pair estimates its similarity and drops pairs below
    ``cut`` of k; the rest are verified on their full sets.
 5. Connected components of verified links.
@@ -40,8 +41,10 @@ K = 40
 MISS = 1e-9
 #: Members up to which a list gives all its pairs.
 LIST = 16
-#: Members, and characters of their texts, in a block of a hub's members.
-BLOCK, BLOCK_CHARS = 512, 2_000_000
+#: Members, and shingles of them, in a block of a hub's members.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
+#: Pairs of one node that meet its sketch or text in one place; the pairs of a node with more are salted.
+NODE_PAIRS = 1000
 #: Rows (an id and two keys, under 64 bytes each) up to which the classes whose text is asked for are broadcast.
 BROADCAST_ROWS = 1 << 19
 WIDTH, NUM, DEN = 5, 80, 100
@@ -137,10 +140,21 @@ def _values(classes: DataFrame) -> DataFrame:
     return classes.select("node", "n", "sketch").mapInArrow(run, "v long, node long, n long")
 
 
+def _joined(pairs: DataFrame, side: DataFrame, x: str, what: str) -> DataFrame:
+    """Pairs with what ``side`` (node, ``what``) holds of node ``x``; a node of many pairs is copied to several places, in proportion."""
+    many = pairs.groupBy(x).agg(F.ceil(F.count(F.lit(1)) / NODE_PAIRS).alias("salts")).where("salts > 1")
+    many = materialize(many, "near-many")
+    side = side.select(F.col("node").alias(x), F.col(what).alias(f"{what}_{x}"))
+    if many.isEmpty():
+        return pairs.join(side, x)
+    salted = pairs.join(many, x, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    copied = side.join(many, x, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return salted.join(copied, [x, "salt"]).drop("salt")
+
+
 def _filter_pairs(pairs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
     """Pairs (a, b) whose union sketch allows a link."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
+    both = _joined(_joined(pairs, classes, "a", "sketch"), classes, "b", "sketch").select("a", "b", "sketch_a", "sketch_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,12 +167,11 @@ def _filter_pairs(pairs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
 
 def _verify(pairs: DataFrame, bodies: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Pairs whose full sets have den * intersection >= num * union."""
-    side = lambda x: bodies.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
+    both = _joined(_joined(pairs, bodies, "a", "text"), bodies, "b", "text").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sa, sb = (shingle_sets(texts(b, c), width) for c in ("ta", "tb"))
+            sa, sb = (shingle_sets(texts(b, c), width) for c in ("text_a", "text_b"))
             keep = []
             for x, y in zip(sa, sb):
                 shared = len(x) + len(y) - len(np.union1d(x, y))
@@ -168,46 +181,73 @@ def _verify(pairs: DataFrame, bodies: DataFrame, width: int, num: int, den: int)
     return both.mapInArrow(run, "a long, b long")
 
 
-def _block_links(members: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of two lists of sets, by matrix products over their common values."""
+    all_l, all_r = np.concatenate(left), np.concatenate(right)
+    common, shared = np.intersect1d(all_l, all_r), np.zeros((len(left), len(right)), dtype=np.float32)
+    for k in range(0, len(common), 4096):
+        part = common[k : k + 4096]
+        hot = []
+        for sets, flat in ((left, all_l), (right, all_r)):
+            at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            hit = part[at] == flat
+            one = np.zeros((len(sets), len(part)), dtype=np.float32)
+            one[np.repeat(np.arange(len(sets)), [len(x) for x in sets])[hit], at[hit]] = 1
+            hot.append(one)
+        shared += hot[0] @ hot[1].T
+    return shared
+
+
+def _block_links(members: DataFrame, bodies: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links between a hub's unsettled members and all its members, block by block.
 
-    ``members`` has (hub, node, n, comp, rest, text); ``rest`` marks the
+    ``members`` has (hub, node, n, comp, rest, sketch); ``rest`` marks the
     unsettled. Blocks hold sets of like size, and only blocks whose sizes allow
-    a link meet, each pair of blocks in its own row. Intersections of all pairs
-    of two blocks come from one matrix product over their shared shingles, so
-    every pair is verified on its full sets. Out come only the links that join
-    components which earlier links of the same row haven't joined.
+    a link meet, each pair of blocks in its own row. They meet as sketches;
+    members without a possible partner in the other block go no further, so
+    members that are like none cost no text. What is left meets with its texts,
+    intersections of all pairs of two blocks come from one matrix product over
+    their shared shingles, and every pair is verified on its full sets. Out come
+    only the links that join components which earlier links of the same row
+    haven't joined.
     """
     size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))).alias("size")
-    m = members.select("hub", "node", "n", "comp", "rest", "text", size)
-    total = lambda df, c: df.groupBy("hub", "size").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.length("text")) / BLOCK_CHARS)).alias(c))
+    m = members.select("hub", "node", "n", "comp", "rest", "sketch", size)
+    total = lambda df, c: df.groupBy("hub", "size").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias(c))
+    part_of = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).alias("part")
     pack = lambda df, c, x: (
-        df.join(total(df, c), ["hub", "size"]).groupBy("hub", "size", F.pmod(F.xxhash64("node"), F.col(c)).alias("part"))
-        .agg(F.collect_list(F.struct("node", "comp", "text")).alias(x))
+        df.join(total(df, c), ["hub", "size"]).select("hub", "size", part_of(c), "node", "comp", "sketch")
+        .repartition("hub", "size", "part").groupBy("hub", "size", "part").agg(F.collect_list(F.struct("node", "comp", "sketch")).alias(x))
     )
     right = materialize(pack(m, "parts", "right"), "near-right")
     parts = right.groupBy(F.col("hub"), F.col("size").alias("meets")).agg(F.max("part").alias("last"))
     left = pack(m.where("rest"), "p", "left").drop("part").withColumn("meets", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).drop("size")
     left = left.join(parts, ["hub", "meets"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("last").cast("int")))).drop("last")
-    met = left.withColumn("part", F.col("part").cast("long")).join(right.withColumnRenamed("size", "meets").withColumn("part", F.col("part").cast("long")), ["hub", "meets", "part"]).select("left", "right")
+    met = left.withColumn("part", F.col("part").cast("long")).join(right.withColumnRenamed("size", "meets").withColumn("part", F.col("part").cast("long")), ["hub", "meets", "part"]).select("left", "right", "hub")
+    t = num / den
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sides = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                sl, sr = ([np.frombuffer(x["sketch"], dtype=np.uint64) for x in side] for side in sides)
+                shared = _shared(sl, sr)
+                union = np.array([len(x) for x in sl])[:, None] + np.array([len(x) for x in sr])[None, :] - shared
+                cl, cr = (np.array([x["comp"] for x in side]) for side in sides)
+                may = np.where(union >= K, shared >= cut_for(t), shared >= t * union - 1e-9) & (cl[:, None] != cr[None, :])
+                rows = [(batch.column(2)[i].as_py(), sides[0][0]["node"], sides[1][0]["node"], k == 1, x["node"], x["comp"]) for k, side in enumerate(sides) for x, some in zip(side, may.any(axis=1 - k)) if some]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()))], names=["hub", "k1", "k2", "right", "node", "comp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                left, right = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                both = batch.column(0)[i].as_py()
+                left, right = ([x for x in both if x["right"] == side] for side in (False, True))
+                if not left or not right:
+                    continue
                 sl, sr = (shingle_sets([x["text"] or "" for x in side], width) for side in (left, right))
-                all_l, all_r = np.concatenate(sl), np.concatenate(sr)
-                common, shared = np.intersect1d(all_l, all_r), np.zeros((len(sl), len(sr)), dtype=np.float32)
-                for k in range(0, len(common), 4096):
-                    part = common[k : k + 4096]
-                    hot = []
-                    for s, flat in ((sl, all_l), (sr, all_r)):
-                        at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
-                        hit = part[at] == flat
-                        one = np.zeros((len(s), len(part)), dtype=np.float32)
-                        one[np.repeat(np.arange(len(s)), [len(x) for x in s])[hit], at[hit]] = 1
-                        hot.append(one)
-                    shared += hot[0] @ hot[1].T
+                shared = _shared(sl, sr)
                 union = np.array([len(x) for x in sl])[:, None] + np.array([len(x) for x in sr])[None, :] - shared
                 cl, cr = (np.array([x["comp"] for x in side]) for side in (left, right))
                 above: dict[int, int] = {}
@@ -226,7 +266,9 @@ def _block_links(members: DataFrame, width: int, num: int, den: int) -> DataFram
                         b.append(right[q]["node"])
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long")
+    asked = materialize(met.mapInArrow(sketched, "hub long, k1 long, k2 long, right boolean, node long, comp long").distinct(), "near-asked")
+    blocks_ = asked.join(bodies, "node").groupBy("hub", "k1", "k2").agg(F.collect_list(F.struct("right", "node", "comp", "text")).alias("x"))  # two blocks at most
+    return blocks_.select("x").mapInArrow(run, "a long, b long")
 
 
 def _key_of(text: Column) -> Column:
@@ -286,8 +328,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = materialize(placed.join(hub_of, "hub").withColumn("rest", F.col("comp") != F.col("hub_comp")).drop("hub_comp"), "near-placed")
     unsettled = materialize(placed.where("rest").select("hub").distinct(), "near-unsettled")
     if not unsettled.isEmpty():
-        members = materialize(placed.join(unsettled, "hub"), "near-members")
-        more = materialize(_block_links(members.join(bodies, "node"), width, num, den), "near-links")
+        members = materialize(placed.join(unsettled, "hub").join(classes.select("node", "sketch"), "node"), "near-members")
+        more = materialize(_block_links(members, bodies, width, num, den), "near-links")
         comps = materialize(connected_components(links.unionByName(more), "a", "b"), "near-comps")
 
     named = classes.join(comps, "node", "left").select("key", "least", F.coalesce("component", "node").alias("comp"))

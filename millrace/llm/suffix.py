@@ -257,3 +257,18 @@ def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
     return out.select("doc_id", n.alias("n_bytes"), gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: DuckDB SQL of the query: all windows of all texts by their digest, runs of repeated ones, what lies between them.
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT rid, unnest(range(1, n - {LENGTH - 2})) AS i, unnest(list_transform(range(1, n - {LENGTH - 2}), lambda i: md5(b[i:i + {LENGTH - 1}]))) AS h FROM d WHERE n >= {LENGTH}),
+r AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1),
+p AS (SELECT rid, i, i - lag(i) OVER (PARTITION BY rid ORDER BY i) AS gap FROM s WHERE h IN (SELECT h FROM r)),
+q AS (SELECT rid, i, sum(CASE WHEN gap <= {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS k FROM p),
+spans AS (SELECT rid, k, min(i) AS a, max(i) + {LENGTH - 1} AS z FROM q GROUP BY rid, k),
+lists AS (SELECT rid, [0] || list(z ORDER BY a) AS zs, list(a ORDER BY a) AS al, sum(z - a + 1)::BIGINT AS gone FROM spans GROUP BY rid),
+cuts AS (SELECT d.*, gone, al, zs, al || [n + 1] AS ends FROM d LEFT JOIN lists USING (rid))
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(len(al), 0) AS n_spans,
+  sha256(CASE WHEN al IS NULL THEN b ELSE unhex(array_to_string(list_transform(range(1, len(ends) + 1), lambda j: CASE WHEN ends[j] - 1 > zs[j] THEN hex(b[zs[j] + 1:ends[j] - 1]) ELSE '' END), '')) END) AS kept_sha256
+FROM cuts"""

@@ -78,7 +78,7 @@ def _brute_force(text, model, count):
 
 
 def test_scores_against_brute_force(spark):
-    texts = [" ".join(f"w{(i * 120 + j * (1 + j % 2)) % 4900}" for j in range(120)) for i in range(60)]
+    texts = [" ".join(f"w{(i * 120 + j) % 4900}" for j in range(120)) for i in range(60)]
     model, counts = _fitted(spark, texts)
     count = {int(np.int64(r.h).view(np.uint64)): r.c for r in counts.collect()}
     assert len(count) > lm.OWN  # some words share classes
@@ -93,7 +93,7 @@ def test_normalised(spark):
     texts = [" ".join(f"w{(i * 7 + j * j) % 4900}" for j in range(200)) for i in range(40)]
     model, counts = _fitted(spark, texts)
     every = np.arange(lm.CLASSES)
-    for before in ([], [3], [5, 7, 9, 11]):
+    for before in ([], [3], [5, 7, 9]):
         logs = [model.params.log_probs(np.array([*before, c]), np.arange(len(before) + 1))[-1] for c in every]
         assert np.exp(logs).sum() == pytest.approx(1, rel=1e-4)
     own, shares = {int(h) for h in model.own.view(np.int64)}, 1 / model.class_sums
@@ -142,9 +142,8 @@ def test_gradient_matches_differences():
     start = lm.Params.start(unigram)
     t = lm.Trainer(start, unigram, 1)
     w, place = np.array([3, 70, 3, 200, 5]), np.array([0, 1, 2, 0, 1])
-    rng = np.random.default_rng(1)
-    groups = rng.choice(lm.GROUPS, lm.NOISE_GROUPS, p=np.full(lm.GROUPS, 1 / lm.GROUPS))
-    members = {g: g * lm.MEMBERS + rng.choice(lm.MEMBERS, lm.NOISE_MEMBERS, p=np.full(lm.MEMBERS, 1 / lm.MEMBERS)) for g in sorted({*(w // lm.MEMBERS).tolist()})}
+    groups, drawn = lm.Trainer(start, unigram, 1).noise()
+    members = {g: g * lm.MEMBERS + drawn[g] for g in {*(w // lm.MEMBERS).tolist()}}
 
     def likelihood(x):
         p, total = lm.Params.of(x), 0.0

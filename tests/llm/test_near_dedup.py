@@ -70,6 +70,16 @@ def test_long_lists_go_by_hubs_and_blocks(spark, monkeypatch):
     assert result(minhash.near_duplicates(df, num=85)) == brute_force(rows)
 
 
+def test_a_hub_of_dissimilar_members(spark, monkeypatch):
+    """Members of one long list that are like none: their sketches settle it and no text is dealt to blocks."""
+    monkeypatch.setattr(minhash, "NODE_PAIRS", 100)
+    rng = random.Random(9)
+    base = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join([*(f"o{rng.randrange(10**9)}" for _ in range(rng.randrange(0, 60) if i % 10 else 4)), *base])) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(minhash.near_duplicates(df, num=85)) == brute_force(rows)
+
+
 def test_groups_of_copies(spark):
     texts = corpus(5, 80, 1, 1, 0) * 300 + corpus(6, 80, 1, 40, 1)
     rows = list(enumerate(texts))
