@@ -6,7 +6,7 @@ those they have, in the same way in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.core.graph import connected_components
@@ -109,6 +109,35 @@ def words_to_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.module_segments(out, min_duration=2.0, max_duration=15.0).select("conv_id", F.size("aligned").alias("n_aligned"), F.size("prepared").alias("n_prepared"))
 
 
+@query("even_windows", "SELECT conv_id, greatest(count(*) - 2, 0)::INT AS n_windows, least(count(*), 2)::INT AS lost_window FROM conversations GROUP BY conv_id")
+def even_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of ten seconds by two speakers in turn: each but the last two begins a window of thirty."""
+    at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    s = read_table(spark, sf_dir, "conversations").select("conv_id", at.alias("k"))
+    seg = F.struct((F.col("k") * 10.0).alias("start"), (F.col("k") * 10.0 + 10).alias("end"), F.concat(F.lit("s"), (F.col("k") % 2).cast("string")).alias("speaker"), F.lit("t").alias("text"), F.lit(16000).alias("bandwidth"), F.expr("cast(array() as array<struct<word:string,start:double,end:double>>)").alias("words"))
+    df = s.groupBy("conv_id").agg(F.array_sort(F.collect_list(seg), lambda x, y: F.when(x["start"] < y["start"], -1).otherwise(1)).alias("segments")).withColumn("audio_sample_rate", F.lit(16000))
+    return audio.training_windows(df, duration=30.0, tolerance=0.0).select("conv_id", F.size("windows").alias("n_windows"), "lost_window")
+
+
+@query("aligned_words", "SELECT conv_id, string_agg('w' || turn || ' x' || turn, '|' ORDER BY turn) AS texts FROM conversations GROUP BY conv_id")
+def aligned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two words in each of the segments of a conversation, given in one list."""
+    t = F.col("turn").cast("string")
+    word = lambda w, a: F.struct(F.concat(F.lit(w), t).alias("word"), (F.col("turn") * 10 + a).cast("double").alias("start"), (F.col("turn") * 10 + a + 2).cast("double").alias("end"))
+    seg = F.struct((F.col("turn") * 10).cast("double").alias("start"), (F.col("turn") * 10 + 8).cast("double").alias("end"), F.lit("s").alias("speaker"))
+    df = read_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(seg).alias("segments"), F.flatten(F.collect_list(F.array(word("w", 1), word("x", 5)))).alias("alignment"))
+    out = segments.words_to_segments(df)
+    return out.select("conv_id", F.array_join(F.transform(F.array_sort("aligned", lambda x, y: F.when(x["start"] < y["start"], -1).otherwise(1)), lambda x: x["text"]), "|").alias("texts"))
+
+
+@query("counted_tokens", "SELECT doc_id, len(string_split(text, ' '))::INT AS token_count, least(len(string_split(text, ' ')), 20)::INT AS kept FROM documents WHERE len(string_split(text, ' ')) BETWEEN 10 AND 5000")
+def counted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts by a stand-in tokenizer that splits at spaces, and token lists cut at twenty."""
+    split = lambda: lambda batch: [[len(w) for w in t.split(" ")] for t in batch]
+    df = models.token_count_filter(read_table(spark, sf_dir, "documents").select("doc_id", "text"), split, 10, 5000)
+    return models.tokenize(df, split, max_tokens=20).select("doc_id", "token_count", F.size("attention_mask").alias("kept"))
+
+
 _HALL = ["Thank you for watching", "so", "yes"]
 
 
@@ -190,7 +219,15 @@ def frame_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("p_partkey", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"))
 
 
-@query("scenes")
+@query("scenes", """
+WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations),
+f AS (SELECT conv_id, k * 10 + i AS idx, ((i + turn) % 7 = 3)::INT AS cut FROM r, (SELECT unnest(range(10)) AS i)),
+n AS (SELECT conv_id, count(*) AS n, sum(cut) FILTER (WHERE idx > 0) AS cuts FROM f GROUP BY conv_id),
+z AS (SELECT *, sum(cut) OVER (PARTITION BY conv_id ORDER BY idx) AS g FROM f),
+spans AS (SELECT conv_id, min(idx) AS a, max(idx) + 1 AS b FROM z WHERE cut = 0 GROUP BY conv_id, g),
+s AS (SELECT conv_id, a, CASE WHEN b < n THEN b ELSE n - 1 END AS b FROM spans JOIN n USING (conv_id) WHERE cuts > 0 UNION ALL SELECT conv_id, 0, n FROM n WHERE cuts = 0),
+p AS (SELECT conv_id, a + i * 4 AS a, least(a + (i + 1) * 4, b) AS b FROM (SELECT conv_id, a, b, unnest(range(0, greatest(ceil((b - a) / 4.0)::INT, 1))) AS i FROM s))
+SELECT conv_id, a::INT AS start, b::INT AS "end" FROM p WHERE b - a >= 2""")
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = _turns(spark, sf_dir).groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("turn")), lambda t: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: ((i + t) % 7 == 3).cast("int")))).alias("f"))
     return flags.select("conv_id", F.explode(video.fit_scenes(video.scenes(F.col("f")), 2, 4)).alias("s")).select("conv_id", "s.*")

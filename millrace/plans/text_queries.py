@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,6 +155,38 @@ def fuzzy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.fuzzy_duplicates(_docs(spark, sf_dir), id_col="doc_id")
 
 
+def _fuzzy(bands: int, width: int, seed: int, grams: int, prime: int = (1 << 31) - 1) -> str:
+    """SQL of fuzzy deduplication with few hashes: shingles, minima, bands and their closure."""
+    rng, k = np.random.RandomState(seed), bands * width
+    a, b = rng.randint(1, prime, k).tolist(), rng.randint(0, prime, k).tolist()
+    least = ", ".join(f"min((v * {x}::UBIGINT + {y}::UBIGINT) % {prime}) AS m{i}" for i, (x, y) in enumerate(zip(a, b)))
+    keys = " UNION ALL ".join(f"SELECT doc_id, {i} AS band, concat_ws(',', {', '.join(f'm{i * width + j}' for j in range(width))}) AS k FROM m" for i in range(bands))
+    return f"""
+WITH RECURSIVE s AS (
+  SELECT doc_id, list_reduce(list_transform(string_split(g, ''), lambda c: unicode(c)::HUGEINT), lambda h, c: (h * 1099511628211 + c) % 18446744073709551616)::UBIGINT AS h
+  FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(length(text) - {grams - 2}, 2)), lambda i: text[i:i + {grams - 1}])) AS g FROM documents WHERE length(text) > 0)),
+v AS (SELECT DISTINCT doc_id, xor(h, h >> 29) % {prime} AS v FROM s),
+m AS (SELECT doc_id, {least} FROM v GROUP BY doc_id),
+b AS ({keys}),
+e AS (SELECT DISTINCT x.doc_id AS x, y.doc_id AS y FROM b x JOIN b y ON x.band = y.band AND x.k = y.k AND x.doc_id <> y.doc_id),
+r AS (SELECT x AS a, x AS b FROM e UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x)
+SELECT a AS id, min(b) AS "group" FROM r GROUP BY a"""
+
+
+@query("fuzzy_dedup_few_hashes", _fuzzy(3, 4, 7, 8))
+def fuzzy_dedup_few_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy deduplication of all documents with three bands of four hashes of eight characters."""
+    return dedup.fuzzy_duplicates(_docs(spark, sf_dir), id_col="doc_id", num_hashes=12, char_ngrams=8, bands=3, rows=4, seed=7)
+
+
+@query("fuzzy_removed", f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT id FROM ({_fuzzy(3, 4, 7, 8)}) WHERE id <> \"group\")")
+def fuzzy_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents but the repeated ones of each fuzzy group."""
+    docs = _docs(spark, sf_dir)
+    groups = dedup.fuzzy_duplicates(docs, id_col="doc_id", num_hashes=12, char_ngrams=8, bands=3, rows=4, seed=7)
+    return dedup.remove_ids(docs, dedup.duplicate_ids(groups), "doc_id", "id").select("doc_id")
+
+
 @query("language_filter", "SELECT doc_id FROM documents WHERE lower(split_part(lang, '_', 1)) = 'en'")
 def language_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.language_filter(_docs(spark, sf_dir).withColumn("p", F.lit(1.0)), "p", "lang", "en").select("doc_id")
