@@ -188,3 +188,60 @@ def test_entry_without_the_llm_parts(tmp_path):
     shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "corpus_pipeline.py"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'exact_dedup' in q and not any(x.startswith('op') for x in q) and 'pipeline' not in q; assert e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, timeout=120)
+
+
+def test_tex_commands_with_nested_braces():
+    tex = "\\newcommand*{\\foo}{a {b} c}\n\\def\\bar {\\foo x}\n\\newcommand{\\two}[1]{#1}\n\\def\\loop{\\loop}\nbefore\n\\subsection*[s]{One} \\foo, \\bar; \\foobar 5\\% \\loop % gone\n% line\n\\two{z}\\begin{thebibliography}{9} rest"
+    out = archives.latex_text([tex, "no section"])
+    assert out.startswith("\\subsection*[s]{One} a {b} c, a {b} c x; \\foobar 5\\% ") and out.endswith("\n\\two{z}") and "gone" not in out and "% line" not in out
+    assert archives.latex_text(["nothing here"]) is None and archives.latex_text([]) is None
+    assert archives.latex_text(["\\section{a} {unclosed \\foo"]) == "\\section{a} {unclosed \\foo"
+
+
+def test_wiki_brackets_in_linear_time():
+    assert archives.wikitext("a {{b [[c}} d]] e") == "a  d]] e"
+    assert archives.wikitext("[[a|b [[c]] d]] {{x") == "b c d {{x"
+    assert archives.wikitext("{{" * 20_000 + "x" + "[[" * 20_000).count("{{") == 20_000  # unclosed marks stay
+    assert archives.wikitext("{{" * 20_000 + "x" + "}}" * 20_000) == ""
+
+
+def test_downloads_retry_and_go_on(spark, tmp_path):
+    from millrace.sources import download
+
+    marks = str(tmp_path / "marks")
+
+    def fetch(url):
+        with open(marks, "a") as f:
+            f.write(url + "\n")
+        if url.endswith("bad") or open(marks).read().count(url) < 2:
+            raise OSError("busy")
+        return b"x" * 10
+
+    urls = spark.createDataFrame([("http://h/a",), ("http://h/a",), ("http://h/bad",), (None,)], "url string")
+    for _ in range(2):
+        got = {r.url: (r.bytes, r.error) for r in download.download(urls, str(tmp_path / "out"), fetch, wait=0.0).collect()}
+        assert got == {"http://h/a": (10, None), "http://h/bad": (None, "OSError: busy")}
+    assert open(marks).read().count("http://h/a\n") == 2 and len(list((tmp_path / "out").iterdir())) == 1
+    assert download.download(urls.limit(0), str(tmp_path / "out"), fetch).collect() == []
+    with pytest.raises(ValueError):
+        download.crawl_listings("2024-20", "2024-10", fetch=lambda _: b"[]")
+
+
+def test_merged_lines_keep_their_order(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.jsonl").write_text("".join(f'{{"k": {k}, "i": {i}}}\n' for i in range(50)))
+    n = writers.merge_lines(spark, str(tmp_path), str(tmp_path / "all.out"))
+    lines = (tmp_path / "all.out").read_text().splitlines()
+    assert n == 150 and lines == [f'{{"k": {k}, "i": {i}}}' for k in range(3) for i in range(50)]
+    assert not list(tmp_path.glob("*.jsonl"))
+
+
+def test_ranges_of_archives(spark, tmp_path):
+    record = lambda body: b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: %d\r\n\r\nHTTP/1.1 200 OK\r\n\r\n" % (len(body) + 19) + body + b"\r\n\r\n"
+    a, b = record(b"first"), record(b"second")
+    (tmp_path / "x.warc").write_bytes(a + b)
+    rows = [(1, "p/x.warc", 0, len(a), "old"), (2, "p/x.warc", len(a), len(b), "old"), (2, "p/x.warc", len(a), len(b), "old"), (3, "p/y.warc", 0, 5, "old"), (4, None, None, None, "old")]
+    df = spark.createDataFrame(rows, "i int, warc_filename string, warc_record_offset long, warc_record_length long, binary_content string")
+    got = archives.warc_ranges(df, str(tmp_path), drop_failed=False)
+    assert sorted((r.i, bytes(r.binary_content) if r.binary_content else None) for r in got.collect()) == [(1, b"first"), (2, b"second"), (2, b"second"), (3, None), (4, None)]
+    assert archives.warc_ranges(df, str(tmp_path)).count() == 3

@@ -250,3 +250,47 @@ def test_rows(spark):
     with pytest.raises(ValueError):
         rows.add_id(df, "id")
     assert sorted(r.k for r in rows.add_id(df.repartition(3), "k", order_by=["text"]).collect()) == list(range(6))
+
+
+def test_stars_need_no_rounds_and_chains_do(spark):
+    star = [(0, k) for k in range(1, 6)] + [(10, k) for k in range(11, 14)]
+    chain = [(k, k + 1) for k in range(20, 29)] + [(40, 42), (41, 42), (0, 1), (1, 2)]
+    for edges in (star, chain, star + chain):
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+        top = {x: x for e in edges for x in e}
+        for _ in edges:
+            for a, b in edges:
+                top[a] = top[b] = min(top[a], top[b])
+        assert got == top
+
+
+def test_buckets_straight_from_texts(spark):
+    """Equal signatures share all buckets, unlike texts none, and short or missing texts give what signatures give."""
+    t = "the quick brown fox jumps over the lazy dog again and again " * 3
+    df = spark.createDataFrame([(1, t), (2, t), (3, "something else altogether " * 9), (4, None), (5, ""), (6, "short")], "id long, text string")
+    by = {}
+    for r in dedup.text_buckets(df).collect():
+        by.setdefault(r.id, {})[r.band] = bytes(r.bucket)
+    assert set(by) == {1, 2, 3, 6} and all(len(x) == 20 for x in by.values())
+    assert by[1] == by[2] and not set(by[1].items()) & set(by[3].items())
+    sig = {r.id: r.signature for r in dedup.minhash_signatures(df).collect()}
+    assert sig[1] == sig[2] and sig[4] == sig[5] == [] and len(sig[6]) == 260
+
+
+def test_resampled_and_cut_recordings(spark):
+    from millrace.operators import media
+
+    rate, n = 8000, 8000
+    tone = np.round(10_000 * np.sin(2 * np.pi * 440 * np.arange(n) / rate)).astype("<i2")
+    raw = io.BytesIO()
+    with wave.open(raw, "wb") as w:
+        w.setnchannels(1), w.setsampwidth(2), w.setframerate(rate)
+        w.writeframes(tone.tobytes())
+    df = spark.createDataFrame([(1, bytearray(raw.getvalue())), (2, bytearray(b"no")), (3, None)], "i int, content binary")
+    got = {r.i: r for r in df.select("i", media.resampled(F.col("content"), 16000).alias("up"), media.cut_wave(F.col("content"), F.lit(0.25), F.lit(0.5)).alias("cut")).collect()}
+    with wave.open(io.BytesIO(got[1].up)) as w:
+        up = np.frombuffer(w.readframes(w.getnframes()), dtype="<i2")
+        assert w.getframerate() == 16000 and np.abs(up[::2][100:-100].astype(int) - tone[100:-100]).max() < 200
+    with wave.open(io.BytesIO(got[1].cut)) as w:
+        assert np.abs(np.frombuffer(w.readframes(w.getnframes()), dtype="<i2").astype(int) - tone[2000:4000]).max() <= 1
+    assert got[2].up is None and got[3].up is None and got[2].cut is None and got[3].cut is None

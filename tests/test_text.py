@@ -124,3 +124,43 @@ def test_unicode_repair():
     assert clean.repair("<a> &amp;") == "<a> &amp;"
     assert clean.repair("plain ünïcode ’quote’") == "plain ünïcode ’quote’"
     assert clean.repair("ﬁx", clean.Repairs(fix_latin_ligatures=True)) == "fix"
+
+
+def _repeated(w: list[str], n: int) -> int:
+    """Characters in repeats of runs of n words, overlaps counted once, run by run."""
+    seen, chars, done = set(), 0, 0
+    for i in range(len(w) - n + 1):
+        gram = tuple(w[i : i + n])
+        if gram in seen:
+            fresh = w[max(i, done) : i + n]
+            chars += sum(map(len, fresh)) + len(fresh) - 1
+            done = i + n
+        seen.add(gram)
+    return chars
+
+
+def test_runs_of_words_against_plain_counts():
+    import random
+    from collections import Counter
+
+    from millrace.operators.filters import Grams
+
+    rng = random.Random(5)
+    for _ in range(200):
+        w = [rng.choice(["a", "bb", "ccc", "ü"]) for _ in range(rng.randint(1, 40))]
+        t = " ".join(w)
+        for n in (2, 3, 5, 10):
+            g = Grams(t)
+            assert g.repeated(n) == (_repeated(w, n) / len(t) if len(w) >= n else 1.0)
+            runs = Counter(" ".join(w[i : i + n]) for i in range(len(w) - n + 1))
+            best = min((x for x, c in runs.items() if c == max(runs.values())), key=str.encode, default=None)
+            assert g.top(n) == ((len(t) - len(t.replace(best, ""))) / len(t) if best else 1.0)
+
+
+def test_policy_phrases_are_whole(spark):
+    """A paragraph with a fragment of a long phrase is none with the phrase."""
+    from millrace.functions import text
+
+    rows = [("x\n\nnecessary cookies are absolutely essential",), ("x\n\n" + text.POLICY[10].upper(),), ("x\n\nread our Privacy Policy",), ("x\n\ny",)]
+    got = spark.createDataFrame(rows, "t string").select(text.boilerplate(F.col("t")).alias("s")).collect()
+    assert [r.s for r in got] == [0.0, 0.5, 0.5, 0.0]
