@@ -16,12 +16,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Make a session fit for this library; a setting the user changed stays.
 
     * Small Arrow batches, so that Python memory is bounded.
-    * Python workers find this package although it isn't installed.
+    * Python workers find this package although it isn't installed, and use one
+      thread each for matrix products: there is a worker for each core already.
     """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", _DEFAULT_ARROW_ROWS) == _DEFAULT_ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
+    env.setdefault("OPENBLAS_NUM_THREADS", "1")
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if root not in paths:
         env["PYTHONPATH"] = ":".join([root, *paths])
