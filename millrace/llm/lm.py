@@ -9,10 +9,10 @@ inner product with the context vector plus a bias. Normalisers come from batched
 matrix products over the groups and over the members of one group, so the token
 log-probabilities are normalised exactly.
 
-Texts are dealt to shards by a hash of their rows. In each pass every shard
-trains on all its texts, in the order of the hash, from one common start, and
-the parameters are averaged by token counts. Shards depend on the rows alone,
-so the model doesn't change with the partitions that they come in.
+Texts are dealt to rounds and shards by a hash of their rows. In each round every
+shard trains on all its texts, in the order of the hash, from one common start,
+and the parameters are averaged by token counts. Rounds and shards depend on the
+rows alone, so the model doesn't change with the partitions that they come in.
 """
 
 from __future__ import annotations
@@ -42,9 +42,9 @@ DIM, CONTEXT, RATE = 16, 3, 0.1
 #: Noise drawn for a step: groups, and members of each group.
 NOISE_GROUPS, NOISE_MEMBERS = 8, 8
 #: Tokens of a step: at most, and such that a pass over a small corpus has about so many steps.
-BATCH, STEPS = 32_768, 256
-#: Passes over all texts.
-PASSES = 2
+BATCH, STEPS = 16_384, 256
+#: Rounds after each of which parameters are averaged; each text is trained on in one of them.
+ROUNDS = 2
 #: Tokens of a shard, and most shards (beyond, shards grow with the corpus).
 SHARD_TOKENS, SHARDS = 1 << 21, 4096
 #: Words whose counts are broadcast; those of all others are joined.
@@ -183,7 +183,6 @@ class Trainer:
         self.group_noise, self.member_noise = np.log(groups * NOISE_GROUPS).astype(np.float32), np.log(members * NOISE_MEMBERS).astype(np.float32)
         self.groups, self.members = np.cumsum(groups), np.cumsum(members, axis=1)
         self.seen = {k: np.full(s, _SEEN[k], dtype=np.float32) for k, s in _SHAPES.items()}
-        self.one = np.eye(MEMBERS, dtype=np.float32)
 
     def noise(self) -> tuple[np.ndarray, np.ndarray]:
         """Groups, and members of each group, drawn by their frequency."""
@@ -207,28 +206,30 @@ class Trainer:
         self.tokens += len(w)
         ctx, shifted = p.context(w, place)
         group = w // MEMBERS
-        d_ctx, d_qg, d_bg, d_q, d_b = np.empty_like(ctx), np.zeros_like(p.qg), np.zeros_like(p.bg), np.zeros_like(p.q), np.zeros_like(p.b)
         noise, drawn = self.noise()
-        # tokens by group: which group, and which member of it
-        order = np.argsort(group.astype(np.int16), kind="stable")
-        sorted_w, c = w[order], ctx[order]
-        edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        bad = self._pull(c @ p.qg[noise].T + p.bg[noise], self.group_noise[noise], False)
-        d_c = bad @ p.qg[noise]
-        np.add.at(d_qg, noise, bad.T @ c)
+        # which group
+        to_group, to_word = p.qg[group], p.q[w]
+        good = self._pull(np.einsum("ij,ij->i", ctx, to_group) + p.bg[group], self.group_noise[group], True)
+        bad = self._pull(ctx @ p.qg[noise].T + p.bg[noise], self.group_noise[noise], False)
+        d_ctx = good[:, None] * to_group + bad @ p.qg[noise]
+        d_qg, d_bg = np.zeros_like(p.qg), np.bincount(group, good, GROUPS).astype(np.float32)
+        np.add.at(d_qg, noise, bad.T @ ctx)
         np.add.at(d_bg, noise, bad.sum(0))
+        # which member of it: the true one, then noise group by group
+        right = self._pull(np.einsum("ij,ij->i", ctx, to_word) + p.b[w], self.member_noise[group, w - group * MEMBERS], True)
+        d_ctx += right[:, None] * to_word
+        order = np.argsort(group.astype(np.int16), kind="stable")
+        c, good = ctx[order], good[order]
+        edges, d_c = np.searchsorted(group[order], np.arange(GROUPS + 1)), np.empty_like(ctx)
+        others, d_others = drawn + np.arange(GROUPS)[:, None] * MEMBERS, np.zeros((GROUPS, NOISE_MEMBERS, DIM + 1), dtype=np.float32)
         for g in np.flatnonzero(np.diff(edges)).tolist():
-            at, mine = slice(edges[g], edges[g + 1]), slice(g * MEMBERS, (g + 1) * MEMBERS)
-            x, member, row = c[at], sorted_w[at] - g * MEMBERS, np.arange(edges[g + 1] - edges[g])
-            good = self._pull(x @ p.qg[g] + p.bg[g], self.group_noise[g], True)
-            d_qg[g] += good @ x
-            d_bg[g] += good.sum()
-            level, log_noise = x @ p.q[mine].T + p.b[mine], self.member_noise[g]
-            pull = self._pull(level[:, drawn[g]], log_noise[drawn[g]], False) @ self.one[drawn[g]]
-            pull[row, member] += self._pull(level[row, member], log_noise[member], True)
-            d_q[mine], d_b[mine] = pull.T @ x, pull.sum(0)
-            d_c[at] += good[:, None] * p.qg[g] + pull @ p.q[mine]
-        d_ctx[order] = d_c
+            at, q = slice(edges[g], edges[g + 1]), p.q[others[g]]
+            x = c[at]
+            d_qg[g] += good[at] @ x
+            wrong = self._pull(x @ q.T + p.b[others[g]], self.member_noise[g, drawn[g]], False)
+            d_c[at] = wrong @ q
+            d_others[g, :, :DIM], d_others[g, :, DIM] = wrong.T @ x, wrong.sum(0)
+        d_ctx[order] += d_c
         # back to the context words
         d_e = np.zeros_like(ctx)
         for k, back in enumerate(shifted, 1):
@@ -236,8 +237,12 @@ class Trainer:
             pulled[np.flatnonzero(place < k)] = 0
             d_e[:-k] += pulled[k:]
         d_scale = np.stack([np.einsum("ij,ij->j", d_ctx, back) for back in shifted])
-        seen, d_r = _by_row(w, d_e)
-        for name, at, grad in (("r", seen, d_r), ("scale", slice(None), d_scale), ("qg", slice(None), d_qg), ("bg", slice(None), d_bg), ("q", slice(None), d_q), ("b", slice(None), d_b)):
+        seen, grads = _by_row(w, np.concatenate([d_e, right[:, None] * ctx, right[:, None]], axis=1))
+        d_q, d_b = np.zeros_like(p.q), np.zeros_like(p.b)
+        d_q[seen], d_b[seen] = grads[:, DIM : 2 * DIM], grads[:, 2 * DIM]
+        np.add.at(d_q, others.ravel(), d_others[:, :, :DIM].reshape(-1, DIM))
+        np.add.at(d_b, others.ravel(), d_others[:, :, DIM].ravel())
+        for name, at, grad in (("r", seen, grads[:, :DIM]), ("scale", slice(None), d_scale), ("qg", slice(None), d_qg), ("bg", slice(None), d_bg), ("q", slice(None), d_q), ("b", slice(None), d_b)):
             self._move(name, at, grad)
 
 
@@ -366,11 +371,14 @@ def train(texts_: DataFrame, model: Model) -> Model:
     if not model.n:
         return model
     spark = texts_.sparkSession
-    shards = int(min(SHARDS, -(-model.n // SHARD_TOKENS)))
-    batch = int(min(BATCH, max(256, min(model.n, SHARD_TOKENS) // STEPS)))
-    dealt = texts_.withColumn("shard", F.pmod("order", F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "order").select("shard", "ids")
+    each = model.n // ROUNDS + 1
+    shards = int(min(SHARDS, -(-each // SHARD_TOKENS)))
+    batch = int(min(BATCH, max(256, min(each, SHARD_TOKENS) // STEPS)))
+    shard = F.pmod("order", F.lit(shards)).cast("int").alias("shard")
     params = model.params
-    for turn in range(PASSES):
+    for turn in range(ROUNDS):
+        mine = texts_.where(F.pmod(F.shiftrightunsigned("order", 32), F.lit(ROUNDS)) == turn).select(shard, "order", "ids")
+        dealt = mine.repartition(shards, "shard").sortWithinPartitions("shard", "order").select("shard", "ids")
         shipped = spark.sparkContext.broadcast((params, model.unigram))
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped, turn=turn) -> Iterator[pa.RecordBatch]:
@@ -405,7 +413,8 @@ def train(texts_: DataFrame, model: Model) -> Model:
                 yield done()
 
         mean = dealt.mapInArrow(run, "k int, x double, w double").groupBy("k").agg((F.sum("x") / F.sum("w")).alias("x")).collect()
-        params = Params.of(np.array([r.x for r in sorted(mean, key=lambda r: r.k)]))
+        if mean:  # few texts may all be in the other rounds
+            params = Params.of(np.array([r.x for r in sorted(mean, key=lambda r: r.k)]))
     return Model(**{**model.__dict__, "params": params})
 
 
