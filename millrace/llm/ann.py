@@ -36,6 +36,8 @@ PROBE_RECALL = 0.97
 EPSILON = 2.4
 COLUMNS = 16
 BLOCK, QUERY_BLOCK = 2048, 512
+#: Queries whose pairs with a block are held at once, and the share of live pairs below which they are gathered.
+TILE, DENSE = 64, 1 / 16
 #: Lists that are scanned first.
 FIRST = 2
 
@@ -113,27 +115,45 @@ def fit(vectors: DataFrame, n: int, dim: int, k: int, seed: int = 7, anchors: in
     return Index(rotation, c, probes, x[:anchors], np.array([r.vec_id for r in rows[:anchors]], dtype=np.int64))
 
 
+def _survivors(q: np.ndarray, rq: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, x: np.ndarray, rx: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, candidate) that no test abandons, by query."""
+    dim = x.shape[1]
+    qq, xx = (q * q).sum(1), (x * x).sum(1)
+    # an inner product of at least ``bound`` is a squared distance of at most ``most``
+    most = qq[:, None] + xx[None, :] - 2 * bound[:, None] + 1e-5 * (qq[:, None] + xx[None, :])
+    allowed = lambda b: ((1 + EPSILON / np.sqrt(b)) ** 2 if b < dim else 1) * (b / dim)
+    live = ~(most < 0) & (q_ids[:, None] != ids[None, :])
+    part = np.zeros(live.shape)
+    for a in range(0, dim, COLUMNS):
+        b = min(dim, a + COLUMNS)
+        if a and np.count_nonzero(live) < DENSE * live.size:
+            break
+        part += (rq[:, a:b] ** 2).sum(1)[:, None] + (rx[:, a:b] ** 2).sum(1)[None, :] - 2 * rq[:, a:b] @ rx[:, a:b].T
+        live &= ~(part > allowed(b) * most + 1e-9)
+    else:
+        return np.nonzero(live)
+    i, j = np.nonzero(live)
+    part, most = part[i, j], most[i, j]
+    for a in range(a, dim, COLUMNS):
+        b = min(dim, a + COLUMNS)
+        part = part + ((rq[i, a:b] - rx[j, a:b]) ** 2).sum(1)
+        ok = ~(part > allowed(b) * most + 1e-9)
+        i, j, part, most = i[ok], j[ok], part[ok], most[ok]
+    return i, j
+
+
 def scan(q: np.ndarray, rq: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, x: np.ndarray, rx: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best k of a block for each query that may beat its bound: (query, candidate, score).
 
     ``rq`` and ``rx`` are the rotated vectors; their rounding is allowed for.
     Tests are put so that what isn't a number (a square out of range) passes.
+    Column blocks are matrix products over all pairs of a tile while the tests
+    leave many of them, and are gathered pair by pair once they leave few.
     """
-    dim = x.shape[1]
     with np.errstate(over="ignore", invalid="ignore"):
-        qq, xx = (q * q).sum(1), (x * x).sum(1)
-        # an inner product of at least ``bound`` is a squared distance of at most ``most``
-        most = qq[:, None] + xx[None, :] - 2 * bound[:, None] + 1e-5 * (qq[:, None] + xx[None, :])
-        allowed = lambda b: ((1 + EPSILON / np.sqrt(b)) ** 2 if b < dim else 1) * (b / dim)
-        b = min(dim, COLUMNS)
-        d = (rq[:, :b] ** 2).sum(1)[:, None] + (rx[:, :b] ** 2).sum(1)[None, :] - 2 * rq[:, :b] @ rx[:, :b].T
-        i, j = np.nonzero(~(most < 0) & ~(d > allowed(b) * most + 1e-9) & (q_ids[:, None] != ids[None, :]))
-        part = d[i, j]
-        for a in range(b, dim, COLUMNS):
-            b = min(dim, a + COLUMNS)
-            part = part + ((rq[i, a:b] - rx[j, a:b]) ** 2).sum(1)
-            ok = ~(part > allowed(b) * most[i, j] + 1e-9)
-            i, j, part = i[ok], j[ok], part[ok]
+        tiles = [_survivors(q[s : s + TILE], rq[s : s + TILE], q_ids[s : s + TILE], bound[s : s + TILE], x, rx, ids) for s in range(0, len(q), TILE)]
+        i = np.concatenate([t[0] + s for t, s in zip(tiles, range(0, len(q), TILE))])
+        j = np.concatenate([t[1] for t in tiles])
         score = np.einsum("ij,ij->i", q[i], x[j])
     order = np.lexsort((ids[j], -score, i))
     i, j, score = i[order], j[order], score[order]

@@ -104,3 +104,46 @@ def test_recall_of_the_scan_alone(spark):
     want = brute_force(np.arange(20_000), x.astype(np.float64), range(0, 20_000, 200))
     pairs = {(q, i) for q, w in want.items() for i, _ in w}
     assert sum((r.query_id, r.vec_id) in pairs for r in got) / len(pairs) >= 0.95
+
+
+def _pair_by_pair(q, rq, q_ids, bound, x, rx, ids):
+    """The tests of the scan, one pair after the other."""
+    dim, out = x.shape[1], set()
+    for i in range(len(q)):
+        for j in range(len(x)):
+            qq, xx = q[i] @ q[i], x[j] @ x[j]
+            most = qq + xx - 2 * bound[i] + 1e-5 * (qq + xx)
+            part = np.cumsum((rq[i] - rx[j]) ** 2)
+            ends = [min(dim, a + ann.COLUMNS) for a in range(0, dim, ann.COLUMNS)]
+            allowed = [((1 + ann.EPSILON / np.sqrt(b)) ** 2 if b < dim else 1) * (b / dim) * most + 1e-9 for b in ends]
+            if q_ids[i] != ids[j] and most >= 0 and all(part[b - 1] <= a for b, a in zip(ends, allowed)):
+                out.add((int(q_ids[i]), int(ids[j])))
+    return out
+
+
+@pytest.mark.parametrize("spread", [0.2, 50.0])
+def test_tiles_and_gathered_pairs_abandon_the_same(spread):
+    """Clustered vectors (few pairs live after a block) and shapeless ones (most live), more queries than a tile, a last block that isn't full."""
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(10, 40))
+    x, q = (centers[rng.integers(0, 10, n)] + spread * rng.normal(size=(n, 40)) for n in (90, 2 * ann.TILE + 5))
+    rotation = np.linalg.qr(rng.normal(size=(40, 40)))[0]
+    bound = np.sort(q @ x.T, axis=1)[:, -8]
+    q_ids, ids = np.arange(50, 50 + len(q)), np.arange(len(x))
+    qi, ci, _ = ann.scan(q, q @ rotation, q_ids, bound, x, x @ rotation, ids, len(x))
+    assert set(zip(qi.tolist(), ci.tolist())) == _pair_by_pair(q, q @ rotation, q_ids, bound, x, x @ rotation, ids)
+
+
+def test_shapeless_vectors_are_not_gathered_pair_by_pair():
+    """Where the tests abandon little, a block costs matrix products: no copy of a column block for every pair."""
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    x, q = (v / np.linalg.norm(v, axis=1)[:, None] for v in (rng.normal(size=(n, 64)) for n in (700, 500)))
+    rotation = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    args = (q, q @ rotation, np.arange(1000, 1500), np.full(500, 0.4), x, x @ rotation, np.arange(700), 20)
+    tracemalloc.start()
+    ann.scan(*args)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 * 700 * ann.COLUMNS * 8 / 4
