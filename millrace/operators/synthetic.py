@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import SPACE, strip
+from millrace.functions.text import SPACE, let, strip
 
 from .models import Factory, infer
 
@@ -74,6 +74,9 @@ def segment(df: DataFrame, id_col: str, text_col: str = "text", mode: str = "coa
     ``coarse`` units are lines, ``fine`` ones sentences with the space behind
     them. Joining segments and separators in order gives the text back. Null
     texts and rows with a skip mark have one empty unit.
+
+    Every unit carries the document's other columns, the text too: drop it
+    before translating, or a document of n units sends it n times.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     if mode == "coarse":
@@ -83,12 +86,12 @@ def segment(df: DataFrame, id_col: str, text_col: str = "text", mode: str = "coa
         pieces = F.filter(F.split(t, f"(?<=[.!?。！？])(?=[{SPACE}])|(?<=\n)(?=[^\n])", -1), lambda s: s != "")
         lead = lambda s: F.regexp_extract(s, f"^[{SPACE}]*", 0)
         tail = lambda s: F.regexp_extract(s, f"[{SPACE}]*$", 0)
-        mid = lambda s: F.substring(s, F.length(lead(s)) + 1, F.greatest(F.length(s) - F.length(lead(s)) - F.length(tail(s)), F.lit(0)))
-        blank = lambda s: strip(s) == ""
-        units = F.flatten(F.transform(pieces, lambda s: F.when(blank(s), F.array(F.struct(F.lit("").alias("s"), s.alias("sep")))).otherwise(
-            F.array(F.struct(F.lit("").alias("s"), lead(s).alias("sep")), F.struct(mid(s).alias("s"), tail(s).alias("sep"))))))
+        unit = lambda s, sep: F.struct(s.alias("s"), sep.alias("sep"))
+        mid = lambda s, e: F.substring(s, F.length(e["a"]) + 1, F.greatest(F.length(s) - F.length(e["a"]) - F.length(e["z"]), F.lit(0)))
+        cut = lambda s: let(F.struct(lead(s).alias("a"), tail(s).alias("z")), lambda e: F.array(unit(F.lit(""), e["a"]), unit(mid(s, e), e["z"])))
+        units = F.flatten(F.transform(pieces, lambda s: F.when(strip(s) == "", F.array(unit(F.lit(""), s))).otherwise(cut(s))))
         units = F.filter(units, lambda u: (u["s"] != "") | (u["sep"] != ""))
-        units = F.when(F.size(units) == 0, F.array(F.struct(F.lit("").alias("s"), F.lit("").alias("sep")))).otherwise(units)
+        units = let(units, lambda u: F.when(F.size(u) == 0, F.array(unit(F.lit(""), F.lit("")))).otherwise(u))
     skip = F.coalesce(F.col(skip_col).cast("string"), F.lit("0")) != "0" if skip_col else F.lit(False)
     units = F.when(skip, F.array(F.struct(t.alias("s"), F.lit("").alias("sep")))).otherwise(units)
     out = df.withColumn("__skip", skip).select("*", F.posexplode(units).alias("segment_id", "__u")).withColumn("segment", F.col("__u.s")).withColumn("separator", F.col("__u.sep"))

@@ -375,8 +375,8 @@ def translation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("translation_round_trip", "SELECT doc_id, md5(coalesce(text, '')) AS h FROM documents")
 def translation_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences, a translation that changes nothing, and the text again."""
-    s = synthetic.segment(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", mode="fine")
-    out = synthetic.reassemble(synthetic.translate(s, lambda: lambda batch: batch).drop("text"), "doc_id")
+    s = synthetic.segment(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", mode="fine").drop("text")
+    out = synthetic.reassemble(synthetic.translate(s, lambda: lambda batch: batch), "doc_id")
     return out.select("doc_id", F.md5(F.col("translated_text").cast("binary")).alias("h"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 import json
 import tarfile
@@ -157,6 +158,20 @@ def test_synthetic(spark):
     assert json.loads(one(synthetic.merge_scores(F.lit('{"k": "v"}'), F.create_map(F.lit("fluency"), F.lit(2.0)))))["k"] == "v"
 
 
+def test_translation_round_trip_sends_no_text_with_a_unit(spark, sf, monkeypatch):
+    """Units reach the model without their document's text, and are made once a text."""
+    from millrace.plans import record_queries
+
+    sent, infer = [], synthetic.infer
+    monkeypatch.setattr(synthetic, "infer", lambda df, *a: sent.append(df) or infer(df, *a))
+    got = {r.doc_id: r.h for r in record_queries.translation_round_trip(spark, sf).collect()}
+    assert sorted(sent[0].columns) == ["__in", "doc_id", "segment", "segment_id", "separator", "translate"]
+    plan = sent[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert got == {i: hashlib.md5(t.encode()).hexdigest() for i, t in texts.items()}
+
+
 def test_stream(spark, tmp_path):
     schema = "id long, text string"
     run = lambda: ingest.ingest(spark, f"{tmp_path}/in", schema, lambda d: d.where("length(text) > 1"), f"{tmp_path}/out", f"{tmp_path}/ckpt").awaitTermination()
