@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 from itertools import combinations
 
@@ -50,6 +51,26 @@ def test_long_words_do_not_underflow_or_take_memory():
     assert all(np.isfinite(x).all() for x in got)
 
 
+def test_fitting_takes_little_memory_and_blocks_do_not_matter(monkeypatch):
+    """The driver fits: it holds a block of words times languages, not all of them."""
+    rng = np.random.default_rng(2)
+    found = sorted({"".join(rng.choice(list("abcdeé"), size=rng.integers(1, 14))) for _ in range(4000)}) + ["ab" * 500]
+    counts = [(f"l{k:02}", w, int(c)) for w in found for k, c in enumerate(rng.integers(0, 3, size=40)) if c]
+    pieces = ["▁", *"abcd", "▁a", "ab", "abc", "ba", "dd", "▁cd"]
+    tracemalloc.start()
+    model = langid.train(counts, pieces, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6  # 62e6 with all words at once
+    few = [c for c in counts if len(c[1]) < 4 or c[1] == found[-1]]
+    usual = langid.train(few, pieces, rounds=2)
+    for cells in (1, 40 * 1000, 1 << 40):
+        monkeypatch.setattr(langid, "EM_CELLS", cells)
+        other = langid.train(few, pieces, rounds=2)
+        assert np.array_equal(other.prob, usual.prob) and np.array_equal(other.unknown, usual.unknown)
+    assert np.allclose(model.prob.sum(axis=0) + 100 * model.unknown, 1)
+
+
 def test_labels_and_sources_are_no_inputs(spark):
     docs = [(i, t, l) for i, (t, l) in enumerate([("the house and the garden of the man", "en"), ("das haus und der garten des mannes", "de")] * 30)]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
