@@ -294,3 +294,19 @@ def test_resampled_and_cut_recordings(spark):
     with wave.open(io.BytesIO(got[1].cut)) as w:
         assert np.abs(np.frombuffer(w.readframes(w.getnframes()), dtype="<i2").astype(int) - tone[2000:4000]).max() <= 1
     assert got[2].up is None and got[3].up is None and got[2].cut is None and got[3].cut is None
+
+
+def test_edits_of_alike_texts_need_no_band(monkeypatch):
+    """A long text against itself in lower case without its first two characters: few states, no row-by-row band."""
+    def never(*_):
+        raise AssertionError("row by row")
+
+    monkeypatch.setattr(edits, "_banded", never)
+    rng = np.random.RandomState(5)
+    text = "".join(rng.choice(list("abcdefgh  ABC"), 60_000))
+    upper = sum(c.isupper() for c in text[2:])
+    assert edits.edits(text, text[2:].lower()) == (0, 2, upper)
+    assert edits.edits("".join(rng.choice(list("!AB"), 30_000)), "") == (0, 30_000, 0)
+    mixed = text[:20_000] + "zz" + text[20_000:40_000] + text[40_003:]
+    assert edits.edits(text, mixed) == (2, 3, 0)
+    assert edits.edits(list(text), list(mixed)) == (2, 3, 0)
