@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.core.session import read_table
+from millrace.core.session import read_table, spread
 from millrace.operators import audio, interleaved, media, video
 
 from .base import query
@@ -116,7 +116,7 @@ def clip_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A recording a part: p_size hundredths of a second at 8 kHz, one channel, silent."""
-    return read_table(spark, sf_dir, "part").select("p_partkey", "p_size", _wav(F.col("p_size") * 80, 1, 8000).alias("content"))
+    return spread(read_table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", "p_size", _wav(F.col("p_size") * 80, 1, 8000).alias("content"))
 
 
 @query("resampled_audio", "SELECT p_partkey, 16000 AS sample_rate, p_size / 100.0 AS duration FROM part")

@@ -260,3 +260,13 @@ def test_ranges_of_archives(spark, tmp_path):
     got = archives.warc_ranges(df, str(tmp_path), drop_failed=False)
     assert sorted((r.i, bytes(r.binary_content) if r.binary_content else None) for r in got.collect()) == [(1, b"first"), (2, b"second"), (2, b"second"), (3, None), (4, None)]
     assert archives.warc_ranges(df, str(tmp_path)).count() == 3
+
+
+def test_rows_for_heavy_work_are_dealt_over_tasks(spark):
+    """A small file is one task however many rows it has; recordings and files made of its rows are dealt anew."""
+    from millrace.core.session import spread
+
+    df = spark.range(0, 12_001, 1, 1)
+    assert [spread(df, n).rdd.getNumPartitions() for n in (5000, 20_000)] == [3, 1]
+    assert spread(df.where("id < 0")).count() == 0
+    assert spread(df, 1000).agg({"id": "sum"}).first()[0] == 12_000 * 12_001 // 2
