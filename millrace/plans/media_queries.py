@@ -14,7 +14,7 @@ from .io_queries import _wav
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file a part: its name as bytes."""
-    p = read_table(spark, sf_dir, "part")
+    p = spread(read_table(spark, sf_dir, "part"))
     return p.select("p_partkey", "p_size", F.concat(F.lit("/in/"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_name").cast("binary").alias("content"))
 
 

@@ -270,3 +270,15 @@ def test_rows_for_heavy_work_are_dealt_over_tasks(spark):
     assert [spread(df, n).rdd.getNumPartitions() for n in (5000, 20_000)] == [3, 1]
     assert spread(df.where("id < 0")).count() == 0
     assert spread(df, 1000).agg({"id": "sum"}).first()[0] == 12_000 * 12_001 // 2
+
+
+@pytest.mark.parametrize(("name", "least"), [("clip_captions", 3)])
+def test_heavy_queries_of_a_small_file_take_several_tasks(spark, sf_small, tmp_path, name, least):
+    """12,000 parts in one file of one row group: the rows' work goes to three tasks."""
+    from __spark_entry__ import queries
+
+    part = spark.read.parquet(f"{sf_small}/part.parquet")
+    n = part.count()
+    many = part.crossJoin(spark.range(-(-12_000 // n)).withColumnRenamed("id", "k")).withColumn("p_partkey", F.col("p_partkey") + F.col("k") * 100_000).drop("k")
+    many.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert queries()[name](spark, str(tmp_path)).rdd.getNumPartitions() >= least
