@@ -143,7 +143,7 @@ def _loud(frames, before: int, rate: int):
 @query("speech_segments", "SELECT p_partkey, 0.5::DOUBLE AS start, round(0.5 + (p_size * 10) * 0.02, 9)::DOUBLE AS stop FROM part")
 def speech_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half a second of silence, then a loud part of whole frames."""
-    df = read_table(spark, sf_dir, "part").select("p_partkey", _loud(F.col("p_size") * 10 * 40, 1000, 2000).alias("content"))
+    df = spread(read_table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", _loud(F.col("p_size") * 10 * 40, 1000, 2000).alias("content"))
     s = df.select("p_partkey", F.explode(media.speech_segments(F.col("content"))).alias("s"))
     return s.select("p_partkey", F.round("s.start", 9).alias("start"), F.round("s.end", 9).alias("stop"))
 
