@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.core.scratch import materialize, scratch_root
-from millrace.core.session import read_table
+from millrace.core.session import read_table, spread
 from millrace.functions import text
 from millrace.operators import audio, interleaved, models, segments, synthetic
 from millrace.sinks import writers
@@ -539,21 +539,22 @@ def translation_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- recordings
 
 
-def _wav(frames, channels: int, rate: int):
-    """A WAV file of 16-bit silence: header by its rules, little-endian numbers from hexadecimal ones."""
+def _wav(frames, channels: int, rate: int, silent=None, loud: str = ""):
+    """A WAV file of 16-bit silence, or of ``silent`` frames and then loud ones: header by its rules, little-endian numbers from hexadecimal ones."""
     def little(x, n: int):
         h = F.lpad(F.hex(x.cast("long")), 2 * n, "0")
         return F.concat(*(F.substring(h, 2 * i + 1, 2) for i in reversed(range(n))))
 
     size, n = frames * (2 * channels), lambda v: F.lit(v)
     head = F.concat(F.lit("52494646"), little(size + 36, 4), F.lit("57415645666D7420"), little(n(16), 4), little(n(1), 2), little(n(channels), 2), little(n(rate), 4), little(n(rate * 2 * channels), 4), little(n(2 * channels), 2), little(n(16), 2), F.lit("64617461"), little(size, 4))
-    return F.unhex(F.concat(head, F.repeat(F.lit("0000"), (frames * channels).cast("int"))))
+    body = F.repeat(F.lit("\0\0"), ((frames if silent is None else silent) * channels).cast("int")).cast("binary")
+    return F.concat(F.unhex(head), body, *([] if silent is None else [F.unhex(F.repeat(F.lit(loud), ((frames - silent) * channels).cast("int")))]))
 
 
 @query("wave_durations", "SELECT p_partkey, p_size * 20 / 8000.0 AS duration, 8000 AS sample_rate, 2 AS channels, 1 AS mono_channels FROM part")
 def wave_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duration, rate and channels of stereo recordings, and channels after mixing."""
-    df = read_table(spark, sf_dir, "part").select("p_partkey", _wav(F.col("p_size") * 20, 2, 8000).alias("content"))
+    df = spread(read_table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", _wav(F.col("p_size") * 20, 2, 8000).alias("content"))
     df = df.withColumn("info", audio.wave_info("content")).withColumn("mono", audio.wave_info(audio.to_mono("content")))
     return df.select("p_partkey", "info.*", F.col("mono.channels").alias("mono_channels"))
 

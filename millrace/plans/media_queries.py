@@ -136,8 +136,7 @@ def cut_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _loud(frames, before: int, rate: int):
     """A WAV file of ``before`` silent frames, then constant ones."""
-    silent = F.hex(_wav(frames + before, 1, rate))
-    return F.unhex(F.concat(F.substring(silent, F.lit(1), F.lit(88) + before * 4), F.repeat(F.lit("FF3F"), frames.cast("int"))))
+    return _wav(frames + before, 1, rate, F.lit(before), "FF3F")
 
 
 @query("speech_segments", "SELECT p_partkey, 0.5::DOUBLE AS start, round(0.5 + (p_size * 10) * 0.02, 9)::DOUBLE AS stop FROM part")
