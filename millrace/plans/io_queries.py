@@ -580,7 +580,7 @@ def filtered_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two windows of each part, of 100 and 90 seconds; small parts' overlap by more than half, and the one nearer to 120 stays."""
     start = F.when(F.col("p_size") <= 20, F.lit(10.0)).otherwise(F.lit(300.0))
     window = lambda a, b: F.struct(F.array(F.struct(a.alias("start"), b.alias("end"))).alias("segments"))
-    df = read_table(spark, sf_dir, "part").select("p_partkey", F.array(window(F.lit(0.0), F.lit(100.0)), window(start, start + 90)).alias("windows"))
+    df = spread(read_table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", F.array(window(F.lit(0.0), F.lit(100.0)), window(start, start + 90)).alias("windows"))
     return audio.filter_windows(df, 50.0).select("p_partkey", F.size("kept_windows").alias("kept"), "kept_duration")
 
 

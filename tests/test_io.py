@@ -272,7 +272,7 @@ def test_rows_for_heavy_work_are_dealt_over_tasks(spark):
     assert spread(df, 1000).agg({"id": "sum"}).first()[0] == 12_000 * 12_001 // 2
 
 
-@pytest.mark.parametrize(("name", "least"), [("clip_captions", 3), ("speech_segments", 3), ("wave_durations", 3)])
+@pytest.mark.parametrize(("name", "least"), [("clip_captions", 3), ("speech_segments", 3), ("wave_durations", 3), ("filtered_windows", 3)])
 def test_heavy_queries_of_a_small_file_take_several_tasks(spark, sf_small, tmp_path, name, least):
     """12,000 parts in one file of one row group: the rows' work goes to three tasks."""
     from __spark_entry__ import queries
