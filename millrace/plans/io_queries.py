@@ -268,7 +268,7 @@ def tex_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\\newcommand{\\kind}{"), F.col("p_type"), F.lit("{x}}\n\\def\\maker{"), F.col("p_brand"), F.lit("}\npreamble\n"), section, F.lit("{"), F.col("p_name"),
         F.lit("}\n% a comment\nWe study \\kind and \\maker at 5\\%.% more\n\\bibliography{refs}\nrest"),
     )
-    members = read_table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".gz")).alias("name"), packed(tex).alias("content"))
+    members = spread(read_table(spark, sf_dir, "part")).select(F.concat(F.col("p_partkey").cast("string"), F.lit(".gz")).alias("name"), packed(tex).alias("content"))
     writers.write_tars(members, _mounted(at), per_tar=500).count()
     return archives.papers(spark, at).select("id", "text")
 

@@ -282,3 +282,27 @@ def test_heavy_queries_of_a_small_file_take_several_tasks(spark, sf_small, tmp_p
     many = part.crossJoin(spark.range(-(-12_000 // n)).withColumnRenamed("id", "k")).withColumn("p_partkey", F.col("p_partkey") + F.col("k") * 100_000).drop("k")
     many.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     assert queries()[name](spark, str(tmp_path)).rdd.getNumPartitions() >= least
+
+
+def test_papers_of_a_small_file_take_several_tasks_and_few_tries(spark, tmp_path, monkeypatch):
+    """Tars of at most 500 papers come from tasks of 5000 rows; a file that is no tar is tried as a plain one only."""
+    from __spark_entry__ import queries
+
+    n = 12_000
+    rows = spark.range(1, n + 1, 1, 1).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type")
+    rows.write.parquet(str(tmp_path / "part.parquet"))
+    made = []
+    write = writers.write_tars
+    monkeypatch.setattr(writers, "write_tars", lambda df, *a, **k: made.append(df.rdd.getNumPartitions()) or write(df, *a, **k))
+    assert queries()["tex_papers"](spark, str(tmp_path)).count() == n - n // 3 and made[0] >= 3
+    modes, opened = [], tarfile.open
+    monkeypatch.setattr(tarfile, "open", lambda *a, **k: modes.append(k.get("mode", "r:*")) or opened(*a, **k))
+    outer = io.BytesIO()
+    with opened(fileobj=outer, mode="w") as tar:
+        data = gzip.compress(b"\\section{a}\\\\x \\\\\\b1")
+        info = tarfile.TarInfo("1.gz")
+        info.size = len(data)
+        tar.addfile(info, io.BytesIO(data))
+    assert [r["content"] for r in archives.tex_records("x.tar", outer.getvalue())] == [["\\section{a}\\\\x \\\\\\b1"]]
+    assert modes[1:] == ["r:"]
+    assert list(archives._commands("\\a1\\\\b\\%\\ü\\c\\")) == [(0, "a1", 3), (10, "c", 12)]
