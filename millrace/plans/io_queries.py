@@ -154,7 +154,9 @@ def interleaved_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples as tars and back: a list of texts and images by position, images read by reference from the tars."""
     at = _place(spark, "tars")
-    members = writers.sample_members(_samples(spark, sf_dir)).repartition(2, F.regexp_extract("name", "^[0-9]+", 0))
+    rows = _samples(spark, sf_dir)
+    tars = max(2, rows.count() // 20_000)  # of some 20 MB each, however many rows there are
+    members = writers.sample_members(rows).repartition(tars, F.regexp_extract("name", "^[0-9]+", 0))
     writers.write_tars(members.sortWithinPartitions("name"), _mounted(at), per_tar=100_000).count()
     back = archives.samples(spark, at).where("position >= 0")
     return archives.materialize_content(back, at).select("sample_id", "position", "modality", F.md5(F.coalesce("binary_content", F.col("text_content").cast("binary"))).alias("h"))

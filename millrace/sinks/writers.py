@@ -15,6 +15,7 @@ import tarfile
 import uuid
 from collections.abc import Iterator
 from contextlib import suppress
+from itertools import chain, islice
 from pathlib import Path
 
 import numpy as np
@@ -60,6 +61,13 @@ def place(final: str, fill) -> None:
             os.remove(tmp)
 
 
+class _Unkept(list):
+    """What a tar's writer puts its headers in, and never reads."""
+
+    def append(self, _) -> None:
+        pass
+
+
 def write_tars(df: DataFrame, folder: str, per_tar: int = 1000) -> DataFrame:
     """Tars of at most ``per_tar`` rows' members; returns (tar, members) of what was written.
 
@@ -71,29 +79,24 @@ def write_tars(df: DataFrame, folder: str, per_tar: int = 1000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, held, k = TaskContext.get().partitionId(), [], 0
-
-        def flush() -> pa.RecordBatch:
-            final = f"{folder}/{part:05d}-{k:05d}.tar"
+        part, k = TaskContext.get().partitionId(), 0
+        rows = ((n.as_py(), c.as_py() or b"") for b in batches for n, c in zip(b.column(0), b.column(1)))
+        while (first := next(rows, None)) is not None:
+            final, members = f"{folder}/{part:05d}-{k:05d}.tar", 0
 
             def fill(f):
+                nonlocal members
                 with tarfile.open(fileobj=f, mode="w") as tar:
-                    for name, content in held:
+                    tar.members = _Unkept()
+                    for name, content in chain([first], islice(rows, per_tar - 1)):
                         info = tarfile.TarInfo(name)
                         info.size = len(content)
                         tar.addfile(info, io.BytesIO(content))
+                        members += 1
 
             place(final, fill)
-            return pa.RecordBatch.from_pydict({"tar": [final], "members": pa.array([len(held)], pa.int64())})
-
-        for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.append((name, content or b""))
-                if len(held) == per_tar:
-                    yield flush()
-                    held, k = [], k + 1
-        if held:
-            yield flush()
+            yield pa.RecordBatch.from_pydict({"tar": [final], "members": pa.array([members], pa.int64())})
+            k += 1
 
     return df.select("name", "content").mapInArrow(run, "tar string, members long")
 

@@ -306,3 +306,22 @@ def test_papers_of_a_small_file_take_several_tasks_and_few_tries(spark, tmp_path
     assert [r["content"] for r in archives.tex_records("x.tar", outer.getvalue())] == [["\\section{a}\\\\x \\\\\\b1"]]
     assert modes[1:] == ["r:"]
     assert list(archives._commands("\\a1\\\\b\\%\\ü\\c\\")) == [(0, "a1", 3), (10, "c", 12)]
+
+
+def test_members_of_tars_are_read_by_their_ranges(spark, tmp_path):
+    """No plan reads a tar's whole content beside a row that wants a member of it; tars are streamed, not held."""
+    members = spark.range(500).selectExpr("concat(lpad(id, 4, '0'), '.png') AS name", "cast(repeat(cast(id % 10 AS string), 100) AS binary) AS content").coalesce(1)
+    made = writers.write_tars(members, str(tmp_path / "t"), 200).collect()
+    assert sorted(r.members for r in made) == [100, 200, 200]
+    refs = []
+    for r in made:
+        with tarfile.open(r.tar) as tar:
+            refs += [(m.name, json.dumps({"path": f"file:{r.tar}", "member": m.name, "byte_offset": m.offset_data, "byte_size": m.size})) for m in tar]
+    refs += [("gone", json.dumps({"path": "file:/nowhere.tar", "member": "x", "byte_offset": 0, "byte_size": 1})), ("none", json.dumps({"path": f"file:{made[0].tar}", "member": "y"}))]
+    df = spark.createDataFrame([(n, "image", None, None, r) for n, r in refs], "sample_id string, modality string, binary_content binary, materialize_error string, source_ref string")
+    got = archives.materialize_content(df, str(tmp_path / "t"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "content#" not in plan.replace("binary_content#", "") and "[path" in plan
+    rows = {r.sample_id: r for r in got.collect()}
+    assert len(rows) == 502 and rows["gone"].materialize_error == "no such file" and rows["none"].materialize_error == "no such member"
+    assert all(bytes(rows[n].binary_content) == n[3].encode() * 100 for n, _ in refs[:500])
