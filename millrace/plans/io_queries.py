@@ -226,10 +226,10 @@ def warc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("warc_ranges", "SELECT page_id, md5(coalesce(html, '')) AS h FROM pages WHERE url IS NOT NULL")
 def warc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records by file, offset and length, as an index would list them; a file for each page."""
+    """Records by file, offset and length, as an index would list them; archives of some thousand pages, as crawls have."""
     at = _place(spark, "ranges")
     pages = read_table(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", _warc_record(F.col("page_id")).alias("value"))
-    pages.select("value").coalesce(1).write.option("lineSep", "\n").text(at)
+    spread(pages.select("value")).write.option("lineSep", "\n").text(at)
     index = archives.records(archives.files(spark, at, "part-*"), _offsets, "warc_filename string, warc_record_offset long, warc_record_length long, page_id long")
     return archives.warc_ranges(index, at).select("page_id", F.md5("binary_content").alias("h"))
 

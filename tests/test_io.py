@@ -325,3 +325,15 @@ def test_members_of_tars_are_read_by_their_ranges(spark, tmp_path):
     rows = {r.sample_id: r for r in got.collect()}
     assert len(rows) == 502 and rows["gone"].materialize_error == "no such file" and rows["none"].materialize_error == "no such member"
     assert all(bytes(rows[n].binary_content) == n[3].encode() * 100 for n, _ in refs[:500])
+
+
+def test_archives_of_ranges_are_bounded(spark, tmp_path, monkeypatch):
+    """More pages are more archives, not a longer one that a worker must hold."""
+    from __spark_entry__ import queries
+
+    spark.range(12_000).selectExpr("id AS page_id", "concat('http://x/', id) AS url", "concat('<p>', id) AS html").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    roots, cut = [], archives.warc_ranges
+    monkeypatch.setattr(archives, "warc_ranges", lambda df, root, **k: roots.append(root) or cut(df, root, **k))
+    got = queries()["warc_ranges"](spark, str(tmp_path))
+    assert archives.files(spark, roots[0], "part-*").select("path").count() == 3
+    assert got.count() == 12_000
