@@ -82,7 +82,8 @@ def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("merged_lines", "SELECT doc_id, md5(text) AS h, (SELECT count(*) FROM documents) AS lines FROM documents")
 def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards, target = _place(spark, "shards"), _place(spark, "merged") + ".jsonl"
-    writers.write_documents(read_table(spark, sf_dir, "documents").repartition(5), shards, "json", fields=["doc_id", "text"])
+    docs = read_table(spark, sf_dir, "documents")
+    writers.write_documents(docs.repartition(max(5, docs.count() // 50_000)), shards, "json", fields=["doc_id", "text"])
     n = writers.merge_lines(spark, shards, target)
     return spark.read.schema("doc_id long, text string").json(target).select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"), F.lit(n).cast("long").alias("lines"))
 

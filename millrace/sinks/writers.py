@@ -15,7 +15,8 @@ import tarfile
 import uuid
 from collections.abc import Iterator
 from contextlib import suppress
-from itertools import chain, islice
+from itertools import chain, groupby, islice
+from operator import itemgetter
 from pathlib import Path
 
 import numpy as np
@@ -178,27 +179,64 @@ def merge_token_files(folder: str, prefix: str) -> int:
 def merge_lines(spark: SparkSession, shards: str, target: str, delete: bool = True) -> int:
     """Line files of a folder as one file, in order of name and line; returns the number of lines.
 
-    Lines are read by Spark, sorted by where they stand and written by one task,
-    which spills if it must; folder and target are on any file system it knows.
+    On a mounted folder the tasks that read the lines write them, each from
+    where its stretch of a file begins in the target. Elsewhere lines are sorted
+    by where they stand and written by one task, which spills if it must.
     """
     meta = F.col("_metadata")
     reader = prepare(spark).read.option("pathGlobFilter", "*.json*")
-    rows = reader.text(shards).select("value", meta["file_name"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"))
-    n, folder = rows.count(), f"{target}.{uuid.uuid4().hex}.tmp"
-    rows.coalesce(1).sortWithinPartitions("file", "block", "at").select("value").write.text(folder)
+    rows = reader.text(shards).select("value", meta["file_name"].alias("file"), meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"))
+    stretches = rows.groupBy("file", "path", "block").agg(F.sum(F.octet_length("value") + 1).alias("bytes"), F.count(F.lit(1)).alias("n")).orderBy("file", "path", "block").collect()  # some for each file
+    n, folder = sum(s.n for s in stretches), f"{target}.{uuid.uuid4().hex}.tmp"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    part = next(s.getPath() for s in fs.globStatus(path(f"{folder}/part-*")))
-    fs.delete(path(target), False)
-    if not fs.rename(part, path(target)):
-        raise OSError(f"can't move {part} to {target}")
-    fs.delete(path(folder), True)
+    if fs.getScheme() == "file":
+        _written_in_place(rows, stretches, fs, path, folder, target)
+    else:
+        rows.coalesce(1).sortWithinPartitions("file", "path", "block", "at").select("value").write.text(folder)
+        part = next(s.getPath() for s in fs.globStatus(path(f"{folder}/part-*")))
+        fs.delete(path(target), False)
+        if not fs.rename(part, path(target)):
+            raise OSError(f"can't move {part} to {target}")
+        fs.delete(path(folder), True)
     for s in fs.globStatus(path(f"{shards}/*.json*")) if delete else []:
         if s.isFile():
             fs.delete(s.getPath(), False)
     return n
 
 
+def _written_in_place(rows: DataFrame, stretches: list, fs, path, folder: str, target: str) -> None:
+    """Lines into one file by many tasks: a task that runs again writes the same bytes to the same places."""
+    local = lambda p: fs.makeQualified(path(p)).toUri().getPath()
+    starts, end = {}, 0
+    for s in stretches:
+        starts[s.path, s.block], end = end, end + s.bytes
+    tmp = local(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, done = None, 0
+        with open(tmp, "r+b") as f:
+            for b in batches:
+                for key, lines in groupby(zip(*(b.column(k).to_pylist() for k in range(3))), itemgetter(0, 1)):
+                    if key != now:
+                        now = key
+                        f.seek(starts[key])
+                    done += f.write(b"".join(x + b"\n" for _, _, x in lines))
+        yield pa.RecordBatch.from_pydict({"bytes": pa.array([done], pa.int64())})
+
+    with open(tmp, "wb") as f:
+        f.truncate(end)
+    try:
+        written = rows.select("path", "block", F.col("value").cast("binary")).mapInArrow(run, "bytes long").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+        if written != end:
+            raise OSError(f"{written} of {end} bytes written to {target}")
+        fs.delete(path(target), False)
+        os.replace(tmp, local(target))
+    finally:
+        with suppress(FileNotFoundError):
+            os.remove(tmp)
+
+
 def split_by_size(spark: SparkSession, source: str, target: str, megabytes: int, fmt: str = "parquet") -> None:
     """Files of about a size from large ones; text and row groups are read in splits of it."""
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")

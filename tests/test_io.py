@@ -337,3 +337,25 @@ def test_archives_of_ranges_are_bounded(spark, tmp_path, monkeypatch):
     got = queries()["warc_ranges"](spark, str(tmp_path))
     assert archives.files(spark, roots[0], "part-*").select("path").count() == 3
     assert got.count() == 12_000
+
+
+def test_merged_lines_are_written_by_many_tasks(spark, tmp_path):
+    """One file in order of name and line, also of a file that is read in several stretches; no stage has one task with all lines."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    lines = {f"{k}.json": [f"{k} {i} é" for i in range(3000 if k == 1 else k)] for k in (2, 0, 1, 3)}
+    for name, x in lines.items():
+        (tmp_path / name).write_text("\n".join(x) + ("\n" if x and name != "1.json" else ""))
+    (tmp_path / "4.json.gz").write_bytes(gzip.compress(b"z\r\ny\n"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("merge", "merge")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+        assert writers.merge_lines(spark, str(tmp_path), str(tmp_path / "all.out")) == 3007
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [x for name in sorted(lines) for x in lines[name]] + ["z", "y"]
+    assert (tmp_path / "all.out").read_text() == "\n".join(want) + "\n"
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["all.out"]
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("merge") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) >= 4
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
