@@ -74,7 +74,7 @@ def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("split_files", "SELECT doc_id, length(text) AS n FROM documents")
 def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole, parts = _place(spark, "whole"), _place(spark, "parts")
-    read_table(spark, sf_dir, "documents").coalesce(1).write.parquet(whole)
+    spread(read_table(spark, sf_dir, "documents"), 100_000).write.parquet(whole)  # large files of some 300 MB of text
     writers.split_by_size(spark, whole, parts, 4)
     return spark.read.parquet(parts).select("doc_id", F.length("text").cast("long").alias("n"))
 

@@ -359,3 +359,19 @@ def test_merged_lines_are_written_by_many_tasks(spark, tmp_path):
     stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("merge") for s in tracker.getJobInfo(j).stageIds]
     assert max(s.numTasks for s in stages if s) >= 4
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize(("name", "table", "rows", "least"), [("split_files", "documents", 100_001, 2)])
+def test_made_files_are_bounded(spark, tmp_path, monkeypatch, name, table, rows, least):
+    """What a query writes to read again is more files when there are more rows, not longer ones from one task."""
+    import glob
+
+    from __spark_entry__ import queries
+    from millrace.plans import io_queries
+
+    columns = {"documents": ["id AS doc_id", "repeat('a ', 60) AS text"], "part": ["id AS p_partkey", "concat('n ', id) AS p_name", "'b' AS p_brand", "'t' AS p_type"]}
+    spark.range(1, rows + 1, 1, 1).selectExpr(*columns[table]).write.parquet(str(tmp_path / f"{table}.parquet"))
+    places, place = [], io_queries._place
+    monkeypatch.setattr(io_queries, "_place", lambda *a: places.append(place(*a)) or places[-1])
+    assert queries()[name](spark, str(tmp_path)).count() == (rows if table == "documents" else rows - rows // 5)
+    assert len(glob.glob(f"{places[0]}/part-*")) >= least
