@@ -12,6 +12,7 @@ import json
 import uuid
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -254,8 +255,14 @@ def wiki_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
     page = tag("page", F.concat(tag("title", escape(F.col("p_name"))), tag("ns", F.when(F.col("p_partkey") % 5 == 0, "14").otherwise("0")), tag("id", F.col("p_partkey").cast("string")), tag("revision", tag("text", escape(markup)))))
-    edge = lambda t: spark.createDataFrame([(t,)], "value string")
-    edge("<mediawiki>").union(p.select(page)).union(edge("</mediawiki>")).coalesce(1).write.text(at)  # one document, as a dump is
+
+    def document(batches):
+        edge = lambda t: pa.RecordBatch.from_pydict({"value": [t]})
+        yield edge("<mediawiki>")
+        yield from (b.rename_columns(["value"]) for b in batches)
+        yield edge("</mediawiki>")
+
+    spread(p, 50_000).select(page).mapInArrow(document, "value string").write.text(at)  # documents of bounded size, as large dumps are cut
     return archives.wiki_pages(spark, at).select("title", "id", "url", "text")
 
 
@@ -390,7 +397,8 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files as a stream, in micro-batches of two, through a rule into a sink; a second run finds nothing to do."""
     source, target, state = (_place(spark, x) for x in ("stream-in", "stream-out", "stream-state"))
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs.repartition(4).write.parquet(source)
+    # files of bounded size, their row groups small enough that a batch of two has many tasks
+    docs.repartition(max(4, docs.count() // 50_000)).write.option("parquet.block.size", 16 << 20).parquet(source)
     rule = lambda df: df.select("doc_id", text.word_count(F.col("text")).cast("int").alias("words")).where("words >= 50")
     for _ in range(2):
         ingest.ingest(spark, source, "doc_id long, text string", rule, target, state, files_per_trigger=2).awaitTermination()

@@ -361,7 +361,7 @@ def test_merged_lines_are_written_by_many_tasks(spark, tmp_path):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-@pytest.mark.parametrize(("name", "table", "rows", "least"), [("split_files", "documents", 100_001, 2)])
+@pytest.mark.parametrize(("name", "table", "rows", "least"), [("split_files", "documents", 100_001, 2), ("stream_ingest", "documents", 250_000, 5), ("wiki_articles", "part", 60_000, 2)])
 def test_made_files_are_bounded(spark, tmp_path, monkeypatch, name, table, rows, least):
     """What a query writes to read again is more files when there are more rows, not longer ones from one task."""
     import glob
