@@ -259,10 +259,10 @@ def wiki_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     def document(batches):
         edge = lambda t: pa.RecordBatch.from_pydict({"value": [t]})
         yield edge("<mediawiki>")
-        yield from (b.rename_columns(["value"]) for b in batches)
+        yield from batches
         yield edge("</mediawiki>")
 
-    spread(p, 50_000).select(page).mapInArrow(document, "value string").write.text(at)  # documents of bounded size, as large dumps are cut
+    spread(p, 50_000).select(page.alias("value")).mapInArrow(document, "value string").write.text(at)  # documents of bounded size, as large dumps are cut
     return archives.wiki_pages(spark, at).select("title", "id", "url", "text")
 
 
