@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import ast
 import io
+import re
 import tokenize
+from functools import cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -39,34 +41,24 @@ def python_natural_text(source: str) -> int:
         return 0
 
 
+@cache
+def _scanner(language: str) -> re.Pattern:
+    """Strings, comments to the end of a line and blocks, in this order; group ``x`` is a block that doesn't end."""
+    line_marks, blocks, quotes = SYNTAX[language]
+    parts = [f"{q}(?:[^{q}\\\\\n]|\\\\.)*+[{q}\n]?" for q in quotes]
+    parts += [f"{re.escape(m)}(?P<l{i}>[^\n]*)" for i, m in enumerate(line_marks)]
+    parts += [f"{re.escape(a)}(?:(?P<b{i}>.*?){re.escape(z)}|(?P<x{i}>))" for i, (a, z) in enumerate(blocks)]
+    return re.compile("|".join(parts), re.S)
+
+
 def comments(source: str, language: str) -> list[str]:
     """Texts of all comments without their marks. Comment marks inside strings don't count."""
-    line_marks, blocks, quotes = SYNTAX[language]
-    out, i, n = [], 0, len(source)
-    while i < n:
-        c = source[i]
-        if c in quotes and quotes:
-            j = i + 1
-            while j < n and source[j] != c and source[j] != "\n":
-                j += 2 if source[j] == "\\" else 1
-            i = j + 1
-            continue
-        mark = next((m for m in line_marks if source.startswith(m, i)), None)
-        if mark:
-            j = source.find("\n", i)
-            j = n if j < 0 else j
-            out.append(source[i + len(mark) : j])
-            i = j
-            continue
-        block = next((b for b in blocks if source.startswith(b[0], i)), None)
-        if block:
-            j = source.find(block[1], i + len(block[0]))
-            if j < 0:
+    out = []
+    for m in _scanner(language).finditer(source):
+        if kind := m.lastgroup:
+            if kind[0] == "x":
                 raise ValueError("a comment doesn't end")
-            out.append(source[i + len(block[0]) : j])
-            i = j + len(block[1])
-            continue
-        i += 1
+            out.append(m[kind])
     return out
 
 

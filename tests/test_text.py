@@ -164,3 +164,52 @@ def test_policy_phrases_are_whole(spark):
     rows = [("x\n\nnecessary cookies are absolutely essential",), ("x\n\n" + text.POLICY[10].upper(),), ("x\n\nread our Privacy Policy",), ("x\n\ny",)]
     got = spark.createDataFrame(rows, "t string").select(text.boilerplate(F.col("t")).alias("s")).collect()
     assert [r.s for r in got] == [0.0, 0.5, 0.5, 0.0]
+
+
+def test_comments_against_a_scan_by_characters():
+    """The same comments as a scan character by character, in a small part of its time."""
+    import random
+    import time
+
+    def scan(source: str, language: str) -> list[str]:
+        line_marks, blocks, quotes = code.SYNTAX[language]
+        out, i, n = [], 0, len(source)
+        while i < n:
+            c = source[i]
+            if c in quotes and quotes:
+                j = i + 1
+                while j < n and source[j] != c and source[j] != "\n":
+                    j += 2 if source[j] == "\\" else 1
+                i = j + 1
+            elif mark := next((m for m in line_marks if source.startswith(m, i)), None):
+                j = source.find("\n", i)
+                j = n if j < 0 else j
+                out.append(source[i + len(mark) : j])
+                i = j
+            elif block := next((b for b in blocks if source.startswith(b[0], i)), None):
+                j = source.find(block[1], i + len(block[0]))
+                if j < 0:
+                    raise ValueError
+                out.append(source[i + len(block[0]) : j])
+                i = j + len(block[1])
+            else:
+                i += 1
+        return out
+
+    def told(fn, *x):
+        try:
+            return fn(*x)
+        except ValueError:
+            return None
+
+    rng = random.Random(3)
+    for language in code.SYNTAX:
+        for _ in range(400):
+            s = "".join(rng.choice(["a", "\n", '"', "'", "\\", "#", "//", "/*", "*/", "<!--", "-->", "/", "*"]) for _ in range(rng.randrange(30)))
+            assert told(code.comments, s, language) == told(scan, s, language), (language, s)
+    long, seconds = "some words 'of' text, and # more\n" * 30_000, []
+    for fn in (code.comments, scan):
+        start = time.process_time()
+        assert len(fn(long, "text/x-python")) == 30_000
+        seconds.append(time.process_time() - start)
+    assert seconds[0] * 4 < seconds[1]
