@@ -122,7 +122,7 @@ def tokenizer(path: str) -> Factory:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        return sp.encode
+        return lambda batch: sp.encode(batch, num_threads=1)  # there is a worker for each core already
 
     return make
 
@@ -151,13 +151,27 @@ def token_chunks(df: DataFrame, factory: Factory, max_tokens: int = 8000, separa
     def make():
         encode = factory()
 
+        def lengths(paras: Iterator[str]) -> Iterator[int]:
+            """Tokens of each paragraph, many in one call: of all texts, up to some characters."""
+            held, chars = [], 0
+            for p in paras:
+                held.append(p)
+                chars += len(p)
+                if chars > 1 << 18:
+                    yield from map(len, encode(held))
+                    held, chars = [], 0
+            if held:
+                yield from map(len, encode(held))
+
         def chunks(batch: list[str]) -> list[list[dict]]:
-            out = []
+            out, texts = [], []
             for t in batch:
                 parts = t.split(separator)
-                paras = [p if i == len(parts) - 1 else p + separator for i, p in enumerate(parts) if p.strip()]
+                texts.append([p if i == len(parts) - 1 else p + separator for i, p in enumerate(parts) if p.strip()])
+            sizes = lengths(p for paras in texts for p in paras)
+            for paras in texts:
                 done: list[dict] = []
-                for p, n in zip(paras, map(len, encode(paras) if paras else [])):
+                for p, n in zip(paras, sizes):
                     if done and (done[-1]["n"] == 0 or done[-1]["n"] + n <= max_tokens):
                         done[-1] = {"t": done[-1]["t"] + p, "n": done[-1]["n"] + n}
                     else:

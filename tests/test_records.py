@@ -310,3 +310,26 @@ def test_edits_of_alike_texts_need_no_band(monkeypatch):
     mixed = text[:20_000] + "zz" + text[20_000:40_000] + text[40_003:]
     assert edits.edits(text, mixed) == (2, 3, 0)
     assert edits.edits(list(text), list(mixed)) == (2, 3, 0)
+
+
+def test_token_chunks_encode_many_paragraphs_at_once(spark, tmp_path):
+    """Short texts share the calls of a tokenizer; chunks are what they were."""
+    from millrace.operators import models
+
+    calls = tmp_path / "calls"
+
+    def factory():
+        def encode(batch):
+            with open(calls, "a") as f:
+                f.write(f"{len(batch)}\n")
+            return [p.split() for p in batch]
+
+        return encode
+
+    rows = [(i, "a b\n\nc d e\n\n\n\n" + "f " * (i % 3)) for i in range(100)] + [(100, ""), (101, None)]
+    got = models.token_chunks(spark.createDataFrame(rows, "id int, text string").coalesce(1), factory, 4).collect()
+    want = []
+    for i in range(100):
+        want += [(i, 0, 2, "a b\n\n"), *([(i, 1, 3 + i % 3, "c d e\n\n" + "f " * (i % 3))] if i % 3 < 2 else [(i, 1, 3, "c d e\n\n"), (i, 2, 2, "f f ")])]
+    assert sorted((r.id, r.chunk_id, r.n_tokens, r.text) for r in got) == want
+    assert len(calls.read_text().split()) <= 4
