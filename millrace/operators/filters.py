@@ -38,29 +38,45 @@ def score_filter(df: DataFrame, rule: Rule | str, text_col: str = "text", score_
 _SPACE = re.compile("[" + SPACE.replace("\\p{IsWhite_Space}", r"\s\x85\xa0") + "]+")
 
 
+_BELOW_SPACE = re.compile("[\x00-\x08\x0e-\x1b]")
+
+
 class Grams:
     """Runs of words of one text: words are hashed once, runs of any length come from that array."""
 
     def __init__(self, text: str):
         self.text, self.words = text, [x for x in _SPACE.split(text) if x]
+        self.again, self.least = np.arange(len(self.words)), 0
         self.hashes = np.fromiter(map(hash, self.words), dtype=np.int64, count=len(self.words)).view(np.uint64)
         self.sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, self.words), dtype=np.int64, count=len(self.words)))])
 
-    def runs(self, n: int) -> np.ndarray:
-        count = max(0, len(self.words) - n + 1)
-        h = np.zeros(count, dtype=np.uint64)
-        for k in range(n):
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + self.hashes[k : k + count]
-        return h
+    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first places, counts) of runs of n words, and in ``again`` the places of those that occur more than once.
+
+        A run is only repeated where the shorter ones before it were, so that lengths
+        in rising order look at ever fewer places. A run left out occurs once.
+        """
+        count = len(self.words) - n + 1
+        all_ = not 0 < self.least <= n
+        at = np.arange(count) if all_ else self.again[self.again < count]
+        h = np.zeros(len(at), dtype=np.uint64)
+        for k in range(n if len(at) else 0):
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + self.hashes[slice(k, k + count) if all_ else at + k]
+        order = np.argsort(h, kind="stable")
+        h, at = h[order], at[order]
+        edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) if len(h) else np.zeros(1, dtype=np.int64)
+        starts, counts = edges[:-1], edges[1:] - edges[:-1]
+        self.again, self.least = np.sort(at[np.repeat(counts > 1, counts)]), n
+        return at[starts], counts
 
     def repeated(self, n: int) -> float:
         """Share of characters in repeats of runs of n words, overlaps counted once; 1 for fewer words."""
         if len(self.words) < n:
             return 1.0
-        h = self.runs(n)
-        again = np.ones(len(h), dtype=bool)
-        again[np.unique(h, return_index=True)[1]] = False
-        at = np.flatnonzero(again)
+        first, counts = self.runs(n)
+        if not len(self.again):
+            return 0.0
+        at = np.setdiff1d(self.again, first[counts > 1], assume_unique=True)
         fresh = np.minimum(n, np.diff(at, prepend=-n))  # words that no repeat before has counted
         return float((self.sizes[at + n] - self.sizes[at + n - fresh] + fresh - 1).sum()) / len(self.text)
 
@@ -68,8 +84,12 @@ class Grams:
         """Share of the characters that the most frequent run takes; ties: the smallest run; 1 for fewer words."""
         if len(self.words) < n:
             return 1.0
-        _, first, count = np.unique(self.runs(n), return_index=True, return_counts=True)
-        best = min((" ".join(self.words[i : i + n]) for i in first[count == count.max()].tolist()), key=lambda g: g.encode("utf-8", "surrogatepass"))
+        first, counts = self.runs(n)
+        most = first[counts == counts.max()].tolist() if len(self.again) else range(len(self.words) - n + 1)
+        if not _BELOW_SPACE.search(self.text):  # then the smallest run begins with the smallest word
+            least = min(self.words[i] for i in most)
+            most = (i for i in most if self.words[i] == least)
+        best = min(" ".join(self.words[i : i + n]) for i in most)  # by code points, the order of UTF-8 too
         return (len(self.text) - len(self.text.replace(best, ""))) / len(self.text)
 
 

@@ -213,3 +213,26 @@ def test_comments_against_a_scan_by_characters():
         assert len(fn(long, "text/x-python")) == 30_000
         seconds.append(time.process_time() - start)
     assert seconds[0] * 4 < seconds[1]
+
+
+def test_runs_of_words_look_at_fewer_places_as_they_grow():
+    """Longer runs are looked for only where shorter ones are repeated; results are those of plain counting."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(4)
+    for size in (0, 1, 3, 30, 400):
+        for letters in ("ab", "abcdefgh", "a\x01b!"):
+            ws = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 4))) for _ in range(size)]
+            t = " ".join(ws)
+            g = filters.Grams(t)
+            for n in (2, 3, 4):
+                runs = [" ".join(ws[i : i + n]) for i in range(len(ws) - n + 1)]
+                if runs:
+                    best = min(Counter(runs).items(), key=lambda x: (-x[1], x[0].encode()))[0]
+                    assert g.top(n) == (len(t) - len(t.replace(best, ""))) / len(t)
+                    assert len(g.again) == sum(c for c in Counter(runs).values() if c > 1)
+                else:
+                    assert g.top(n) == 1.0
+    g = filters.Grams(" ".join(map(str, range(1000))))
+    assert g.top(2) < 0.01 and not len(g.again) and g.repeated(5) == 0.0
