@@ -61,13 +61,16 @@ def _signer(num_hashes: int, char_ngrams: int, seed: int) -> Callable[[str | Non
             h = h * np.uint64(0x100000001B3) + code[k : k + n]
         h = np.unique((h ^ (h >> np.uint64(29))) % np.uint64(prime))
         out = np.full(num_hashes, prime, dtype=np.uint64)
-        for i in range(0, len(h), 512):  # blocks that stay in the cache; modulo the prime by shifts
-            x = a[:, None] * h[None, i : i + 512]
-            x += b[:, None]
-            x = (x >> np.uint64(31)) + (x & np.uint64(prime))
-            x = (x >> np.uint64(31)) + (x & np.uint64(prime))
-            x[x == prime] = 0
-            np.minimum(out, x.min(axis=1), out=out)
+        for i in range(0, len(h), 128):  # blocks that stay in the cache; modulo the prime by shifts: q = (x + (x >> 31) + 1) >> 31, then (x + q) & prime
+            x = h[i : i + 128, None] * a
+            x += b
+            q = x >> np.uint64(31)
+            q += x
+            q += np.uint64(1)
+            q >>= np.uint64(31)
+            x += q
+            x &= np.uint64(prime)
+            np.minimum(out, x.min(axis=0), out=out)
         return out.astype(np.int64)
 
     return signature
