@@ -15,7 +15,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     gathered: a star's centre is found by ``min`` (combined before the
     shuffle) and sent back by a join of two shuffled tables, whose large
     partitions AQE can split, so a node with a third of all edges is no hot
-    task. Every round is written to the shared folder.
+    task. Written rounds compress so well that the planner takes large ones for
+    small, so it is told not to broadcast them. Every round is written to the shared folder.
 
     Parameters: ``edges`` with two columns of one orderable type. Nulls and
     loops are ignored; repeated edges count once; an empty input gives an
@@ -29,11 +30,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         # large star: every larger neighbour of u points at the smallest of u's neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.where("u <> v").distinct(), "cc-large")
         # small star: u and its smaller neighbours point at the smallest of them
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         new = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
         changed = not (new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty())
         for old in (e, least, large, low):
@@ -49,7 +50,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 def _stars(e: DataFrame) -> bool:
     """Whether every edge (u > v) joins a node of one edge with a centre that is no such node."""
     twice = e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return twice.isEmpty() and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+    return twice.isEmpty() and e.join(e.select(F.col("u").alias("v")).hint("merge"), "v", "left_semi").isEmpty()
 
 
 def _named(e: DataFrame) -> DataFrame:

@@ -309,7 +309,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = read_table(spark, sf_dir, "part").where(p % 50 != 0).select(p.alias("src"), (p - 1).alias("dst"))
     alone = read_table(spark, sf_dir, "part").select(p.alias("node")).where(p % 50 == 0)
     found = connected_components(chain)
-    return found.unionByName(alone.join(found, "node", "left_anti").withColumn("component", F.col("node")))
+    return found.unionByName(alone.join(found.hint("merge"), "node", "left_anti").withColumn("component", F.col("node")))
 
 
 # --- model output and translation

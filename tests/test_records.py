@@ -362,3 +362,16 @@ def test_signatures_take_a_part_of_the_plain_time():
         x[x == p] = 0
         x.min(axis=1)
     assert fast < time.process_time() - start
+
+
+def test_components_send_no_round_to_the_driver(spark):
+    """Tables of a round grow with the graph: none is broadcast, however small its files look."""
+    from millrace.core.graph import connected_components
+
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    edges = spark.range(1, 300).where("id % 50 <> 0").selectExpr("id AS src", "id - 1 AS dst")
+    assert {tuple(r) for r in connected_components(edges).collect()} == {(i, i // 50 * 50) for i in range(300)}
+    runs = store.executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(int(before), runs.size())]
+    assert plans and any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
